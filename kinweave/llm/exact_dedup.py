@@ -34,8 +34,11 @@ def _judge(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
 
 def _groups(flagged: DataFrame) -> DataFrame:
-    """Of the possibly repeated texts: which id stays, and how many rows there are."""
-    return flagged.where(MAYBE).groupBy(SHA).agg(F.max(ID).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    """Of the possibly repeated texts: which id stays, and how many rows there are.
+
+    It is written, so that a join with it is a stage of its own, in which Spark splits a hot text.
+    """
+    return settle(flagged.where(MAYBE).groupBy(SHA).agg(F.max(ID).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
 
 
 def exact_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
