@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup_report
+from .jaccard_join import jaccard_components
 from .sharding import shard_rows
 
 
@@ -16,6 +17,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 16)
 
@@ -25,7 +30,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op8_sharding, op10_decontamination)
+    f.__name__: f for f in (op3_exact_dedup, op4_jaccard_join, op8_sharding, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
