@@ -10,9 +10,14 @@ from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup_report
 from .jaccard_join import jaccard_components
+from .quality import quality_report
 from .sharding import shard_rows
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op4_jaccard_join, op8_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_jaccard_join, op8_sharding, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {

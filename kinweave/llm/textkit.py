@@ -146,3 +146,41 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     """A list column from flat values and the length of each list."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def with_columns(docs, text_col: str, keep: list[str], added: str, body: Callable[[np.ndarray, np.ndarray], list]):
+    """The ``keep`` columns of a table and more, worked out from blocks of its texts.
+
+    ``body`` takes a block's bytes and offsets and gives one array for each added column. Each
+    text goes to Python once, and comes back only if it is kept. Columns are renamed meanwhile,
+    so their names may be any.
+    """
+    from pyspark.sql import functions as F
+
+    inner = {c: f"__kw_c{i}" for i, c in enumerate(keep)}
+    text = [F.col(f"`{text_col}`").alias("__kw_text")] * (text_col not in inner)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], *text)
+    place = rows.columns.index(inner.get(text_col, "__kw_text"))
+    schema = rows.select(*inner.values()).schema
+    fresh = type(schema).fromDDL(added)
+    names = [f"__kw_a{i}" for i in range(len(fresh))]
+    for f, n in zip(fresh, names):
+        schema = schema.add(n, f.dataType)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for lo, hi, data, offsets in blocks(batch.column(place)):
+                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(inner))]
+                made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in body(data, offsets)]
+                yield pa.RecordBatch.from_arrays(kept + made, [*inner.values(), *names])
+
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items()], *[F.col(n).alias(f.name) for n, f in zip(names, fresh)])
+
+
+def sums_by(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values`` (along axis 0) from each offset to the next; empty runs give 0."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
