@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup_report
 from .jaccard_join import jaccard_components
 from .quality import quality_report
 from .sharding import shard_rows
+from .toxicity import toxicity_report
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 16)
 
@@ -35,7 +40,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_jaccard_join, op8_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_jaccard_join, op6_toxicity, op8_sharding, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
