@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup_report
 from .jaccard_join import jaccard_components
+from .language import language_report
 from .quality import quality_report
 from .sharding import shard_rows
 from .toxicity import toxicity_report
@@ -19,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_jaccard_join, op6_toxicity, op8_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op6_toxicity, op8_sharding, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
