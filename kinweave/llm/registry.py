@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup_report
 from .jaccard_join import jaccard_components
 from .language import language_report
+from .lm_score import lm_scores
 from .quality import quality_report
 from .sharding import shard_rows
 from .toxicity import toxicity_report
@@ -40,12 +41,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 16)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op6_toxicity, op8_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op6_toxicity, op8_sharding, op9_lm_score, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
