@@ -20,10 +20,13 @@ flipped bits, a linear fingerprint of the block. Sets are joined on block keys:
   block with probability 0.35 at least, so they miss each other with a probability of some 1e-8,
   and more similar ones more rarely still: the order of a collision of hashes.
 
-Candidates are made without pairing whole groups: each set is first compared only with the
-smallest set of those it shares keys with, by most keys. Sets found alike are merged to
-components, and only keys that still meet in different components give further pairs. A short
-sketch drops wrong candidates by the Hamming bound; the exact sets decide.
+Candidates are made without pairing whole groups. In a group of copies of copies the sets near
+the middle have the keys that most others have, so in each of ROUNDS rounds every set is compared
+only with the most central set it shares keys with, and sets found alike are merged to
+components; a later round leaves out what is already in a key's largest component. Only pairs
+across components that still share a key are then tried, within the bounds of size and of the
+Hamming distance of two short sketches, which drop nearly all that aren't alike. Exact sets
+decide in the end.
 
 Defined cases: a text without words (or null) has no shingles and links with nothing; fewer
 words than k make one shingle of all; equal sets are linked and compared once; repeated rows
@@ -34,10 +37,11 @@ there (null if it has none); other columns are carried along.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -49,6 +53,7 @@ from .textkit import NONSPACE, Words, blocks, lists, mix
 K, PERCENT = 5, 75
 MOST_BLOCKS, SPARE = 64, 4
 SKETCH_WORDS = 16
+ROUNDS = 2
 
 
 def _sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +192,17 @@ def shingle_sets(docs: DataFrame, text_col: str, k: int = K) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "fp long, hashes array<long>")
 
 
+def may_be_alike(percent: int) -> Column:
+    """Whether sizes na, nb and sketches sa, sb allow the threshold.
+
+    With i shared of u shingles, i >= t u and |A xor B| = u - i, so
+    |A xor B| (1 + t) <= (|A| + |B|) (1 - t); sketches are apart by |A xor B| at most.
+    """
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)])
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return sizes & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
 class _Verifier:
     """Decides candidate pairs of sets; sets are read from the texts of those that occur."""
 
@@ -201,10 +217,7 @@ class _Verifier:
         p = self.percent
         part = self.known.select("fp", "n", "sketch")
         near = pairs.join(part.toDF("a", "na", "sa"), "a").join(part.toDF("b", "nb", "sb"), "b")
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        # i >= p/100 u and |A xor B| = u - i give |A xor B| * (100 + p) <= (|A| + |B|) * (100 - p)
-        fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p) & (apart * (100 + p) <= (F.col("na") + F.col("nb")) * (100 - p))
-        near = settle(near.where(fits).select("a", "b"), "candidates")
+        near = settle(near.where(may_be_alike(p)).select("a", "b"), "candidates")
         nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         nodes = settle(nodes.join(self.known.select("fp", "doc"), "fp"), "nodes")
         _, some = bitset.split(self.docs, F.xxhash64(F.col(self.id_col).cast("long")), nodes, F.xxhash64("doc"), nodes.count())
@@ -223,36 +236,61 @@ def _keyed(signed: DataFrame) -> DataFrame:
 
 
 def _shared_keys(signed: DataFrame) -> DataFrame:
-    """(key, fp, leader): the keys that different sets share, without those that a set may leave out."""
+    """(key, fp, uses): the keys that different sets share, without those that a set may leave out."""
     keyed = _keyed(signed)
-    stats = keyed.groupBy("key").agg(F.min("fp").alias("leader"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("uses"))
-    stats = settle(stats.where("leader <> hi").select("key", "leader", "uses"), "keys")
+    stats = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("uses"))
+    stats = settle(stats.where("lo <> hi").select("key", "uses"), "keys")
     _, some = bitset.split(keyed, F.col("key"), stats, F.col("key"), stats.count())
     met = settle(some.distinct(), "met").join(stats, "key")
     order = W.partitionBy("fp", "band").orderBy(F.desc("uses"), "key")  # at most MOST_BLOCKS rows each
-    return met.withColumn("place", F.row_number().over(order)).where("place > drop").select("key", "fp", "leader")
+    return met.withColumn("place", F.row_number().over(order)).where("place > drop").select("key", "fp", "uses")
+
+
+def _placed(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Rows of (key, fp, central) with the root of each set's component so far."""
+    if links is None:
+        return rows.withColumn("root", F.col("fp"))
+    roots = components(links).withColumnRenamed("node", "fp")
+    return settle(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """For each key that meets in several components: its most central set, and that one's root."""
+    tops = rows.groupBy("key").agg(F.max(F.struct("central", "fp", "root")).alias("top"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return settle(tops.where("r0 <> r1").select("key", F.col("top.fp").alias("lead"), F.col("top.root").alias("lead_root")), "middles")
+
+
+def _links(signed: DataFrame, check: _Verifier, percent: int) -> DataFrame:
+    """Links (a, b) between sets, enough to connect all that are connected."""
+    shared = settle(_shared_keys(signed), "shared")
+    central = shared.groupBy("fp").agg(F.sum("uses").alias("central"))
+    rows = settle(shared.join(central, "fp").select("key", "fp", "central"), "central")
+    links, tried = None, None
+    for k in range(ROUNDS):
+        some = placed = _placed(rows, links)
+        if k:
+            some = settle(placed.join(_middles(placed), "key").where("root <> lead_root").select("key", "fp", "central", "root"), "open")
+        pairs = some.join(_middles(some), "key").where("root <> lead_root").groupBy("fp", "lead").count()
+        best = pairs.groupBy("fp").agg(F.max(F.struct("count", "lead")).alias("top"))
+        fresh = settle(best.select(F.least("fp", "top.lead").alias("a"), F.greatest("fp", "top.lead").alias("b")).distinct(), "pairs")
+        found = check.links(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        links = found if links is None else links.unionByName(found)
+    placed = _placed(rows, links)
+    middles = _middles(placed)
+    known = check.known.select("fp", "n", "sketch")
+    mixed = settle(placed.join(middles, "key").join(known, "fp"), "mixed")
+    x = mixed.where("root <> lead_root").select("key", F.col("fp").alias("x"), F.col("root").alias("rx"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = mixed.select("key", F.col("fp").alias("y"), F.col("root").alias("ry"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    more = x.join(y, (x["key"] == y["key"]) & (F.col("rx") != F.col("ry")) & may_be_alike(percent))
+    more = settle(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    return links.unionByName(check.links(more.join(tried, ["a", "b"], "left_anti")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its smallest doc_id)."""
     signed = settle(signatures(docs, id_col, text_col, k, percent), "signatures")
-    check = _Verifier(docs, signed, id_col, text_col, k, percent)
-    shared = settle(_shared_keys(signed), "shared")
-    each = shared.where("fp <> leader").groupBy("fp", "leader").count()
-    best = each.groupBy("fp").agg(F.max(F.struct("count", "leader")).alias("top"))
-    stars = settle(best.select(F.col("top.leader").alias("a"), F.col("fp").alias("b")), "stars")
-    links = check.links(stars)
-    roots = components(links)
-    # keys that meet in several components
-    placed = shared.select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    placed = settle(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    open_ = settle(placed.join(mixed, "key"), "open")
-    x, y = open_.toDF("key", "a", "ra"), open_.toDF("key", "b", "rb")
-    more = x.join(y, "key").where("ra <> rb and a < b").select("a", "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = check.links(more.join(tried, ["a", "b"], "left_anti"))
-    roots = components(links.unionByName(more))
+    roots = components(_links(signed, _Verifier(docs, signed, id_col, text_col, k, percent), percent))
     least = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     least = settle(least.select("fp", "doc", F.coalesce("root", "fp").alias("root")), "least")
     named = least.join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("fp", "component_id")
