@@ -15,6 +15,7 @@ from .lm_score import lm_scores
 from .quality import quality_report
 from .sharding import shard_rows
 from .toxicity import toxicity_report
+from .warc import warc_report
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op6_toxicity, op8_sharding, op9_lm_score, op10_decontamination)
+    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op5_warc, op6_toxicity, op8_sharding, op9_lm_score, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
