@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup_report
 from .jaccard_join import jaccard_components
 from .language import language_report
 from .lm_score import lm_scores
+from .pieces import pieces_report
 from .quality import quality_report
 from .sharding import shard_rows
 from .toxicity import toxicity_report
@@ -42,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_report(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 16)
 
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op5_warc, op6_toxicity, op8_sharding, op9_lm_score, op10_decontamination)
+    f.__name__: f for f in (op1_quality, op2_language, op3_exact_dedup, op4_jaccard_join, op5_warc, op6_toxicity, op7_pieces, op8_sharding, op9_lm_score, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
