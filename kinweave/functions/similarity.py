@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro_winkler(a: str | None, b: str | None) -> float:
@@ -44,11 +45,11 @@ def name_similarity(a: str | None, b: str | None) -> float:
     return sum(map(best, short)) / len(short)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
