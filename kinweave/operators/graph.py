@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def warm_paths(graph: DataFrame, src, dst, max_hops: int = 4, s: Settings = Sett
     frontier holds one row a node, so a plan of max_hops joins does, whatever the graph.
     """
     steps = adjacency(graph).select("src", "dst", (-F.log(F.greatest(F.col("strength"), F.lit(s.least_strength)))).alias("step"))
+    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)  # read once a hop
     front = graph.sparkSession.range(1).select(F.lit(src).cast(graph.schema["a"].dataType).alias("node"), F.lit(0.0).alias("cost"))
     front = front.withColumn("path", F.array("node"))
     found = [front.withColumn("hops", F.lit(0))]
@@ -53,6 +55,7 @@ def warm_paths(graph: DataFrame, src, dst, max_hops: int = 4, s: Settings = Sett
         on = steps.join(front.withColumnRenamed("node", "src"), "src").where(~F.array_contains("path", F.col("dst")))
         on = on.select(F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
         front = on.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.cost", "m.path")
+        front = front.persist(StorageLevel.MEMORY_AND_DISK)
         found.append(front.withColumn("hops", F.lit(h)))
     return reduce(DataFrame.unionByName, found).where(F.col("node") == dst).select("hops", "cost", "path")
 
@@ -74,7 +77,7 @@ def introducers(graph: DataFrame, a, b, limit: int = 5) -> DataFrame:
 
 def ego(graph: DataFrame, focus, radius: int = 2) -> DataFrame:
     """(node, distance) within a radius of at most 4; one join a step, each node once."""
-    near = adjacency(graph).select("src", "dst")
+    near = adjacency(graph).select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     seen = graph.sparkSession.range(1).select(F.lit(focus).cast(graph.schema["a"].dataType).alias("node"), F.lit(0).alias("distance"))
     for k in range(1, min(max(radius, 1), 4) + 1):
         on = near.join(seen.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(k).alias("distance"))

@@ -30,7 +30,7 @@ def norm_email(spark, sf):
 PERSON = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\"''’]', '', 'g'), '[^a-z\\s.-]', ' ', 'g'), '[\\s.]+', ' ', 'g'))"
 
 
-@query(f"SELECT p_partkey, nullif(array_to_string(list_filter(string_split({PERSON.format('p_name')}, ' '), x -> x <> '' AND x NOT IN ('mr','mrs','ms','dr','prof','sir')), ' '), '') AS norm FROM part")
+@query(f"SELECT p_partkey, nullif(array_to_string(list_filter(string_split({PERSON.format('p_name')}, ' '), lambda x: x <> '' AND x NOT IN ('mr','mrs','ms','dr','prof','sir')), ' '), '') AS norm FROM part")
 def norm_person(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.norm_person(F.col("p_name")).alias("norm"))
 
@@ -107,7 +107,7 @@ def upsert_snapshot(spark, sf):
     return I.upsert(o.where(key % 5 != 0), new, "o_orderkey", ("o_orderpriority",))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey % 4 = 0 AND l_linenumber > 2)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey % 4 = 0 AND l_linenumber > 2 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2))")
 def stale_anti_join(spark, sf):
     """Orders divisible by 4 are read again and have two lines now; their other lines go."""
     old = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"))
@@ -228,5 +228,6 @@ def json_path(spark, sf):
   FROM (SELECT unnest(['no-reply', 'notifications', 'alert', 'team', 'info', 'support', 'user' || s_suppkey::varchar]) || '@' || lower(replace(s_name, '#', '')) || '.example' AS email FROM supplier) t""")
 def address_classify(spark, sf):
     local = F.array(*map(F.lit, ["no-reply", "notifications", "alert", "team", "info", "support"]), F.concat(F.lit("user"), F.col("s_suppkey").cast("string")))
-    s = table(spark, sf, "supplier").select(F.concat(F.explode(local), F.lit("@"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))), F.lit(".example")).alias("email"))
+    s = table(spark, sf, "supplier").select(F.explode(local).alias("local"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))).alias("host"))
+    s = s.select(F.concat("local", F.lit("@"), "host", F.lit(".example")).alias("email"))
     return s.select("email", T.classify_address(F.col("email"), F.lit(None).cast("string")).alias("class"))
