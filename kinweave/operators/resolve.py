@@ -122,10 +122,10 @@ def apply(mentions: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def entities(mentions: DataFrame) -> DataFrame:
-    """What is known of each entity: its longest name, addresses, names and organisations."""
+    """What is known of each entity: its fullest name (of those with an address, if any), addresses, names and organisations."""
     known = mentions.where("entity_id is not null")
     return known.groupBy("entity_id", "kind").agg(
-        F.max_by("name", F.struct(F.size(F.split(F.coalesce("norm_name", F.lit("")), " ")), "name")).alias("name"),
+        F.max_by("name", F.struct(F.size(F.split(F.coalesce("norm_name", F.lit("")), " ")), F.col("norm_email").isNotNull(), "name")).alias("name"),
         F.sort_array(F.collect_set("norm_email")).alias("emails"),
         F.sort_array(F.collect_set("norm_name")).alias("aliases"),
         F.sort_array(F.collect_set(norm_org(F.col("org_hint")))).alias("orgs"),

@@ -2,16 +2,15 @@
 
 from pyspark.sql import types as T
 
-PEOPLE = "array<struct<name: string, email: string, org: string, role: string>>"
+
+def _fields(names: str, **other: T.DataType) -> T.StructType:
+    """Fields in the order of ``names``, strings but for those given another type."""
+    return T.StructType([T.StructField(n, other.get(n, T.StringType())) for n in names.split()])
+
+
+PEOPLE = T.ArrayType(_fields("name email org role"))
 
 #: One incoming document.
-RECORD = T.StructType.fromDDL(
-    f"source string, kind string, external_id string, title string, occurred_at string, people {PEOPLE}, "
-    "orgs array<string>, body string, raw string, owner string"
-)
-DOCUMENTS = T.StructType.fromDDL(
-    "id string, source string, kind string, external_id string, title string, occurred_at timestamp, raw string, body string, body_sha256 string, owner string"
-)
-MENTIONS = T.StructType.fromDDL(
-    "id string, document_id string, kind string, name string, email string, org_hint string, role string, norm_name string, norm_email string, entity_id string, origin string"
-)
+RECORD = _fields("source kind external_id title occurred_at people orgs body raw owner", people=PEOPLE, orgs=T.ArrayType(T.StringType()))
+DOCUMENTS = _fields("id source kind external_id title occurred_at raw body body_sha256 owner", occurred_at=T.TimestampType())
+MENTIONS = _fields("id document_id kind name email org_hint role norm_name norm_email entity_id origin")
