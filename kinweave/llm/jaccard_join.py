@@ -208,9 +208,9 @@ class _Verifier:
 
     def __init__(self, docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, k: int, percent: int):
         self.docs, self.id_col, self.text_col, self.k, self.percent = docs, id_col, text_col, k, percent
-        self.known = signed.where("fp is not null").groupBy("fp").agg(
-            F.min("doc_id").alias("doc"), F.min(F.struct("n", "sketch")).alias("s")
-        ).select("fp", "doc", "s.n", "s.sketch")
+        known = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(F.struct("n", "sketch")).alias("s"))
+        # written, so that a set in many pairs can be split in the joins
+        self.known = settle(known.select("fp", "doc", "s.n", "s.sketch"), "known")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that reach the threshold."""
