@@ -121,10 +121,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     rest = table.where("n > 1" if least is None else f"n > 1 and n < {least}")
     bits = bitset.bits_for(rest.count())
     near = each.join(F.broadcast(common.select("code", F.col("n").alias("known"))), "code", "left")
-    unknown = F.when(F.col("known").isNull(), F.col("code"))  # frequent ones needn't be tested
-    near = bitset.flag(near, unknown, bits, settle(bitset.members(rest, F.col("code"), bits), "repeated"), "maybe")
+    unknown = F.when(F.col("known").isNull(), F.xxhash64("code"))  # frequent ones needn't be tested
+    near = bitset.flag(near, unknown, bits, settle(bitset.members(rest, F.xxhash64("code"), bits), "repeated"), "maybe")
     sure = near.where("known is not null or not maybe").drop("maybe")
-    far = near.where("known is null and maybe").drop("known", "maybe").join(rest, "code")
+    far = near.where("known is null and maybe").drop("known", "maybe").join(rest, "code", "left")  # false hits have no n
     # the words' counts: vocabulary + 1 rows
     ones = grams.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(known.counts)], "w int, f double")
     one, two = (F.broadcast(ones.select(F.col("w").alias(f"id{k}"), F.col("f").alias(f"f{k}"))) for k in (1, 2))

@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import pytest
+from kinweave.llm import bitset
 from kinweave.llm.lm_score import ALPHA, lm_scores
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
@@ -47,5 +49,14 @@ def test_equals_brute_force(spark, hot):
         assert g.mean_log_score == (pytest.approx(w[3] / w[1]) if w[1] else None)
 
 
+def test_false_hits_of_the_filter_keep_their_rows(spark, monkeypatch):
+    full = lambda keys, key, bits: spark.range(bits // bitset.PER_BUCKET).select(F.col("id").alias("bucket"), F.expr(f"unhex(repeat('ff', {bitset.PER_BUCKET // 8}))").alias("bitmap"))
+    monkeypatch.setattr(bitset, "members", full)
+    rows = [(1, "a b c d e f"), (2, "f e d c b a"), (3, "a b a c"), (4, "a b c d e f")]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), hot=0).collect()}
+    for i, n, backs, score in brute(rows, 6):
+        assert (got[i].n_tokens, got[i].n_backoff) == (n, backs) and got[i].log_score == pytest.approx(score, abs=1e-9)
+
+
 def test_empty_table(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
