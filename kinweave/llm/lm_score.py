@@ -1,14 +1,15 @@
 """Operator 9: stupid-backoff scores computed relationally.
 
-Words (runs of letters and digits, lower-cased) are counted over all documents; the
-``vocabulary`` most frequent keep an id, all others share one. Each document becomes its
-distinct bigrams with counts; a table of the corpus's bigram counts, partitioned by hash, is
-joined to them, and the parts are summed per document. The document's own counts are taken off
-before it is scored, else no bigram would ever back off.
+Words (runs of letters and digits, lower-cased) are counted over all documents, each by a hash of
+its own. Each document becomes its distinct bigrams with counts; a table of the corpus's bigram
+counts, partitioned by hash, is joined to them, and the parts are summed per document. The
+document's own counts are taken off before it is scored, else no bigram would ever back off.
 
 score(w2 | w1) = f(w1 w2) / f(w1), or ALPHA * f(w2) / N where the bigram is found in no other
 document; the first word has f(w) / N; a word found in no other document counts as half an
-occurrence. The most frequent bigrams (``hot`` at most, so they are broadcast) are looked up where
+occurrence. So each bigram needs the count of one word: those of the ``head`` most frequent words
+are broadcast, all others come from the full table of word counts by a join. A ``vocabulary``
+may be asked for: then words beyond its size share one count. The most frequent bigrams (``hot`` at most, so they are broadcast) are looked up where
 the documents are, and a bit filter of bounded size tells there which of the others surely occur
 nowhere else; only the rest are shuffled to their counts.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitset
@@ -29,15 +30,16 @@ from .common import settle
 from .textkit import ALNUM, Words, blocks, lists, with_columns
 
 ALPHA = 0.4
-VOCABULARY, HOT = 65_536, 262_144
+HEAD, HOT = 65_536, 262_144
+_RARE = np.uint64(1 << 63)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, n): how often each word (by its hash) occurs in all documents."""
+    """(w, n): how often each word (by its hash, made negative) occurs in all documents."""
 
     def run(batches):
         for batch in batches:
-            parts = [np.unique(Words(data, offsets, ALNUM).hashes, return_counts=True) for _, _, data, offsets in blocks(batch.column(0))]
+            parts = [np.unique(Words(data, offsets, ALNUM).hashes | _RARE, return_counts=True) for _, _, data, offsets in blocks(batch.column(0))]
             if parts:
                 words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
@@ -47,49 +49,57 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """Ids and counts of the words that have one; the last id is all other words'."""
+    """Ids and counts of the most frequent words. Another word's id is its (negative) hash; if they are
+    ``pooled``, all others have the last id."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, pooled: bool):
         order = np.argsort(words)
         self.words = words[order]
         self.counts = np.append(counts[order], total - counts.sum()).astype(float)
-        self.total = total
+        self.total, self.pooled = total, pooled
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
+        other = np.full(len(hashes), len(self.words)) if self.pooled else hashes.view(np.int64)
         if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
+            return other
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, len(self.words))
+        return np.where(self.words[at] == hashes, at, other)
 
 
 def _grams(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """Of each document: its tokens, the log-score of its first word, and of each distinct bigram the
-    ids of the words, its count here and the words' counts here."""
+    """Of each document: its tokens, the log-score of its first word (without the word's count if that
+    isn't known here), and of each distinct bigram the ids of the words, its count here and the words'
+    counts here."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def body(data, offsets):
         v = sent.value
         words = Words(data, offsets, ALNUM)
         docs, of = len(words.counts), words.owner
-        ids, width = v.ids(words.hashes), len(v.counts)
-        _, back, n = np.unique(of * width + ids, return_inverse=True, return_counts=True)
+        ids = v.ids(words.hashes | _RARE)
+        distinct, local = np.unique(ids, return_inverse=True)
+        width = len(distinct)
+        _, back, n = np.unique(of * width + local, return_inverse=True, return_counts=True)
         own = n[back]
-        first = np.zeros(docs)
+        first, first_w, first_own = np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
         full = words.counts > 0
         at = words.offsets[:-1][full]
-        first[full] = np.log(np.maximum(v.counts[ids[at]] - own[at], 0.5) / np.maximum(v.total - words.counts[full], 1))
+        first_w[full], first_own[full] = ids[at], own[at]
+        here = np.where(ids[at] >= 0, np.maximum(v.counts[np.maximum(ids[at], 0)] - own[at], 0.5), 1.0)
+        first[full] = np.log(here / np.maximum(v.total - words.counts[full], 1))
         at = np.flatnonzero(of[:-1] == of[1:]) if len(of) else np.zeros(0, int)
-        code = ids[at] * width + ids[at + 1]
+        code = local[at] * width + local[at + 1]
         order = np.lexsort((code, of[at]))
         at, code = at[order], code[order]
         fresh = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (of[at[1:]] != of[at[:-1]])])) if len(at) else np.zeros(0, int)
         counts = np.diff(np.append(fresh, len(at)))
         each = at[fresh]
         sizes = np.bincount(of[each], minlength=docs)
-        flat = [ids[each], ids[each + 1], counts, own[each], own[each + 1]]
-        return [words.counts.astype(np.int64), first, *(lists(x.astype(np.int32), sizes, pa.int32()) for x in flat)]
+        pairs = [lists(x, sizes, pa.int64()) for x in (ids[each], ids[each + 1])]
+        flat = [lists(x.astype(np.int32), sizes, pa.int32()) for x in (counts, own[each], own[each + 1])]
+        return [words.counts.astype(np.int64), first, first_w, first_own, *pairs, *flat]
 
-    added = "n_tokens long, first double, w1 array<int>, w2 array<int>, own array<int>, own1 array<int>, own2 array<int>"
+    added = "n_tokens long, first double, first_w long, first_own long, w1 array<long>, w2 array<long>, own array<int>, own1 array<int>, own2 array<int>"
     return with_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"], added, body)
 
 
@@ -105,16 +115,21 @@ def _hot_from(table: DataFrame, most: int) -> int | None:
     return least
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, hot: int = HOT) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, hot: int = HOT, head: int = HEAD
+) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_backoff, log_score, mean_log_score."""
     counts = settle(word_counts(docs, text_col), "words")
     total = counts.agg(F.sum("n")).collect()[0][0] or 0
-    top = counts.orderBy(F.desc("n"), "w").limit(vocabulary).toArrow()  # at most ``vocabulary`` rows
-    known = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy(), total)
+    top = counts.orderBy(F.desc("n"), "w").limit(head if vocabulary is None else vocabulary).toArrow()  # so many rows at most
+    known = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy(), total, vocabulary is not None)
     grams = settle(_grams(docs, known, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "bigrams")
     width = len(known.counts)
     each = grams.select("row", "n_tokens", F.explode(F.arrays_zip("w1", "w2", "own", "own1", "own2")).alias("g"))
-    each = each.select("row", "n_tokens", (F.col("g.w1").cast("long") * width + F.col("g.w2")).alias("code"), "g.own", "g.own1", "g.own2")
+    w1, w2 = F.col("g.w1"), F.col("g.w2")
+    ids = (w1 >= 0) & (w2 >= 0)  # else the code is a hash, and negative
+    code = F.when(ids, w1 * width + w2).otherwise(F.xxhash64(w1, w2).bitwiseOR(F.lit(-1 << 63)))
+    each = each.select("row", "n_tokens", code.alias("code"), "g.own", "g.own1", "g.own2", F.when(~ids, w1).alias("w1"), F.when(~ids, w2).alias("w2"))
     table = settle(each.groupBy("code").agg(F.sum("own").cast("long").alias("n")), "counts")
     least = _hot_from(table, hot)
     common = table.where(F.lit(False) if least is None else F.col("n") >= least)  # ``hot`` rows at most
@@ -125,19 +140,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     near = bitset.flag(near, unknown, bits, settle(bitset.members(rest, F.xxhash64("code"), bits), "repeated"), "maybe")
     sure = near.where("known is not null or not maybe").drop("maybe")
     far = near.where("known is null and maybe").drop("known", "maybe").join(rest, "code", "left")  # false hits have no n
-    # the words' counts: vocabulary + 1 rows
-    ones = grams.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(known.counts)], "w int, f double")
-    one, two = (F.broadcast(ones.select(F.col("w").alias(f"id{k}"), F.col("f").alias(f"f{k}"))) for k in (1, 2))
+    # the frequent words' counts: head (or vocabulary) + 1 rows
+    ones = F.broadcast(grams.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(known.counts)], "id long, f double"))
 
-    def summed(rows: DataFrame, n: str) -> DataFrame:
-        rows = rows.join(one, F.expr(f"cast(code div {width} as int)") == F.col("id1")).join(two, F.expr(f"cast(code % {width} as int)") == F.col("id2"))
-        found = F.coalesce(F.col(n) > F.col("own"), F.lit(False))
-        here = F.log((F.col(n) - F.col("own")) / F.greatest(F.col("f1") - F.col("own1"), F.lit(1.0)))
-        back = F.log(F.lit(ALPHA) * F.greatest(F.col("f2") - F.col("own2"), F.lit(0.5)) / F.greatest(F.lit(total) - F.col("n_tokens"), F.lit(1)))
-        score = F.when(found, here).otherwise(back)
-        return rows.groupBy("row").agg(F.sum(score * F.col("own")).alias("s"), F.sum(F.when(found, 0).otherwise(F.col("own"))).alias("b"))
+    def word_part(found: Column, f: Column) -> Column:
+        less = f - F.col("less")
+        return F.when(found, -F.log(F.greatest(less, F.lit(1.0)))).otherwise(F.log(F.greatest(less, F.lit(0.5))))
 
-    parts = summed(sure, "known").unionByName(summed(far, "n")).groupBy("row").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
+    def scored(rows: DataFrame, n: str) -> DataFrame:
+        found = F.coalesce(F.col(n) > F.col("own"), F.lit(False))
+        w = F.when(F.col("code") >= 0, F.when(found, F.expr(f"code div {width}")).otherwise(F.col("code") % width)).otherwise(F.when(found, F.col("w1")).otherwise(F.col("w2")))
+        rest = F.when(found, F.log(F.col(n) - F.col("own"))).otherwise(F.log(F.lit(ALPHA) / F.greatest(F.lit(total) - F.col("n_tokens"), F.lit(1))))
+        less = F.when(found, F.col("own1")).otherwise(F.col("own2"))
+        return rows.select("row", "own", found.alias("found"), w.alias("w"), rest.alias("rest"), less.alias("less"))
+
+    # one row a document, and one for each of its words whose count is still to come
+    rows = scored(sure, "known").unionByName(scored(far, "n")).join(ones, F.col("w") == F.col("id"), "left")
+    rare = F.col("w") < 0
+    score = F.col("rest") + F.when(rare, 0.0).otherwise(word_part(F.col("found"), F.col("f")))
+    parts = rows.groupBy("row", F.when(rare, F.col("w")).alias("w"), F.when(rare, F.col("found")).alias("found")).agg(
+        F.sum(score * F.col("own")).alias("s"), F.sum(F.when(F.col("found"), 0).otherwise(F.col("own"))).alias("b"),
+        F.max("less").alias("less"), F.sum("own").alias("times"),
+    )
+    parts = settle(parts, "parts")
+    firsts = grams.where("first_w < 0").select("row", F.col("first_w").alias("w"), F.lit(False).alias("found"), F.col("first_own").alias("less"), F.lit(1).alias("times"))
+    words = parts.where("w is not null").select(*firsts.columns).unionByName(firsts).join(counts, "w")
+    words = words.select("row", (word_part(F.col("found"), F.col("n")) * F.col("times")).alias("s"), F.lit(0).alias("b"))
+    parts = parts.select("row", "s", "b").unionByName(words).groupBy("row").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
     score = F.col("first") + F.coalesce("s", F.lit(0.0))
     return grams.select("row", "doc_id", "n_tokens", "first").join(parts, "row", "left").select(
         "doc_id", "n_tokens", F.coalesce("b", F.lit(0)).cast("long").alias("n_backoff"), score.alias("log_score"),

@@ -58,5 +58,26 @@ def test_false_hits_of_the_filter_keep_their_rows(spark, monkeypatch):
         assert (got[i].n_tokens, got[i].n_backoff) == (n, backs) and got[i].log_score == pytest.approx(score, abs=1e-9)
 
 
+def test_each_of_many_words_has_its_own_count(spark):
+    many = " ".join(f"w{i}" for i in range(70_000))
+    rows = [(1, f"{many} {many}"), (2, "u1 u2 u3"), (3, "w3 w4 u9")]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    others = 140_003  # tokens of the other documents
+    assert (got[2].n_backoff, got[3].n_backoff) == (2, 1)
+    assert got[2].log_score == pytest.approx(math.log(0.5 / others) + 2 * math.log(ALPHA * 0.5 / others))
+    assert got[3].log_score == pytest.approx(math.log(2 / others) + math.log(2 / 2) + math.log(ALPHA * 0.5 / others))
+
+
+@pytest.mark.parametrize("head, hot", [(0, 0), (3, 1000)])
+def test_the_head_changes_no_result(spark, head, hot):
+    rng = random.Random(3)
+    words = [a + b for a in "abcdé" for b in "xyz"]
+    rows = [(1, None), (2, "alone"), (3, "ax ax ax ax")]
+    rows += [(10 + i, " ".join(rng.choices(words, weights=range(1, 16), k=rng.randint(1, 100)))) for i in range(30)]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), head=head, hot=hot).collect()}
+    for i, n, backs, score in brute(rows, 100):
+        assert (got[i].n_tokens, got[i].n_backoff) == (n, backs) and got[i].log_score == pytest.approx(score, abs=1e-9)
+
+
 def test_empty_table(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
