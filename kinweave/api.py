@@ -30,7 +30,8 @@ class Engine:
         self.store.write("documents", documents)
         open_ = mentions.withColumn("entity_id", F.lit(None).cast("string"))
         self.store.write("mentions", resolve.apply(open_, resolve.resolve(documents, open_, self.settings)))
-        self.store.write("entities", resolve.entities(self.store.read("mentions")))
+        for name, made in (("entities", resolve.entities), ("evidence", resolve.evidence)):
+            self.store.write(name, made(self.store.read("documents"), self.store.read("mentions")))
         people = self.store.read("mentions").where("kind = 'person'")
         self.store.write("edges", edges.rebuild_edges(self.store.read("documents"), people, now, self.settings))
 
@@ -41,22 +42,32 @@ class Engine:
     def entities(self) -> DataFrame:
         return self._table("entities")
 
+    @property
+    def evidence(self) -> DataFrame:
+        return self._table("evidence")
+
     @property
     def edges(self) -> DataFrame:
         return self._table("edges")
 
     def visible_entities(self, viewer: str | None) -> DataFrame:
-        """Entities with a mention in a document the viewer may read."""
+        """Entities with a mention in a document the viewer may read, and what the viewer's own documents add to them."""
+        mine = self.evidence.where(F.col("owner") == F.lit(viewer)).groupBy("entity_id")
+        lists = {"emails": "email", "aliases": "alias", "orgs": "org"}
+        mine = mine.agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(f"own_{c}") for c, k in lists.items()])
+        both = self.entities.join(mine, "entity_id", "left").withColumns({c: F.array_union(c, F.coalesce(f"own_{c}", F.array().cast("array<string>"))) for c in lists})
+        both = both.select(*self.entities.columns)
         if not self.settings.hide_private_entities:
-            return self.entities
+            return both
         seen = self.store.read("documents").where(F.col("owner").isin(visible_layers(viewer))).select(F.col("id").alias("document_id"))
-        return self.entities.join(self.store.read("mentions").join(seen, "document_id", "left_semi"), "entity_id", "left_semi")
+        return both.join(self.store.read("mentions").join(seen, "document_id", "left_semi"), "entity_id", "left_semi")
 
     def search(self, text: str, viewer: str | None = None, limit: int = 25) -> DataFrame:
         like = f"%{text.lower()}%"
-        e = self.visible_entities(viewer)
-        hit = F.lower("name").like(like) | F.to_json("emails").like(like) | F.lower(F.to_json("orgs")).like(like)
-        return e.where(hit).orderBy("name", "entity_id").limit(limit)
+        own = self.evidence.where((F.col("owner") == F.lit(viewer)) & F.lower("value").like(like)).select("entity_id", F.lit(True).alias("own")).distinct()
+        e = self.visible_entities(viewer).join(own, "entity_id", "left")
+        hit = F.lower("name").like(like) | F.to_json("emails").like(like) | F.lower(F.to_json("orgs")).like(like) | F.col("own")
+        return e.where(hit).drop("own").orderBy("name", "entity_id").limit(limit)
 
     def strongest_connections(self, who: str, viewer: str | None = None, limit: int = 25) -> DataFrame:
         return graph.strongest_connections(self.edges, who, viewer, limit, self.settings)

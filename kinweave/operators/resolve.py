@@ -121,15 +121,31 @@ def apply(mentions: DataFrame, decisions: DataFrame) -> DataFrame:
     return mentions.join(d, "id", "left").withColumn("entity_id", F.coalesce("entity_id", "__kw_entity")).drop("__kw_entity").select(*mentions.columns)
 
 
-def entities(mentions: DataFrame) -> DataFrame:
-    """What is known of each entity: its fullest name (of those with an address, if any), addresses, names and organisations."""
-    known = mentions.where("entity_id is not null")
+def _witnessed(documents: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Resolved mentions with the owner of their document."""
+    return mentions.where("entity_id is not null").join(documents.select(F.col("id").alias("document_id"), "owner"), "document_id")
+
+
+def entities(documents: DataFrame, mentions: DataFrame) -> DataFrame:
+    """What all may know of each entity: its fullest name (of those with an address, if any), addresses, names and
+    organisations, from shared documents only. An entity of private documents alone keeps just a name."""
+    known = _witnessed(documents, mentions)
+    shared = F.col("owner") == ""
+    fullest = F.struct(F.size(F.split(F.coalesce("norm_name", F.lit("")), " ")), F.col("norm_email").isNotNull(), "name")
+    name = lambda where: F.coalesce(F.max_by("name", F.when(where & F.col("name").isNotNull(), fullest)), F.max(F.when(where, F.col("email"))))
+    values = lambda c: F.sort_array(F.collect_set(F.when(shared, c)))
     return known.groupBy("entity_id", "kind").agg(
-        F.max_by("name", F.struct(F.size(F.split(F.coalesce("norm_name", F.lit("")), " ")), F.col("norm_email").isNotNull(), "name")).alias("name"),
-        F.sort_array(F.collect_set("norm_email")).alias("emails"),
-        F.sort_array(F.collect_set("norm_name")).alias("aliases"),
-        F.sort_array(F.collect_set(norm_org(F.col("org_hint")))).alias("orgs"),
-    )
+        F.when(F.max(shared), name(shared)).otherwise(name(F.lit(True))).alias("name"),
+        values(F.col("norm_email")).alias("emails"), values(F.col("norm_name")).alias("aliases"), values(norm_org(F.col("org_hint"))).alias("orgs"),
+    )
+
+
+def evidence(documents: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(entity_id, owner, kind, value): what only private documents tell of an entity; it is read by their owner alone."""
+    columns = {"email": F.col("norm_email"), "alias": F.col("norm_name"), "org": norm_org(F.col("org_hint"))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in columns.items()]))
+    rows = _witnessed(documents, mentions).select("entity_id", "owner", each.alias("v")).select("entity_id", "owner", "v.kind", "v.value").where("value is not null").distinct()
+    return rows.where("owner <> ''").join(rows.where("owner = ''"), ["entity_id", "kind", "value"], "left_anti").select("entity_id", "owner", "kind", "value")
 
 
 def merge(mentions: DataFrame, merges: DataFrame) -> DataFrame:

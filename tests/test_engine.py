@@ -50,6 +50,21 @@ def test_resolution_and_paths(engine):
     assert engine.radar(NOW).count() == 3
 
 
+def test_private_evidence_stays_with_its_owner(spark, tmp_path):
+    from kinweave.schemas import RECORD
+
+    rows = [record(1, [ANN, BEN]), record(2, [("Ann Secret Arbor", ANN[1], "attendee"), ("Ben Bow", "hidden@gmail.com", "attendee")], owner="eve")]
+    rows[1]["people"][0]["org"] = "Covert Partners"
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.sync(spark.createDataFrame(rows, RECORD), NOW)
+    ann = lambda viewer: [r for r in e.visible_entities(viewer).collect() if ANN[1] in r.emails]
+    for viewer in (None, "mallory"):
+        assert [(r["name"], r.aliases, r.orgs) for r in ann(viewer)] == [("Ann Arbor", ["ann arbor"], [])]
+        assert not any(e.search(text, viewer).count() for text in ("covert", "secret", "hidden"))
+    assert ann("eve")[0].aliases == ["ann arbor", "ann secret arbor"] and len(ann("eve")[0].orgs) == 1
+    assert all(e.search(text, "eve").count() == 1 for text in ("covert", "secret", "hidden"))
+
+
 def test_incremental_equals_full(spark):
     rng = random.Random(1)
     d = spark.createDataFrame([(i, rng.choice(["email", "meeting", "odd"]), rng.choice(["", "m"]), f"2026-0{rng.randint(1, 9)}-11 00:00:00") for i in range(60)], "id long, kind string, owner string, at string")
