@@ -10,13 +10,15 @@ from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinweave.functions.text import strip_html
 from kinweave.schemas import RECORD
 
-POSTMARK = re.compile(r"^(From )?\S+ .*\d{1,2}:\d{2}(:\d{2})?.*\d{4}")
+#: Java's and Python's engines read it alike.
+POSTMARK = re.compile(r"^(From )?\S+ +(?:\w{3} )?\w{3} [ \d]\d [\d:]{5,8}(?: [+-]\d{4})? \d{4}", re.ASCII)
 MOST_BODY = 65_536
 
 
@@ -57,9 +59,28 @@ def parse_message(text: str) -> dict | None:
     return {"source": "mbox", "kind": "email", "external_id": external, "title": str(m["subject"] or ""), "occurred_at": at, "people": people, "body": ("\x00" if kind == "html" else "") + body[:MOST_BODY] if body else None}
 
 
+def _whole(pieces: DataFrame) -> DataFrame:
+    """Pieces (path, start, id, value) put together again to one a postmark, each with those after it that have none.
+
+    They are numbered within the file range that was read; what comes before the first postmark of a range
+    belongs to the last one of the ranges before it.
+    """
+    file, mark = ["path", "start"], F.substring_index("value", "\n", 1).rlike(POSTMARK.pattern)
+    pieces = pieces.withColumn("group", F.sum(mark.cast("long")).over(W.partitionBy(*file).orderBy("id")))
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    last = F.when(F.col("n") > 0, F.struct(F.col("start").alias("start"), F.col("n").alias("group")))
+    ranges = pieces.groupBy(*file).agg(F.max("group").alias("n")).withColumn("last", F.last(last, ignorenulls=True).over(before))  # a row a range
+    rows = pieces.join(ranges.select(*file, "last"), file)
+    at = F.when(F.col("group") > 0, F.struct("start", "group")).otherwise(F.col("last"))
+    rows = rows.select("path", at.alias("at"), F.struct("start", "id", "value").alias("piece"))
+    return rows.groupBy("path", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p.value), "\nFrom ").alias("value"))
+
+
 def mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a mailbox. A body line that begins with "From " but is no postmark ends its message's body."""
-    rows = _mapped(spark.read.option("lineSep", "\nFrom ").text(path), parse_message)
+    """Messages of a mailbox. A body line that begins with "From " but is no postmark stays in its body."""
+    pieces = spark.read.option("lineSep", "\nFrom ").text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    rows = _mapped(_whole(pieces).select("value"), parse_message)
     html = F.col("body").startswith("\x00")
     return rows.withColumn("body", F.when(html, strip_html(F.substring("body", 2, MOST_BODY))).otherwise(F.col("body")))
 
