@@ -1,21 +1,47 @@
-"""One object for the whole way: take records in, resolve, build the graph, ask."""
+"""One object for the whole way: take records in, resolve, build the graph, ask; and what people decide."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators import edges, graph, ingest, radar, resolve
+from kinweave.operators import edges, events, extract, graph, ingest, members, memory, radar, resolve
 from kinweave.settings import Settings, visible_layers
-from kinweave.sources import files, mail
+from kinweave.sources import crm, files, mail
 from kinweave.store import Store
 
-READERS = {".jsonl": files.jsonl, ".csv": files.contacts, ".mbox": mail.mbox, ".ics": mail.ics}
+READERS = {".jsonl": files.jsonl, ".csv": files.contacts, ".mbox": mail.mbox, ".ics": mail.ics, ".json": crm.granola}
+LOGS = {"answers": resolve.ANSWERS, "merges": resolve.MERGES, "overrides": resolve.OVERRIDES, "members": members.MEMBERS, "audit": members.AUDIT}
+MADE = {"extractions": extract.EXTRACTIONS, "deals": extract.DEALS}
+SETTINGS = "settings string"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
-        self.spark, self.store, self.settings = spark, Store(spark, root), settings
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
+        self.spark, self.store = spark, Store(spark, root)
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            spark.sparkContext.setCheckpointDir(f"{self.store.root}/_checkpoints")
+        self.settings = settings or self.saved_settings()
+
+    # tables
+
+    def table(self, name: str) -> DataFrame:
+        return self.store.read(name, LOGS.get(name) or MADE.get(name) or None)
+
+    documents = property(lambda self: self.store.read("documents"))
+    mentions = property(lambda self: self.store.read("mentions"))
+    entities = property(lambda self: self.table("entities"))
+    evidence = property(lambda self: self.table("evidence"))
+    edges = property(lambda self: self.table("edges"))
+
+    @property
+    def people(self) -> DataFrame:
+        return self.mentions.where("kind = 'person'")
+
+    # writing
 
     def load(self, path: str) -> DataFrame:
         """Records of a file, read by its ending."""
@@ -24,61 +50,265 @@ class Engine:
                 return read(self.spark, path)
         raise ValueError(f"no reader for {path}")
 
-    def sync(self, records: DataFrame, now: str) -> None:
-        """Take records in, resolve all mentions, and rebuild the edges."""
-        documents, mentions = ingest.ingest(self.store.read("documents"), self.store.read("mentions"), records)
-        self.store.write("documents", documents)
-        open_ = mentions.withColumn("entity_id", F.lit(None).cast("string"))
-        self.store.write("mentions", resolve.apply(open_, resolve.resolve(documents, open_, self.settings)))
-        for name, made in (("entities", resolve.entities), ("evidence", resolve.evidence)):
-            self.store.write(name, made(self.store.read("documents"), self.store.read("mentions")))
-        people = self.store.read("mentions").where("kind = 'person'")
-        self.store.write("edges", edges.rebuild_edges(self.store.read("documents"), people, now, self.settings))
+    def sync(self, records: DataFrame, now: str, actor: str = "local", bodies: bool = True) -> dict[str, int]:
+        """Take records in, then make all that depends on them. Gives how many documents and mentions there are."""
+        documents, mentions = ingest.ingest(self.documents, self.mentions, records, bodies)
+        self.store.commit({"documents": documents, "mentions": mentions})
+        self.rebuild(now, actor, "sync")
+        return {"documents": self.documents.count(), "mentions": self.mentions.count()}
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.store.root}/{name}/v{self.store.versions(name)[-1]}")
+    def rebuild(self, now: str, actor: str = "local", action: str = "rebuild", detail: dict | None = None) -> None:
+        """Resolve all mentions, with what people decided, and make entities, evidence, senders and edges of them; one snapshot."""
+        documents = self.documents
+        open_ = self.mentions.withColumn("entity_id", F.lit(None).cast("string"))
+        decisions = resolve.resolve(documents, open_, self.settings, self.table("answers")).checkpoint()
+        mentions, found = resolve.replay_merges(resolve.apply(open_, decisions), self.table("merges"))
+        mentions = mentions.checkpoint()
+        moved = resolve.survivors(found.select(F.col("loser_id").alias("loser"), F.col("keeper_id").alias("survivor")))
+        asked = decisions.join(moved.withColumnRenamed("loser", "candidate_id"), "candidate_id", "left").withColumn("candidate_id", F.coalesce("survivor", "candidate_id")).drop("survivor")
+        known = resolve.entities(documents, mentions).checkpoint()
+        said = self.table("overrides").withColumn("row", F.monotonically_increasing_id()).checkpoint()
+        over = resolve.find(said, "known", resolve.known_values(mentions)).join(said, "row").groupBy("entity_id").agg(F.max_by("automated", "said_at").alias("automated"))
+        senders = resolve.automated(documents, mentions, over)
+        people = mentions.where("kind = 'person'")
+        self.store.commit({
+            "mentions": mentions, "decisions": asked.select(*decisions.columns), "merged": found, "entities": known, "evidence": resolve.evidence(documents, mentions), "senders": senders,
+            "edges": edges.rebuild_edges(documents, people, now, self.settings, signals=True), "audit": self._logged(action, detail or {}, actor, now),
+        })
 
-    @property
-    def entities(self) -> DataFrame:
-        return self._table("entities")
+    def _logged(self, action: str, detail: dict, actor: str, now: str) -> DataFrame:
+        return self.table("audit").unionByName(members.entry(self.spark, action, json.dumps(detail, sort_keys=True), actor, now))
 
-    @property
-    def evidence(self) -> DataFrame:
-        return self._table("evidence")
+    def _log(self, name: str, rows: DataFrame, now: str, actor: str, action: str, detail: dict) -> None:
+        """Add to a log of decisions, then make everything anew with them."""
+        self.store.commit({name: self.table(name).unionByName(rows)})
+        self.rebuild(now, actor, action, detail)
 
-    @property
-    def edges(self) -> DataFrame:
-        return self._table("edges")
+    def extract(self, generate: Callable[[str], list[dict]], now: str, model: str, version: str = "1", effort: str = "low", limit: int | None = None) -> None:
+        """Mine the bodies that wait; take what is grounded in as mentions and deals, and rebuild."""
+        done = extract.sweep(self.table("extractions"), self.documents)
+        digest = extract.extraction_hash(F.col("body_sha256"), version, model, effort, str(extract.LEAST_CONFIDENCE))
+        tried = extract.pending(self.documents, done, digest, limit).checkpoint()
+        proposals = extract.propose(tried, generate).checkpoint()
+        structured = self.mentions.where("origin = 'structured'")
+        grounded = extract.ground(tried, extract.surest(proposals), structured).checkpoint()
+        fresh = extract.record(done, tried, proposals, grounded, model).checkpoint()
+        failed = fresh.where("status = 'failed'").select("document_id")
+        renewed = tried.select(F.col("id").alias("document_id"))
+        # a failure on the same input keeps what was found before
+        same = done.join(fresh.select("document_id", F.col("input_sha256").alias("now")), "document_id").where("input_sha256 = now").select("document_id")
+        renewed = renewed.join(failed.join(same, "document_id", "left_semi"), "document_id", "left_anti")
+        old = self.mentions.where("origin = 'extracted'")
+        found = extract.replace(extract.sweep(old, self.documents), extract.extracted_mentions(grounded), renewed)
+        told = extract.replace(extract.sweep(self.table("deals"), self.documents), extract.deals(grounded), renewed)
+        self.store.commit({"mentions": structured.unionByName(found.select(*structured.columns)), "deals": told, "extractions": fresh})
+        self.rebuild(now, "local", "extract", {"model": model})
+
+    # what people decide
+
+    def review_queue(self, viewer: str | None = None) -> DataFrame:
+        return resolve.reviews(self.table("decisions"), self.mentions, self.documents, self.entities, visible_layers(viewer))
+
+    def review_resolve(self, review_id: str, decision: str, now: str, viewer: str | None = None, actor: str = "local") -> None:
+        question = self.review_queue(viewer).where(F.col("review_id") == review_id)
+        if question.isEmpty():
+            raise ValueError(f"no open review {review_id}")
+        rows = resolve.answer(question, resolve.known_values(self.mentions), decision, now).checkpoint()
+        self._log("answers", rows, now, actor, f"review_{decision}", {"review": review_id})
+
+    def _known(self, entity: str) -> list[str]:
+        found = resolve.known_values(self.mentions.where(F.col("entity_id") == entity)).groupBy("entity_id").agg(F.sort_array(F.collect_set("value")).alias("v")).collect()
+        if not found:
+            raise ValueError(f"no live entity {entity}")
+        return found[0].v
+
+    def merge(self, keep: str, lose: str, now: str, actor: str = "local") -> None:
+        """Make two entities one; the log says by what both are known, so a rebuild merges them again."""
+        kinds = {r.entity_id: r.kind for r in self.entities.where(F.col("entity_id").isin(keep, lose)).collect()}
+        if keep == lose or len(set(kinds.values())) != 1 or len(kinds) != 2:
+            raise ValueError("two different live entities of one kind can be merged")
+        k, v = self._known(keep), self._known(lose)
+        rows = self.spark.createDataFrame([(f"{keep}>{lose}", [x for x in k if x not in v] or k, v, None)], resolve.MERGES).withColumn("said_at", F.lit(now).cast("timestamp"))
+        self._log("merges", rows, now, actor, "entity_merge", {"kept": keep, "merged": lose})
+
+    def unmerge(self, lose: str, now: str, actor: str = "local") -> None:
+        """Take a merge back: without its row in the log both are just what they were."""
+        log = self.table("merges")
+        if log.where(F.col("merge_id").endswith(f">{lose}")).isEmpty():
+            raise ValueError(f"{lose} is not merged into anything")
+        self.store.commit({"merges": log.where(~F.col("merge_id").endswith(f">{lose}")).checkpoint()})
+        self.rebuild(now, actor, "entity_unmerge", {"restored": lose})
+
+    def set_automated(self, entity: str, automated: bool, now: str, actor: str = "local") -> None:
+        rows = self.spark.createDataFrame([(self._known(entity), automated, None)], resolve.OVERRIDES).withColumn("said_at", F.lit(now).cast("timestamp"))
+        self._log("overrides", rows, now, actor, "automated_override", {"entity": entity, "automated": automated})
+
+    def audit(self, limit: int = 50) -> DataFrame:
+        return members.newest(self.table("audit"), limit)
+
+    # members and settings
+
+    def members(self) -> DataFrame:
+        return members.with_counts(self.table("members"), self.documents)
+
+    def add_member(self, name: str, email: str | None = None) -> str:
+        rows = members.add(self.table("members"), name, email).checkpoint()
+        self.store.commit({"members": rows})
+        return members.find(rows, name).collect()[0].id
+
+    def member(self, ref: str) -> str:
+        """The id of the one member that a name, an address or an id means."""
+        found = members.find(self.table("members"), ref).limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{'several members match' if found else 'no member matches'} {ref}")
+        return found[0].id
+
+    def remove_member(self, member: str, now: str, share: bool = False) -> None:
+        """Drop a member and their layer, or share what it holds with all."""
+        d, m = members.drop_layer(self.documents, self.mentions, member, share)
+        self.store.commit({"documents": d.checkpoint(), "mentions": m.checkpoint(), "members": self.table("members").where(F.col("id") != member).checkpoint()})
+        self.rebuild(now, "local", "member_removed", {"member": member, "shared": share})
+
+    def saved_settings(self) -> Settings:
+        if not self.store.has("settings"):
+            return Settings()
+        return Settings().changed(**json.loads(self.store.read("settings", SETTINGS).collect()[0][0]))
+
+    def put_settings(self, now: str, **patch) -> Settings:
+        """Change settings, keep them, and make the edges anew."""
+        self.settings = self.settings.changed(**patch)
+        row = self.spark.createDataFrame([(json.dumps(self.settings.as_dict()),)], SETTINGS)
+        self.store.commit({"settings": row, "edges": edges.rebuild_edges(self.documents, self.people, now, self.settings, signals=True).checkpoint()})
+        return self.settings
+
+    # reading
 
     def visible_entities(self, viewer: str | None) -> DataFrame:
         """Entities with a mention in a document the viewer may read, and what the viewer's own documents add to them."""
-        mine = self.evidence.where(F.col("owner") == F.lit(viewer)).groupBy("entity_id")
-        lists = {"emails": "email", "aliases": "alias", "orgs": "org"}
-        mine = mine.agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(f"own_{c}") for c, k in lists.items()])
-        both = self.entities.join(mine, "entity_id", "left").withColumns({c: F.array_union(c, F.coalesce(f"own_{c}", F.array().cast("array<string>"))) for c in lists})
-        both = both.select(*self.entities.columns)
-        if not self.settings.hide_private_entities:
-            return both
-        seen = self.store.read("documents").where(F.col("owner").isin(visible_layers(viewer))).select(F.col("id").alias("document_id"))
-        return both.join(self.store.read("mentions").join(seen, "document_id", "left_semi"), "entity_id", "left_semi")
+        seen = memory.visible(self.entities, self.documents, self.mentions, visible_layers(viewer), self.settings.hide_private_entities)
+        return resolve.overlay(seen, self.evidence, viewer)
+
+    def _seen(self, viewer: str | None) -> DataFrame:
+        return memory.visible(self.entities, self.documents, self.mentions, visible_layers(viewer), self.settings.hide_private_entities)
 
     def search(self, text: str, viewer: str | None = None, limit: int = 25) -> DataFrame:
-        like = f"%{text.lower()}%"
-        own = self.evidence.where((F.col("owner") == F.lit(viewer)) & F.lower("value").like(like)).select("entity_id", F.lit(True).alias("own")).distinct()
-        e = self.visible_entities(viewer).join(own, "entity_id", "left")
-        hit = F.lower("name").like(like) | F.to_json("emails").like(like) | F.lower(F.to_json("orgs")).like(like) | F.col("own")
-        return e.where(hit).drop("own").orderBy("name", "entity_id").limit(limit)
+        return memory.search(self._seen(viewer), self.evidence, text, viewer, limit)
+
+    def resolve_ref(self, ref: str, viewer: str | None = None) -> str:
+        """The id of the one entity that an id, a name or an address means; else an error with the candidates."""
+        seen = self._seen(viewer)
+        rows = memory.resolve_ref(memory.search(seen, self.evidence, ref, viewer, 5), seen.where(F.col("entity_id") == ref)).collect()
+        if not rows:
+            raise LookupError(f"no entity matches {ref}")
+        if not rows[0].sure:
+            raise LookupError(f"{ref} is ambiguous: " + ", ".join(sorted(f"{r['name']} ({r.entity_id})" for r in rows)))
+        return rows[0].entity_id
+
+    def _named(self, rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(self.entities.select(F.col("entity_id").alias(column), "name"), column, "left")
 
     def strongest_connections(self, who: str, viewer: str | None = None, limit: int = 25) -> DataFrame:
-        return graph.strongest_connections(self.edges, who, viewer, limit, self.settings)
+        return self._named(graph.strongest_connections(self.edges, who, viewer, limit, self.settings), "other").orderBy(F.desc("weight"), "other")
 
     def warm_path(self, a: str, b: str, viewer: str | None = None, max_hops: int = 4) -> DataFrame:
         return graph.best_path(graph.warm_paths(graph.visible_graph(self.edges, viewer, self.settings), a, b, max_hops, self.settings))
 
+    def private_path(self, a: str, b: str, viewer: str | None = None, max_hops: int = 4) -> DataFrame:
+        """Steps of a shorter path through others' layers; who the viewer can't see stays nameless."""
+        return graph.redact(graph.private_path(self.edges, a, b, viewer, max_hops, self.settings), self.entities, self._seen(viewer))
+
     def introducers(self, a: str, b: str, viewer: str | None = None) -> DataFrame:
-        return graph.introducers(graph.visible_graph(self.edges, viewer, self.settings), a, b)
+        return graph.introducers_of(self.edges, a, b, viewer, s=self.settings)
+
+    def private_introducers(self, a: str, b: str, viewer: str | None = None) -> DataFrame:
+        return graph.private_introducers(self.edges, a, b, viewer, self.settings)
+
+    def graph_view(self, viewer: str | None = None, limit: int = 300, focus: str | None = None, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+        people = self._seen(viewer).where("kind = 'person'")
+        if focus is not None and people.where(F.col("entity_id") == focus).isEmpty():
+            raise LookupError(f"no entity {focus}")
+        return graph.graph_view(graph.drawn_links(self.edges, people, viewer, self.settings), people, limit, focus, radius)
+
+    def _robots(self) -> DataFrame:
+        return self.table("senders").where("automated").select("entity_id")
+
+    def radar(self, now: str, viewer: str | None = None, limit: int = 25, who: str | None = None, include_automated: bool = False) -> DataFrame:
+        """The relationships that are most due, of all or of one person; automated senders have none."""
+        contacts = radar.pair_contacts(self.documents, self.people, visible_layers(viewer), self.settings, None if include_automated else self._robots())
+        rows = radar.contact_radar(contacts, now, self.settings, distinct=True)
+        return radar.most_urgent(rows if who is None else radar.of_person(rows, who), limit)
+
+    def radar_summary(self, now: str, viewer: str | None = None) -> DataFrame:
+        return radar.summary(radar.contact_radar(radar.pair_contacts(self.documents, self.people, visible_layers(viewer), self.settings, self._robots()), now, self.settings, distinct=True))
+
+    def touches(self, viewer: str | None = None) -> DataFrame:
+        return events.touches(self.documents, self.mentions, visible_layers(viewer))
+
+    def list_events(self, viewer: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+        return events.list_events(self.touches(viewer), since, until).orderBy("event_date", "event_name")
+
+    def resolve_event(self, ref: str, viewer: str | None = None) -> DataFrame:
+        return events.resolve_event(self.list_events(viewer), ref)
+
+    def event_history(self, who: str, viewer: str | None = None, limit: int = 100) -> DataFrame:
+        return events.event_history(self.touches(viewer), who, limit)
+
+    def event_guests(self, event: str, viewer: str | None = None, tier: str | None = None) -> DataFrame:
+        return self._named(events.event_guests(self.touches(viewer), event, tier), "entity").orderBy("rank", "name", "entity")
+
+    def guest_league(self, sort: str, viewer: str | None = None, include_hosts: bool = False, **how) -> DataFrame:
+        out = self._robots().select(F.col("entity_id").alias("entity"))
+        if not include_hosts:
+            out = out.unionByName(self.entities.join(events.hosts(self.documents), "name", "left_semi").select(F.col("entity_id").alias("entity")))
+        return self._named(events.guest_league(self.touches(viewer), sort, leave_out=out, **how), "entity")
+
+    def entity_brief(self, who: str, viewer: str | None = None) -> dict[str, DataFrame]:
+        """entity, connections, documents, withheld (a number), deals of an organisation or events of a person; tables of few rows."""
+        layers = visible_layers(viewer)
+        entity = self.visible_entities(viewer).where(F.col("entity_id") == who)
+        row = entity.collect()
+        if not row:
+            raise LookupError(f"no entity {who}")
+        brief = {
+            "entity": entity, "connections": self.strongest_connections(who, viewer, 10), "documents": memory.documents_of(self.documents, self.mentions, who, layers),
+            "withheld": memory.withheld(self.documents, self.mentions.where(F.col("entity_id") == who), layers),
+        }
+        if row[0].kind == "org":
+            return brief | {"deals": memory.deals_of(self.table("deals"), self.documents, row[0].aliases, layers)}
+        touches = self.touches(viewer).where(F.col("entity") == who)
+        return brief | {"events": events.guest_summary(touches), "recent_events": events.event_history(touches, who, 12)}
+
+    def brief_markdown(self, who: str, viewer: str | None = None) -> str:
+        b = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in self.entity_brief(who, viewer).items()}
+        return memory.markdown(b["entity"][0], b["connections"], b["documents"], next(iter(b.get("events", [])), None), b.get("recent_events", []))
+
+    def meeting_prep(self, who: str, viewer: str | None = None, me: str | None = None) -> dict[str, DataFrame]:
+        """The brief, and with ``me`` the ways to get there."""
+        prep = self.entity_brief(who, viewer)
+        if me is None:
+            return prep
+        return prep | {
+            "warm_path": self.warm_path(me, who, viewer), "private_path": self.private_path(me, who, viewer), "introducers": self._named(self.introducers(me, who, viewer), "mutual"),
+            "private_introducers": self.private_introducers(me, who, viewer),
+        }
+
+    def company_memory(self, ref: str, viewer: str | None = None) -> dict[str, DataFrame]:
+        """Deals under any name of a company, its documents and people; deals also of a company that isn't resolved."""
+        layers = visible_layers(viewer)
+        known = self.visible_entities(viewer)
+        best = memory.company_names(memory.search(self._seen(viewer), self.evidence, ref, viewer, 5), ref).collect()
+        names = best[0].names if best else [r[0] for r in self.spark.range(1).select(memory.norm_org(F.lit(ref))).collect() if r[0]]
+        found = {"deals": memory.deals_of(self.table("deals"), self.documents, names, layers)}
+        if not best:
+            return found
+        who = best[0].entity_id
+        return found | {"entity": known.where(F.col("entity_id") == who), "documents": memory.documents_of(self.documents, self.mentions, who, layers, 15), "people": memory.people_of(known, names)}
+
+    def stats(self, viewer: str | None = None) -> DataFrame:
+        return memory.counts(
+            self.documents, self.mentions, self.entities, self.table("decisions"), self.edges, self.table("extractions"), visible_layers(viewer), self.settings.hide_private_entities
+        )
 
-    def radar(self, now: str, viewer: str | None = None, limit: int = 25) -> DataFrame:
-        people = self.store.read("mentions").where("kind = 'person'")
-        contacts = radar.pair_contacts(self.store.read("documents"), people, visible_layers(viewer), self.settings)
-        return radar.most_urgent(radar.contact_radar(contacts, now, self.settings), limit)
+    def documents_overview(self, viewer: str | None = None) -> dict[str, DataFrame]:
+        layers = visible_layers(viewer)
+        return {"sources": memory.source_breakdown(self.documents, layers), "recent": memory.recent_documents(self.documents, layers), "counts": memory.layer_counts(self.documents, layers)}

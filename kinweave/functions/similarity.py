@@ -1,55 +1,43 @@
-"""Name similarity. Spark has no Jaro-Winkler, so distinct pairs go through a vectorised function."""
+"""Name similarity as column expressions. Spark has no Jaro-Winkler; array functions can say it."""
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def jaro_winkler(a: str | None, b: str | None) -> float:
-    """Jaro with transpositions halved but not floored, and a prefix bonus at any similarity."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = list(range(len(b)))
-    left, right = [], []
-    for i, x in enumerate(a):
-        j = next((j for j in free if abs(i - j) <= reach and b[j] == x), None)
-        if j is not None:
-            free.remove(j)
-            left.append(x)
-            right.append(j)
-    m = len(left)
-    if not m:
-        return 0.0
-    moved = sum(x != b[j] for x, j in zip(left, sorted(right)))
-    jaro = (m / len(a) + m / len(b) + (m - moved / 2) / m) / 3
-    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * same * (1 - jaro)
-
-
-def name_similarity(a: str | None, b: str | None) -> float:
-    """Mean over the shorter name's tokens of the best match among the longer's; an initial matches at 0.85."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    short, long = sorted((a.split(" "), b.split(" ")), key=len)
 
-    def best(token: str) -> float:
-        return max(max(jaro_winkler(token, x), 0.85 if len(token) == 1 and x[:1] == token else 0.0) for x in long)
 
-    return sum(map(best, short)) / len(short)
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro with transpositions halved but not floored, and a prefix bonus at any similarity; 0 for nothing."""
+    x, y = F.split(a, ""), F.split(b, "")
+    la, lb = F.length(a), F.length(b)
+    reach = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
+    places = F.sequence(F.lit(1), lb)
+
+    def take(taken: Column, i: Column) -> Column:
+        """Append the first free place of b that matches the i-th letter of a, or 0."""
+        free = F.filter(places, lambda j: (F.abs(i - j) <= reach) & (F.element_at(y, j) == F.element_at(x, i)) & ~F.array_contains(taken, j))
+        return F.array_append(taken, F.coalesce(F.get(free, F.lit(0)), F.lit(0)))
 
+    taken = F.filter(F.aggregate(F.sequence(F.lit(1), la), F.array().cast("array<int>"), take), lambda j: j > 0)
+    ordered = F.zip_with(taken, F.sort_array(taken), lambda j, k: F.element_at(y, j) != F.element_at(y, k))
+    # the matched letters of both in their orders: that of a's i-th match is the one at its place in b
+    moved = F.size(F.filter(ordered, lambda differs: differs))
+    m = F.size(taken)
+    jaro = (m / la + m / lb + (m - moved / 2) / m) / 3
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.get(x, k - 1) == F.get(y, k - 1)) & (k <= F.least(la, lb)), k).otherwise(n))
+    value = F.when(m == 0, 0.0).otherwise(jaro + 0.1 * same * (1 - jaro))
+    return F.when((F.coalesce(la, F.lit(0)) == 0) | (F.coalesce(lb, F.lit(0)) == 0), 0.0).when(a == b, 1.0).otherwise(value)
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """Mean over the shorter name's tokens of the best match among the longer's; an initial matches at 0.85."""
+    s, t = F.split(a, " "), F.split(b, " ")
+    first = F.size(s) <= F.size(t)
+    short, long = F.when(first, s).otherwise(t), F.when(first, t).otherwise(s)
+
+    def best(token: Column) -> Column:
+        initial = lambda x: F.when((F.length(token) == 1) & F.startswith(x, token), 0.85).otherwise(0.0)
+        return F.array_max(F.transform(long, lambda x: F.greatest(jaro_winkler(token, x), initial(x))))
 
-@F.pandas_udf(T.DoubleType())
-def name_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    total = F.aggregate(F.transform(short, best), F.lit(0.0), lambda n, x: n + x)
+    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(total / F.size(short))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Words and patterns that results depend on.
 HONORIFICS = ["mr", "mrs", "ms", "dr", "prof", "sir"]
 ORG_SUFFIXES = "ltd|llc|llp|inc|plc|gmbh|sarl|limited|capital|partners|ventures|vc|fund|management"
-FREEMAIL = ["gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "me.com", "proton.me", "protonmail.com"]
+FREEMAIL = ["gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "me.com", "aol.com", "proton.me", "protonmail.com"]
 ROBOT = (
     r"^(no-?reply@|do-?not-?reply@|donotreply@|noreply[+-]|notifications?@|alerts?@|news(letter)?@|mailer-daemon@|postmaster@|"
     r"bounces?[@+-]|automated@|robot@|bot@|daemon@|mailer@|receipts?@|digest@|updates@)|-bounces@"
@@ -77,8 +77,9 @@ def classify_address(email: Column, name: Column) -> Column:
 
 def mask_emails(text: Column) -> Column:
     """The text with every character of an address turned into a space, so places stay."""
-    cut = F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1))
-    return F.aggregate(cut, text, lambda t, e: F.replace(t, e, F.repeat(F.lit(" "), F.length(e))))
+    found = F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1))
+    parts = F.zip_with(F.split(text, EMAIL, -1), found, lambda t, e: F.concat(t, F.repeat(F.lit(" "), F.coalesce(F.length(e), F.lit(0)))))
+    return F.array_join(parts, "")
 
 
 def document_id(source: Column, external_id: Column, kind: Column, title: Column, occurred_at: Column, owner: Column) -> Column:

@@ -64,16 +64,26 @@ def pairs(documents: DataFrame, mentions: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def _fold(each: DataFrame, now: str, s: Settings) -> DataFrame:
+def _fold(each: DataFrame, now: str, s: Settings, signals: bool = False) -> DataFrame:
+    """Edges from pairs; ``signals`` adds a map of how many documents of each kind a pair shares."""
     w = pair_weight(F.col("kind"), F.col("role_a"), F.col("role_b"), s) * decay(F.col("occurred_at"), now, s)
-    return each.groupBy("owner", "a", "b").agg(F.sum(w).alias("weight"), F.max("occurred_at").alias("last_seen"), F.count(F.lit(1)).alias("n")).withColumn(
-        "strength", strength(F.col("weight"), s)
-    )
+    pair, total = ["owner", "a", "b"], [F.sum(w).alias("weight"), F.max("occurred_at").alias("last_seen"), F.count(F.lit(1)).alias("n")]
+    if signals:
+        kinds = each.groupBy(*pair, F.coalesce("kind", F.lit("other")).alias("kind")).agg(*total)
+        each = kinds.groupBy(*pair).agg(
+            F.sum("weight").alias("weight"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"),
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("signals"),
+        )
+    else:
+        each = each.groupBy(*pair).agg(*total)
+    value = strength(F.col("weight"), s)
+    finite = F.coalesce(F.abs(F.col("weight")) < F.lit(float("inf")), F.lit(False))  # neither NaN nor infinite
+    return each.withColumn("strength", F.when(finite, value).otherwise(F.raise_error("an edge's weight isn't finite").cast("double")))
 
 
-def rebuild_edges(documents: DataFrame, mentions: DataFrame, now: str, s: Settings = Settings()) -> DataFrame:
-    """All edges (owner, a, b, weight, last_seen, n, strength)."""
-    return _fold(pairs(documents, mentions, s), now, s)
+def rebuild_edges(documents: DataFrame, mentions: DataFrame, now: str, s: Settings = Settings(), signals: bool = False) -> DataFrame:
+    """All edges (owner, a, b, weight, last_seen, n, strength), with ``signals`` if asked for."""
+    return _fold(pairs(documents, mentions, s), now, s, signals)
 
 
 def edge_signals(documents: DataFrame, mentions: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -95,7 +105,7 @@ def rebuild_edges_for(edges: DataFrame, documents: DataFrame, mentions: DataFram
     a, b = (dirty.select(F.col("entity_id").alias(c), F.lit(True).alias(f"in_{c}")) for c in "ab")
     mark = lambda df: df.join(a, "a", "left").join(b, "b", "left")
     hit = F.col("in_a").isNotNull() | F.col("in_b").isNotNull()
-    fresh = _fold(mark(each).where(hit), now, s)
+    fresh = _fold(mark(each).where(hit), now, s, "signals" in edges.columns)
     rest = mark(edges).where(~hit).select(*fresh.columns)
     return rest.unionByName(fresh)
 

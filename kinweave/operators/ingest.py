@@ -41,9 +41,13 @@ def drop_stale(old: DataFrame, fresh: DataFrame, scope: str, key: str) -> DataFr
 
 
 def normalise(records: DataFrame, position: str = "__kw_position") -> tuple[DataFrame, DataFrame]:
-    """(documents, mentions) of a batch of records; of records with the same id the last counts."""
+    """(documents, mentions) of a batch of records; of records with the same id the last counts.
+
+    ``position`` says which is the last (readers of files add it). Records without one are put in an order of their
+    own, by date and content, so the result doesn't depend on how they are dealt over tasks.
+    """
     if position not in records.columns:
-        records = records.withColumn(position, F.monotonically_increasing_id())
+        records = records.withColumn(position, F.struct("occurred_at", F.to_json(F.struct(*records.columns))))
     did = document_id(F.col("source"), F.col("external_id"), F.col("kind"), F.col("title"), F.col("occurred_at"), F.col("owner"))
     body = F.when(F.length("body") >= LEAST_BODY, F.col("body"))
     rows = last_wins(records.withColumn("id", did).withColumn("body", body), ["id"], [position], "body")
@@ -68,12 +72,24 @@ def normalise(records: DataFrame, position: str = "__kw_position") -> tuple[Data
     mentions = both.select(
         F.concat(F.lit("men_"), F.substring(F.sha1(key.cast("binary")), 1, 20)).alias("id"), "document_id", "kind", "name", "email", "org_hint", "role",
         "norm_name", "norm_email", F.lit(None).cast("string").alias("entity_id"), F.lit("structured").alias("origin"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("context"),
     )
     return documents, mentions
 
 
-def ingest(documents: DataFrame, mentions: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored tables with a batch of records taken in. Resolved mentions stay resolved."""
+def ingest(documents: DataFrame, mentions: DataFrame, records: DataFrame, bodies: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The stored tables with a batch of records taken in. Resolved mentions stay resolved.
+
+    Without ``bodies`` none is kept of the documents that come in, and what was kept of them goes.
+    """
     d, m = normalise(records)
+    if not bodies:
+        none = F.lit(None).cast("string")
+        m = m.where("origin = 'structured'")
+        return upsert(documents, d.withColumns({"body": none, "body_sha256": none}), "id"), _with_mentions(mentions, m)
+    return upsert(documents, d, "id", ("body", "body_sha256")), _with_mentions(mentions, m)
+
+
+def _with_mentions(mentions: DataFrame, m: DataFrame) -> DataFrame:
     stay = drop_stale(mentions.where("origin = 'structured'"), m, "document_id", "id").unionByName(mentions.where("origin <> 'structured'"))
-    return upsert(documents, d, "id", ("body", "body_sha256")), upsert(stay, m, "id", ("entity_id",))
+    return upsert(stay, m, "id", ("entity_id",))

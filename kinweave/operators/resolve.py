@@ -1,118 +1,146 @@
-"""Entity resolution: block, score, decide; exact per connected group of block keys.
+"""Entity resolution: block, score, decide, as joins in rounds.
 
-The decision is a fold in time order, as each attachment changes later candidates. Candidates
-come from shared keys alone, so mentions that no chain of shared keys connects never influence
-each other: the fold runs separately for each connected group, in parallel. Groups are found by
-joins. A freemail domain is a key too, so its users make one large group; ``split_freemail``
-leaves such domains out of the keys, which loses name-only candidates among them.
+The unit is an identity: a distinct (kind, name, address, organisation), however many mentions
+have it. Identities are decided in the order in which they first appear, as each attachment
+changes what later ones are compared with. A decision depends on earlier identities alone, so
+the sequential result is the one fixed point of "decide every identity by what the others were
+decided to be": rounds of joins that decide all identities at once reach it, after as many rounds
+as the longest chain of decisions that wait for each other. No group goes to one task.
+
+Candidates come from shared keys. A key that more than ``MOST_SHARED`` identities have (a freemail
+domain, a very frequent name) is refined: only those that also share the initial of a name token
+meet in it. Others there share no initial with any token of each other's names; they couldn't reach
+the merge threshold, only a review.
+
+What people decided is kept as logs of identities, not of ids: ``answers`` to questions, merges
+and overrides. They are joined in whenever entities are made, so a rebuild replays them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions.similarity import jaro_winkler, name_similarity
-from kinweave.functions.text import FREEMAIL, block_keys, norm_org
+from kinweave.functions.text import FREEMAIL, block_keys, classify_address, norm_org
 from kinweave.settings import Settings
 
+MOST_SHARED = 1_000
 ASSIGNMENTS = "mention_id string, entity_id string, candidate_id string, score double, decision string"
+ANSWERS = "norm_name string, norm_email string, known array<string>, decision string, said_at timestamp"
+MERGES = "merge_id string, keeper array<string>, loser array<string>, said_at timestamp"
+OVERRIDES = "known array<string>, automated boolean, said_at timestamp"
+
+
+def _or_empty(c) -> Column:
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def identity_id(kind, name, email, org) -> Column:
+    """An id from content, so running again gives the same."""
+    return F.concat(F.lit("ent_"), F.substring(F.sha1(F.concat_ws("\x1f", *[_or_empty(c) for c in (kind, name, email, org)]).cast("binary")), 1, 20))
+
+
+def identities(documents: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, kind, name, email, org, place, mention_id, keys): distinct identities, where in time they first appear (undated last), and in which mention."""
+    rows = mentions.where("norm_name is not null or norm_email is not null").join(documents.select(F.col("id").alias("document_id"), "occurred_at"), "document_id")
+    rows = rows.select(F.col("id").alias("mention_id"), "kind", F.col("norm_name").alias("name"), F.col("norm_email").alias("email"), norm_org(F.col("org_hint")).alias("org"), "occurred_at")
+    place = F.struct(F.col("occurred_at").isNull().alias("undated"), F.col("occurred_at").alias("at"), F.col("mention_id").alias("mention"))
+    found = rows.groupBy("kind", "name", "email", "org").agg(F.min(place).alias("place"))
+    keys = block_keys(F.col("name"), F.col("email"), F.col("kind"))
+    return found.select(identity_id("kind", "name", "email", "org").alias("id"), "kind", "name", "email", "org", "place", F.col("place.mention").alias("mention_id"), keys.alias("keys"))
 
 
-@dataclass
-class _Entity:
-    id: str
-    kind: str
-    names: set = field(default_factory=set)
-    emails: set = field(default_factory=set)
-    orgs: set = field(default_factory=set)
-
-
-def _score(m, e: _Entity) -> tuple[float, bool]:
-    """(score, exact address)."""
-    if e.kind == "org":
-        best = max((jaro_winkler(m.norm_name, n) for n in e.names), default=0.0)
-        return (0.97 if best >= 0.999 else best * 0.92), False
-    if m.norm_email and m.norm_email in e.emails:
-        return 0.98, True
-    best = max((name_similarity(m.norm_name, n) for n in e.names), default=0.0)
-    domain = m.norm_email.split("@")[1] if m.norm_email else None
-    work = domain if domain and domain not in FREEMAIL else None
-    known = {x.split("@")[1] for x in e.emails}
-    other_domain = bool(work) and domain not in known and any(d not in FREEMAIL for d in known)
-    other_org = bool(m.norm_org) and bool(e.orgs) and m.norm_org not in e.orgs
-    if best >= 0.999 and not other_domain and not other_org:
-        return 0.96, False
-    score = 0.9 * best + 0.08 * bool(m.norm_org and m.norm_org in e.orgs) + 0.07 * bool(work and domain in known)
-    return min(score, 0.99), False
-
-
-def fold(rows: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Decide the mentions of one group in order: attach, queue for a human, or create."""
-    by_key: dict[str, dict[str, _Entity]] = {}
-    asked, out = set(), []
-
-    def learn(e: _Entity, m) -> None:
-        for have, new in ((e.names, m.norm_name), (e.emails, m.norm_email), (e.orgs, m.norm_org)):
-            if new:
-                have.add(new)
-        for k in m.keys_:
-            by_key.setdefault(k, {})[e.id] = e
-
-    for m in rows.sort_values(["occurred_at", "mention_id"], na_position="last").itertuples():
-        candidates = {i: e for k in m.keys_ for i, e in by_key.get(k, {}).items() if e.kind == m.kind}
-        scored = sorted(((*_score(m, e), e) for e in candidates.values()), key=lambda x: (-x[0], x[2].id))
-        best = scored[0] if scored else None
-        exact = sum(x[1] for x in scored)
-        unsure = len(scored) > 1 and scored[1][0] >= s.auto_merge and (not best[1] or exact > 1)
-        if best and best[0] >= s.auto_merge and not unsure:
-            learn(best[2], m)
-            out.append((m.mention_id, best[2].id, best[2].id, best[0], "attach"))
-        elif best and (best[0] >= s.review or unsure):
-            question = (best[2].id, m.norm_name, m.norm_email)
-            out.append((m.mention_id, None, best[2].id, best[0], "repeat" if question in asked else "queue"))
-            asked.add(question)
-        else:
-            e = _Entity("ent_" + hashlib.sha1(m.mention_id.encode()).hexdigest()[:20], m.kind)
-            learn(e, m)
-            out.append((m.mention_id, e.id, None, None, "create"))
-    return pd.DataFrame(out, columns=["mention_id", "entity_id", "candidate_id", "score", "decision"])
-
-
-def groups(keys: DataFrame) -> DataFrame:
-    """(mention_id, group) from (mention_id, key): the smallest mention that a chain of keys leads to."""
-    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
-    at = keys.groupBy("mention_id").agg(F.min("mention_id").alias("group"))
+def candidate_pairs(found: DataFrame, most: int = MOST_SHARED) -> DataFrame:
+    """(id, other): pairs of identities of one kind that share a key, the other being the earlier one."""
+    initials = F.array_distinct(F.transform(F.split(F.col("name"), " "), lambda t: F.substring(t, 1, 1)))
+    keyed = found.select("id", "place", "kind", F.explode("keys").alias("key"), initials.alias("initials"))
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("often"))
+    keyed = keyed.join(often, "key", "left")
+    refined = F.when(F.col("often") & F.col("initials").isNotNull() & ~F.startswith("key", F.lit("e:")), F.transform("initials", lambda i: F.concat("key", F.lit("#"), i)))
+    keyed = keyed.select("id", "place", "kind", F.explode(F.coalesce(refined, F.array("key"))).alias("key"))
+    x, y = keyed.toDF("id", "place", "kind", "key"), keyed.toDF("other", "other_place", "other_kind", "key")
+    return x.join(y, "key").where((F.col("other_place") < F.col("place")) & (F.col("kind") == F.col("other_kind"))).select("id", "other").distinct()
+
+
+def _score(known: Column) -> tuple[Column, Column]:
+    """(score, exact address) of an identity against an entity's earlier identities (name, email, org)."""
+    field = lambda f: F.array_distinct(F.array_compact(F.transform(known, lambda m: m[f])))
+    names, emails, orgs = field("name"), field("email"), field("org")
+    best = lambda f: F.coalesce(F.array_max(F.transform(names, lambda n: f(F.col("name"), n))), F.lit(0.0))
+    exact = F.coalesce(F.array_contains(emails, F.col("email")), F.lit(False))
+    similar, like = best(name_similarity), best(jaro_winkler)
+    domain = F.split(F.col("email"), "@")[1]
+    work = F.coalesce(~domain.isin(FREEMAIL), F.lit(False))
+    domains = F.transform(emails, lambda e: F.split(e, "@")[1])
+    shares_domain = work & F.coalesce(F.array_contains(domains, domain), F.lit(False))
+    shares_org = F.coalesce(F.array_contains(orgs, F.col("org")), F.lit(False))
+    other_domain = work & ~shares_domain & F.exists(domains, lambda d: ~d.isin(FREEMAIL))
+    other_org = F.col("org").isNotNull() & (F.size(orgs) > 0) & ~shares_org
+    person = F.when(exact, 0.98).when((similar >= 0.999) & ~other_domain & ~other_org, 0.96).otherwise(
+        F.least(0.9 * similar + F.when(shares_org, 0.08).otherwise(0.0) + F.when(shares_domain, 0.07).otherwise(0.0), F.lit(0.99))
+    )
+    score = F.when(F.col("kind") == "org", F.when(like >= 0.999, 0.97).otherwise(like * 0.92)).otherwise(person)
+    return score, exact & (F.col("kind") != "org")
+
+
+def _round(found: DataFrame, pairs: DataFrame, at: DataFrame, answers: DataFrame | None, s: Settings) -> DataFrame:
+    """Decide all identities, (id, entity_id, candidate_id, score, decision), given what they were decided to be (id, entity_id)."""
+    taken = at.where("entity_id is not null")
+    known = found.join(taken, "id").groupBy("entity_id").agg(F.collect_list(F.struct("place", "name", "email", "org")).alias("known"))
+    met = pairs.join(taken.select(F.col("id").alias("other"), F.col("entity_id").alias("candidate_id")), "other").select("id", "candidate_id").distinct()
+    met = met.join(known.withColumnRenamed("entity_id", "candidate_id"), "candidate_id").join(found.select("id", "kind", "name", "email", "org", "place"), "id")
+    met = met.withColumn("known", F.filter("known", lambda m: m["place"] < F.col("place")))
+    score, exact = _score(F.col("known"))
+    values = F.flatten(F.transform("known", lambda m: F.array(m["name"], m["email"])))
+    met = met.select("id", "name", "email", "candidate_id", score.alias("score"), exact.alias("exact"), values.alias("values"))
+    w = W.partitionBy("id").orderBy(F.desc("score"), "candidate_id")
+    met = met.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w), "exacts": F.count_if("exact").over(W.partitionBy("id"))}).where("rank = 1")
+    unsure = F.coalesce(F.col("next") >= s.auto_merge, F.lit(False)) & (~F.col("exact") | (F.col("exacts") > 1))
+    decision = F.when((F.col("score") >= s.auto_merge) & ~unsure, "attach").when((F.col("score") >= s.review) | unsure, "queue").otherwise("create")
+    met = met.withColumn("decision", decision)
+    if answers is not None:
+        said = answers.select(_or_empty("norm_name").alias("an"), _or_empty("norm_email").alias("ae"), F.col("known").alias("av"), F.col("decision").alias("said"), "said_at")
+        hit = (_or_empty("name") == F.col("an")) & (_or_empty("email") == F.col("ae")) & F.arrays_overlap(F.array_compact("values"), "av")
+        met = met.join(F.broadcast(said), hit, "left")  # what people have decided, by hand
+        latest = W.partitionBy("id").orderBy(F.desc_nulls_last("said_at"), "said")
+        met = met.withColumn("p", F.row_number().over(latest)).where("p = 1")
+        answered = F.when(F.col("said") == "accept", "attach").when(F.col("said") == "reject", "create")
+        met = met.withColumn("decision", F.when(F.col("decision") == "queue", F.coalesce(answered, "decision")).otherwise(F.col("decision")))
+    met = met.select("id", F.col("candidate_id"), "score", "decision")
+    decided = found.select("id").join(met, "id", "left").withColumn("decision", F.coalesce("decision", F.lit("create")))
+    entity = F.when(F.col("decision") == "create", F.col("id")).when(F.col("decision") == "attach", F.col("candidate_id"))
+    created = F.col("decision") == "create"
+    return decided.select("id", entity.alias("entity_id"), F.when(~created, F.col("candidate_id")).alias("candidate_id"), F.when(~created, F.col("score")).alias("score"), "decision")
+
+
+def decide(found: DataFrame, answers: DataFrame | None = None, s: Settings = Settings(), most: int = MOST_SHARED) -> DataFrame:
+    """(id, entity_id, candidate_id, score, decision) of each identity: attach, queue or create."""
+    found = found.checkpoint()
+    pairs = candidate_pairs(found, most).checkpoint()
+    at = found.select("id", F.col("id").alias("entity_id"))
     while True:
-        least = keys.join(at, "mention_id").groupBy("key").agg(F.min("group").alias("g"))
-        step = keys.join(least, "key").groupBy("mention_id").agg(F.min("g").alias("g"))
-        step = step.join(at, "mention_id").select("mention_id", F.col("group").alias("old"), F.least("g", "group").alias("group"))
-        up = at.select(F.col("mention_id").alias("group"), F.col("group").alias("above"))
-        step = step.join(up, "group", "left").select("mention_id", "old", F.least("group", F.coalesce("above", "group")).alias("group"))
-        step = step.checkpoint()
-        if step.where("old <> group").isEmpty():
-            return step.select("mention_id", "group")
-        at = step.select("mention_id", "group")
-
-
-def resolve(documents: DataFrame, mentions: DataFrame, s: Settings = Settings(), split_freemail: bool = False) -> DataFrame:
-    """A decision for each mention that has a name or an address: attach, queue, repeat or create."""
-    rows = mentions.where("norm_name is not null or norm_email is not null").join(
-        documents.select(F.col("id").alias("document_id"), "occurred_at"), "document_id"
+        decided = _round(found, pairs, at, answers, s).checkpoint()
+        moved = decided.join(at.withColumnRenamed("entity_id", "before"), "id").where(~F.col("entity_id").eqNullSafe(F.col("before")))
+        at = decided.select("id", "entity_id")
+        if moved.isEmpty():
+            return decided
+
+
+def resolve(documents: DataFrame, mentions: DataFrame, s: Settings = Settings(), answers: DataFrame | None = None, most: int = MOST_SHARED) -> DataFrame:
+    """A decision for each mention that has a name or an address: attach, queue, repeat (the question is asked already) or create."""
+    found = identities(documents, mentions).checkpoint()
+    decided = decide(found, answers, s, most)
+    asked = W.partitionBy("decision", "candidate_id", "name", "email").orderBy("place")
+    first = found.join(decided, "id").withColumn("nth", F.row_number().over(asked))
+    first = first.select("id", "mention_id", "entity_id", "candidate_id", "score", "decision", "nth")
+    rows = mentions.where("norm_name is not null or norm_email is not null").select(
+        F.col("id").alias("mention"), identity_id("kind", "norm_name", "norm_email", norm_org(F.col("org_hint"))).alias("id")
     )
-    rows = rows.select(
-        F.col("id").alias("mention_id"), "kind", "norm_name", "norm_email", norm_org(F.col("org_hint")).alias("norm_org"), "occurred_at",
-        block_keys(F.col("norm_name"), F.col("norm_email"), F.col("kind")).alias("keys_"),
-    )
-    if split_freemail:
-        rows = rows.withColumn("keys_", F.filter("keys_", lambda k: ~k.isin([f"d:{d}" for d in FREEMAIL])))
-    found = groups(rows.select("mention_id", F.explode("keys_").alias("key")))
-    return rows.join(found, "mention_id").groupBy("group").applyInPandas(lambda g: fold(g, s), ASSIGNMENTS)
+    asks = (F.col("mention") == F.col("mention_id")) & (F.col("nth") == 1)
+    decision = F.when((F.col("decision") == "queue") & ~asks, "repeat").when((F.col("decision") == "create") & (F.col("mention") != F.col("mention_id")), "attach").otherwise(F.col("decision"))
+    return rows.join(first, "id").select(F.col("mention").alias("mention_id"), "entity_id", "candidate_id", "score", decision.alias("decision"))
 
 
 def apply(mentions: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -148,21 +176,103 @@ def evidence(documents: DataFrame, mentions: DataFrame) -> DataFrame:
     return rows.where("owner <> ''").join(rows.where("owner = ''"), ["entity_id", "kind", "value"], "left_anti").select("entity_id", "owner", "kind", "value")
 
 
+def overlay(known: DataFrame, private: DataFrame, viewer: str | None) -> DataFrame:
+    """Entities with what the viewer's own documents add to their lists."""
+    lists = {"emails": "email", "aliases": "alias", "orgs": "org"}
+    mine = private.where(F.col("owner") == F.lit(viewer)).groupBy("entity_id")
+    mine = mine.agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(f"own_{c}") for c, k in lists.items()])
+    both = known.join(mine, "entity_id", "left").withColumns({c: F.array_union(c, F.coalesce(f"own_{c}", F.array().cast("array<string>"))) for c in lists})
+    return both.select(*known.columns)
+
+
+def known_values(mentions: DataFrame) -> DataFrame:
+    """(entity_id, value): the names and addresses of each entity in any layer, by which logs of decisions find it again."""
+    each = F.explode(F.array_compact(F.array("norm_name", "norm_email"))).alias("value")
+    return mentions.where("entity_id is not null").select("entity_id", each).distinct()
+
+
+def find(log: DataFrame, column: str, values: DataFrame, key: str = "row") -> DataFrame:
+    """(key, entity_id): for each row of a log the entity that shares most values with its ``column``; of equals the smallest id."""
+    hits = log.select(key, F.explode(column).alias("value")).join(values, "value").groupBy(key, "entity_id").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy(key).agg(F.min(F.struct(-F.col("n"), "entity_id")).alias("m")).select(key, F.col("m.entity_id").alias("entity_id"))
+
+
+def survivors(merges: DataFrame) -> DataFrame:
+    """(loser, survivor) with every chain of (loser, survivor) followed to its end; a loser goes one way only."""
+    at = merges.where("loser <> survivor").groupBy("loser").agg(F.min("survivor").alias("survivor"))
+    for _ in range(32):  # each round doubles the length of chains that are followed
+        up = at.select(F.col("loser").alias("survivor"), F.col("survivor").alias("above"))
+        step = at.join(up, "survivor", "left").select("loser", F.col("survivor").alias("before"), F.coalesce("above", "survivor").alias("survivor")).checkpoint()
+        at = step.select("loser", "survivor")
+        if step.where("before <> survivor").isEmpty():
+            break
+    return at.where("loser <> survivor")
+
+
 def merge(mentions: DataFrame, merges: DataFrame) -> DataFrame:
-    """Mentions repointed by a log of (loser, survivor); dropping a row from the log undoes it."""
-    m = merges.select(F.col("loser").alias("entity_id"), "survivor")
+    """Mentions repointed by a log of (loser, survivor), chains included; dropping a row from the log undoes it."""
+    m = survivors(merges).select(F.col("loser").alias("entity_id"), "survivor")
     return mentions.join(m, "entity_id", "left").withColumn("entity_id", F.coalesce("survivor", "entity_id")).select(*mentions.columns)
 
 
+def replay_merges(mentions: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions merged, (merge_id, keeper_id, loser_id) as found) by a log of merges of identities."""
+    values = known_values(mentions)
+    ends = [find(log, c, values, "merge_id").withColumnRenamed("entity_id", f"{c}_id") for c in ("keeper", "loser")]
+    found = ends[0].join(ends[1], "merge_id").checkpoint()
+    return merge(mentions, found.select(F.col("loser_id").alias("loser"), F.col("keeper_id").alias("survivor"))), found
+
+
+def merge_entities(known: DataFrame, merges: DataFrame) -> DataFrame:
+    """Survivors (entity_id, name, emails, aliases, orgs) of (loser, survivor), and what each gained: gained_emails, gained_aliases,
+    gained_orgs, name_before (null if it keeps its name). A name that isn't an address beats one that is; then the longer one;
+    an entity that only private documents know gives neither name nor alias."""
+    m = survivors(merges)
+    both = known.join(m.withColumnRenamed("loser", "entity_id"), "entity_id", "left").withColumn("to", F.coalesce("survivor", "entity_id"))
+    own = F.col("survivor").isNull()
+    private = (F.size("emails") == 0) & (F.size("aliases") == 0) & (F.size("orgs") == 0)
+    lists = ["emails", "aliases", "orgs"]
+    name_rank = F.struct(~private, ~F.contains("name", F.lit("@")), F.length("name"), own, "name")
+    g = both.groupBy(F.col("to").alias("entity_id")).agg(
+        F.count_if(~own).alias("merged"), F.max_by("name", name_rank).alias("name"), F.max(F.when(own, F.col("name"))).alias("old_name"),
+        *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists],
+        *[F.first(F.when(own, F.col(c)), ignorenulls=True).alias(f"old_{c}") for c in lists],
+    )
+    gained = [F.array_except(c, f"old_{c}").alias(f"gained_{c}") for c in lists]
+    return g.where("merged > 0").select("entity_id", "name", *lists, *gained, F.when(F.col("name") != F.col("old_name"), F.col("old_name")).alias("name_before"))
+
+
+def reviews(decisions: DataFrame, mentions: DataFrame, documents: DataFrame, known: DataFrame, layers: list[str]) -> DataFrame:
+    """Open questions in the viewer's layers, the surest first: which mention, of what document, and the candidate."""
+    q = decisions.where("decision = 'queue'").join(mentions.drop("entity_id").withColumnRenamed("id", "mention_id"), "mention_id")
+    d = documents.where(F.col("owner").isin(layers)).select(F.col("id").alias("document_id"), "title", "source")
+    e = known.select(F.col("entity_id").alias("candidate_id"), F.col("name").alias("candidate_name"))
+    q = q.join(d, "document_id").join(e, "candidate_id", "left")
+    review = F.concat(F.lit("rev_"), F.substring(F.sha1(F.concat_ws(":", "mention_id", "candidate_id").cast("binary")), 1, 20))
+    return q.select(
+        review.alias("review_id"), "score", "mention_id", F.col("name").alias("mention_name"), F.col("email").alias("mention_email"), "org_hint", "candidate_id", "candidate_name",
+        F.col("title").alias("document_title"), F.col("source").alias("document_source"), "norm_name", "norm_email",
+    ).orderBy(F.desc("score"), "review_id")
+
+
+def answer(question: DataFrame, values: DataFrame, decision: str, now: str) -> DataFrame:
+    """ANSWERS for questions: they hold the identity asked about and all the candidate is known by."""
+    if decision not in ("accept", "reject"):
+        raise ValueError(f"decision must be accept or reject, got {decision}")
+    known = values.withColumnRenamed("entity_id", "candidate_id").groupBy("candidate_id").agg(F.sort_array(F.collect_set("value")).alias("known"))
+    return question.join(known, "candidate_id").select("norm_name", "norm_email", "known", F.lit(decision).alias("decision"), F.lit(now).cast("timestamp").alias("said_at"))
+
+
 def automated(documents: DataFrame, mentions: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(entity_id, automated, reason): by address or name, or a role address that only ever sends; people's word wins."""
-    from kinweave.functions.text import classify_address
+    """(entity_id, automated, reason): by address or name in shared documents, or an address that only ever sends; people's word wins.
 
+    ``overrides`` has (entity_id, automated).
+    """
     rows = mentions.where("kind = 'person' and entity_id is not null").join(documents.select(F.col("id").alias("document_id"), F.col("kind").alias("doc_kind"), "owner"), "document_id")
     c = F.when(F.col("owner") == "", classify_address(F.col("norm_email"), F.col("name")))
     a = rows.groupBy("entity_id").agg(
         F.max(F.coalesce(c == "automated", F.lit(False))).alias("robot"), F.max(F.coalesce(c == "role", F.lit(False))).alias("role"),
-        F.count_if((F.col("doc_kind") == "email") & (F.col("role") == "from")).alias("sends"), F.count_if((F.col("doc_kind") == "email") & (F.col("role") != "from")).alias("receives"),
+        F.count_if(F.col("role") == "from").alias("sends"), F.count_if(F.col("role").isin("to", "cc")).alias("receives"),
         F.count_if(F.col("doc_kind").isin("meeting", "event")).alias("meetings"),
     )
     quiet = (F.col("receives") == 0) & (F.col("meetings") == 0) & (F.col("sends") >= F.when(F.col("role"), 3).otherwise(5))

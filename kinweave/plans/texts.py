@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
-from kinweave.functions.similarity import jaro_winkler_udf, name_similarity_udf
+
+from kinweave.functions import similarity as M
 from kinweave.operators import extract as X
 from kinweave.operators import ingest as I
 from kinweave.settings import Settings
@@ -68,12 +69,12 @@ def blocking_candidates(spark, sf):
 @query()
 def name_similarity(spark, sf):
     c = blocking_candidates(spark, sf)
-    return c.select("a", "b", F.round(jaro_winkler_udf("a", "b"), 9).alias("jw"), F.round(name_similarity_udf("a", "b"), 9).alias("similarity"))
+    return c.select("a", "b", F.round(M.jaro_winkler(F.col("a"), F.col("b")), 9).alias("jw"), F.round(M.name_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 @query()
 def resolve_score_band(spark, sf):
-    c = blocking_candidates(spark, sf).withColumn("score", 0.9 * name_similarity_udf("a", "b"))
+    c = blocking_candidates(spark, sf).withColumn("score", 0.9 * M.name_similarity(F.col("a"), F.col("b")))
     band = F.when(F.col("score") >= S.auto_merge, "attach").when(F.col("score") >= S.review, "queue").otherwise("create")
     return c.select("a", "b", F.round("score", 9).alias("score"), band.alias("band"))
 

@@ -13,4 +13,4 @@ PEOPLE = T.ArrayType(_fields("name email org role"))
 #: One incoming document.
 RECORD = _fields("source kind external_id title occurred_at people orgs body raw owner", people=PEOPLE, orgs=T.ArrayType(T.StringType()))
 DOCUMENTS = _fields("id source kind external_id title occurred_at raw body body_sha256 owner", occurred_at=T.TimestampType())
-MENTIONS = _fields("id document_id kind name email org_hint role norm_name norm_email entity_id origin")
+MENTIONS = _fields("id document_id kind name email org_hint role norm_name norm_email entity_id origin confidence context", confidence=T.DoubleType())

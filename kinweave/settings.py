@@ -35,6 +35,9 @@ class Settings:
         if min([self.half_life_days, self.saturation, self.max_participants, *self.weights.values()]) <= 0:
             raise ValueError("weights, half life, saturation and the participant cap must be positive")
 
+    def as_dict(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
     def changed(self, **patch) -> Settings:
         """A copy with some settings changed; weights are merged with what there is."""
         unknown = set(patch) - {f.name for f in fields(self)}
@@ -48,3 +51,8 @@ class Settings:
 def visible_layers(viewer: str | None) -> list[str]:
     """The privacy layers a viewer reads: the shared one, and their own."""
     return [""] if not viewer else ["", viewer]
+
+
+def next_due(last: float, interval: float, failures: int = 0) -> float:
+    """When a source is due again, in seconds: each failure in a row doubles the wait, up to a day or the interval if that is longer."""
+    return last + min(interval * 2 ** min(failures, 4), max(interval, 86_400.0))

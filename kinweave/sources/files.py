@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,28 @@ from pyspark.sql import functions as F
 from kinweave.schemas import PEOPLE, RECORD
 
 
+#: Where a record stands: its file, the part of it that was read, and its place there.
+POSITION = "__kw_position"
+
+
+def _position() -> Column:
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One record a line, blank lines aside; a line that isn't JSON fails the read."""
-    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
+    """One record a line, blank lines aside, and its position; a line that isn't JSON fails the read."""
+    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path).select(*RECORD.names, _position().alias(POSITION))
+
+
+def bad_line(spark: SparkSession, path: str) -> str | None:
+    """"path:line: text" of the first line that isn't JSON; None if all are."""
+    lines = spark.read.text(path).select("value", _position().alias("p"), F.trim("value").alias("t"))
+    bad = lines.where("t <> ''").where(F.try_parse_json("t").isNull()).orderBy("p").limit(1).collect()
+    if not bad:
+        return None
+    file, start, at = bad[0].p
+    before = spark.read.text(path).select(_position().alias("p")).where((F.col("p.file_path") == file) & (F.struct("p.file_block_start", "p.at") < F.struct(F.lit(start), F.lit(at)))).count()
+    return f"{file}:{before + 1}: {bad[0].value[:80]}"
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
@@ -56,13 +76,18 @@ def contacts(spark: SparkSession, path: str, source: str = "crm") -> DataFrame:
 
 def connections(spark: SparkSession, path: str) -> DataFrame:
     """A connections export: a preamble, then a header with first name and connection date."""
-    lines = spark.read.text(path)
-    head = lines.where(F.lower("value").rlike("first name.*connected on")).limit(1).collect()
+    table = spark.read.option("multiLine", True).option("escape", '"').csv(path)  # quoted fields may hold commas and line ends
+    found = F.array(*[F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]", "") for c in table.columns])
+    head = table.where(F.array_contains(found, "firstname") & F.array_contains(found, "connectedon")).limit(1).collect()
+    if not head:  # the preamble may be narrower than the table, and then hides its columns
+        width = max(len(next(csv.reader([r[0]]))) for r in spark.read.text(path).limit(10).collect() if r[0])
+        schema = ", ".join(f"_c{i} string" for i in range(width))
+        table = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path)
+        found = F.array(*[F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]", "") for c in table.columns])
+        head = table.where(F.array_contains(found, "firstname") & F.array_contains(found, "connectedon")).limit(1).collect()
     if not head:
         raise ValueError(f"{path}: no header with first name and connection date")
-    names = [_plain(c) for c in head[0][0].split(",")]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.where((F.col("value") != head[0][0]) & (F.col("value") != "")).select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("r")).select("r.*")
+    rows = table.select(*[F.col(c).alias(_plain(n)) for c, n in zip(table.columns, head[0]) if n])
     at = F.try_to_timestamp("connectedon", F.lit("d MMM yyyy"))
     rows = rows.where(at.isNotNull())
     name = F.trim(F.concat_ws(" ", "firstname", "lastname"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import timezone
 from email import message_from_string, policy
+from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ POSTMARK = re.compile(r"^(From )?\S+ +(?:\w{3} )?\w{3} [ \d]\d [\d:]{5,8}(?: [+-
 MOST_BODY = 65_536
 
 
-def _mapped(pieces: DataFrame, parse: Callable[[str], dict | None]) -> DataFrame:
+def mapped(pieces: DataFrame, parse: Callable[[str], dict | None]) -> DataFrame:
     schema = to_arrow_schema(RECORD)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -33,6 +34,20 @@ def _mapped(pieces: DataFrame, parse: Callable[[str], dict | None]) -> DataFrame
     return pieces.mapInArrow(run, RECORD)
 
 
+def addresses(header: str | None, role: str | None = None) -> list[dict]:
+    """The people of an address header; encoded words are decoded, groups are opened."""
+    found = getaddresses([str(make_header(decode_header(header or "")))])
+    return [{"name": n or None, "email": a or None, "org": None, "role": role} for n, a in found if n or a]
+
+
+def mail_date(text: str | None) -> str | None:
+    """A Date header as ISO time in UTC; None if it can't be read."""
+    try:
+        return parsedate_to_datetime(str(text)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    except (TypeError, ValueError):
+        return None
+
+
 def parse_message(text: str) -> dict | None:
     """A record of one message, or None where no one is named. The first plain part is the body, else the HTML one."""
     head, _, rest = text.partition("\n")
@@ -45,10 +60,7 @@ def parse_message(text: str) -> dict | None:
         people += [{"name": n or None, "email": a or None, "org": None, "role": role} for n, a in getaddresses(values) if n or a]
     if not people:
         return None
-    try:
-        at = parsedate_to_datetime(str(m["date"])).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    except (TypeError, ValueError):
-        at = None
+    at = mail_date(m["date"])
     part = m.get_body(("plain", "html"))
     try:
         body = part.get_content() if part else None
@@ -80,7 +92,7 @@ def mbox(spark: SparkSession, path: str) -> DataFrame:
     """Messages of a mailbox. A body line that begins with "From " but is no postmark stays in its body."""
     pieces = spark.read.option("lineSep", "\nFrom ").text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
-    rows = _mapped(_whole(pieces).select("value"), parse_message)
+    rows = mapped(_whole(pieces).select("value"), parse_message)
     html = F.col("body").startswith("\x00")
     return rows.withColumn("body", F.when(html, strip_html(F.substring("body", 2, MOST_BODY))).otherwise(F.col("body")))
 
@@ -103,7 +115,7 @@ def parse_event(text: str) -> dict | None:
             mail = re.sub("(?i)^mailto:", "", value)
             people.append({"name": (cn[1] or cn[2]) if cn else None, "email": mail if "@" in mail else None, "org": None, "role": "attendee"})
         else:
-            fields.setdefault(name, value.replace("\\n", "\n").replace("\\,", ",").replace("\;", ";"))
+            fields.setdefault(name, value.replace("\\n", "\n").replace("\\,", ",").replace("\\;", ";"))
     d = re.match(r"(\d{4})(\d\d)(\d\d)(?:T(\d\d)(\d\d)(\d\d))?", fields.get("DTSTART", ""))
     at = f"{d[1]}-{d[2]}-{d[3]}T{d[4] or '00'}:{d[5] or '00'}:{d[6] or '00'}Z" if d else None
     return {"source": "ics", "kind": "meeting", "external_id": fields.get("UID"), "title": fields.get("SUMMARY"), "occurred_at": at, "people": people, "body": fields.get("DESCRIPTION")}
@@ -111,4 +123,4 @@ def parse_event(text: str) -> dict | None:
 
 def ics(spark: SparkSession, path: str) -> DataFrame:
     """Events of calendars."""
-    return _mapped(spark.read.option("lineSep", "END:VEVENT").text(path), parse_event)
+    return mapped(spark.read.option("lineSep", "END:VEVENT").text(path), parse_event)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinweave.operators.ingest import ingest
+from kinweave.operators.ingest import ingest, normalise
 from kinweave.schemas import RECORD
-from kinweave.store import Store
+from kinweave.store import Store, bucket
 
 
 def read_records(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -17,12 +17,17 @@ def read_records(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 
 def ingest_stream(records: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Take each micro-batch into the store. Ids come from content, so a batch that is tried again changes nothing."""
+    """Take each micro-batch into the store, rewriting only the buckets it touches, in one snapshot.
+
+    Ids come from content, so a batch that is tried again changes nothing.
+    """
 
     def take(batch: DataFrame, _: int) -> None:
-        documents, mentions = ingest(store.read("documents"), store.read("mentions"), batch)
-        store.write("documents", documents)
-        store.write("mentions", mentions)
+        d, _ = normalise(batch)
+        touched = [r[0] for r in d.select(bucket(F.col("id"))).distinct().collect()]  # at most BUCKETS
+        if touched:
+            documents, mentions = ingest(store.read("documents", buckets=touched), store.read("mentions", buckets=touched), batch)
+            store.commit({"documents": documents, "mentions": mentions}, touched)
 
     return records.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -35,3 +40,8 @@ def contact_counts(contacts: DataFrame, late: str = "2 days") -> DataFrame:
 def bursts(contacts: DataFrame, gap: str = "6 hours", late: str = "2 days") -> DataFrame:
     """Sessions of contact of each pair."""
     return contacts.withWatermark("at", late).groupBy(F.session_window("at", gap), "pair").agg(F.count(F.lit(1)).alias("contacts"))
+
+
+def once(records: DataFrame, key: str = "external_id", late: str = "7 days") -> DataFrame:
+    """Records whose key didn't come before within the watermark; for sources that send again. ``at`` is their event time."""
+    return records.withWatermark("at", late).dropDuplicatesWithinWatermark([key])

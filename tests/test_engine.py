@@ -4,7 +4,6 @@ import random
 
 import pytest
 from kinweave.api import Engine
-from kinweave.functions.similarity import jaro_winkler, name_similarity
 from kinweave.operators import edges, graph
 from kinweave.operators.events import show_rate
 from kinweave.settings import Settings
@@ -91,11 +90,6 @@ def test_participant_cap(spark):
     assert edges.rebuild_edges(d, m, NOW, Settings(max_participants=100)).count() == 1770
 
 
-def test_similarity():
-    assert jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
-    assert name_similarity("t merrill", "tom merrill") == pytest.approx(0.925)
-
-
 def test_show_rate(spark):
     rows = spark.createDataFrame([(3, 40), (1, 8), (29, 200), (1, 3)], "a int, n int").select("a", "n", show_rate(F.col("a"), F.col("n")).alias("r")).collect()
     from decimal import ROUND_HALF_UP, Decimal
