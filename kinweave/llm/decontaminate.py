@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .textkit import ALNUM, Words, blocks, lists
+from .textkit import ALNUM, Words, blocks, lists, tidied
 
 WINDOW = 13
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -54,7 +54,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, k: int = WI
                 )
 
     picked = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    return picked.mapInArrow(run, "hash long, words binary, length int, item string").distinct()
+    return picked.mapInArrow(tidied(run), "hash long, words binary, length int, item string").distinct()
 
 
 class WindowSet:
@@ -133,7 +133,7 @@ def _scan(docs: DataFrame, text_col: str, known: WindowSet, k: int, last: bool,
             names = rows + [f.split()[0] for f in added.split(", ")]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(v, t) for v, t in zip(out, kinds)], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def contamination(
@@ -189,6 +189,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 fresh = pa.array([None if o else t for o, t in zip(old, texts)], batch.schema.field(place).type)
                 yield batch.set_column(place, batch.schema.field(place), fresh)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
         docs = settle(docs, "spans") if b < n_blocks - 1 else docs
     return docs

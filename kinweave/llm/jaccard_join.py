@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 from . import bitset
 from .common import settle
 from .components import components
-from .textkit import NONSPACE, Words, blocks, lists, mix
+from .textkit import NONSPACE, Words, blocks, lists, mix, tidied
 
 K, PERCENT = 5, 75
 MOST_BLOCKS, SPARE = 64, 4
@@ -175,7 +175,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, percent:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, fp long, sketch array<long>, keys array<long>, bands array<short>, drops array<short>")
+    return rows.mapInArrow(tidied(run), "doc_id long, n long, fp long, sketch array<long>, keys array<long>, bands array<short>, drops array<short>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, k: int = K) -> DataFrame:
@@ -189,7 +189,7 @@ def shingle_sets(docs: DataFrame, text_col: str, k: int = K) -> DataFrame:
                 fps = [_id(hashes[a:b]) if b > a else None for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), lists(hashes.view(np.int64), np.diff(ends), pa.int64())], ["fp", "hashes"])
 
-    return docs.select(text_col).mapInArrow(run, "fp long, hashes array<long>")
+    return docs.select(text_col).mapInArrow(tidied(run), "fp long, hashes array<long>")
 
 
 def may_be_alike(percent: int) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .textkit import ALNUM, Words, blocks, mix
+from .textkit import ALNUM, Words, blocks, mix, tidied
 
 ALPHA = 0.4
 #: Counts sent to every task: 16 bytes each.
@@ -86,7 +86,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield from counted(held)
 
-    return docs.select(text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(tidied(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _least(sizes: list, most: int) -> int:
@@ -128,7 +128,7 @@ def _filter(keys: DataFrame, bits: int) -> np.ndarray:
             spread = mix(codes.to_numpy().view(np.uint64)) & np.uint64(bits // _PAGE - 1)
             yield pa.RecordBatch.from_arrays([codes, pa.array(spread.astype(np.int64))], ["code", "page"])
 
-    each = keys.select("code").mapInArrow(paged, "code long, page long").repartition("page").mapInArrow(run, "page long, bitmap binary")
+    each = keys.select("code").mapInArrow(tidied(paged), "code long, page long").repartition("page").mapInArrow(tidied(run), "page long, bitmap binary")
     table = each.toArrow()
     out = np.zeros((bits // _PAGE, _PAGE // 8), np.uint8)
     for page, bitmap in zip(table.column("page").to_numpy(), table.column("bitmap")):
@@ -251,7 +251,7 @@ def _rows(docs: DataFrame, known: Known, id_col: str, text_col: str) -> DataFram
                 yield batch_of(kind, None, row=base + doc, code=code.view(np.int64), times=times, g1=g1, g2=g2, w1=unless(w1, seen1), w2=unless(w2, seen2))
                 yield batch_of(kind, None, row=base + of, code=word.view(np.int64), times=n, g1=here, g2=found)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _word_part(found: Column, n: Column, less: Column) -> Column:

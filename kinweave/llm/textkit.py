@@ -6,12 +6,13 @@ bytes (a single longer text is a block of its own), so memory does not follow th
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -39,11 +40,34 @@ NONSPACE[0x20] = NONSPACE[0x09:0x0E] = False
 
 
 def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+    """The first n powers of a number; kept for texts up to a block, made anew for longer ones."""
+    made = _powers[kind]
+    if len(made) < n:
+        steps = np.full(max(n, BLOCK_BYTES + 2), base, np.uint64)
         steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind][:n]
+        made = np.cumprod(steps, dtype=np.uint64)
+        if n <= BLOCK_BYTES + 2:
+            _powers[kind] = made
+    return made[:n]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of the base of rolling hashes, and n + 1 of its inverse."""
+    return _power("p", _P, n), _power("i", _P_INVERSE, n + 1)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task's function that gives freed memory back to the system when the task ends, so a worker that waits for its next one is small."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only where the C library has it
+            return
+
+    return whole
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,8 +121,9 @@ class Words:
         self.counts = np.diff(self.offsets)
         self.owner = np.repeat(np.arange(len(offsets) - 1), self.counts)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("p", _P, n), out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * _power("i", _P_INVERSE, n + 1)[self.starts]
+        up, down = powers(n)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
         self.hashes = mix(raw ^ ((self.ends - self.starts).astype(np.uint64) << np.uint64(40)))
 
     def text(self, i: int, k: int = 1) -> bytes:
@@ -139,7 +164,7 @@ def map_texts(df, columns: list[str], schema: str, body: Callable[[pa.RecordBatc
             if batch.num_rows:
                 yield from body(batch)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidied(run), schema)
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -176,7 +201,7 @@ def with_columns(docs, text_col: str, keep: list[str], added: str, body: Callabl
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in body(data, offsets)]
                 yield pa.RecordBatch.from_arrays(kept + made, [*inner.values(), *names])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidied(run), schema)
     return out.select(*[F.col(n).alias(c) for c, n in inner.items()], *[F.col(n).alias(f.name) for n, f in zip(names, fresh)])
 
 

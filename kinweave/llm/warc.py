@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import bitset
 from .common import new_path, settle
+from .textkit import tidied
 
 LEAST_SHARED = 100
 END = "\r\n\r\n"
@@ -118,7 +119,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], [f.split()[0] for f in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, INDEX)
+    return files.mapInArrow(tidied(run), INDEX)
 
 
 def loser_tree(runs: list[Iterator], key: Callable) -> Iterator:
@@ -172,7 +173,7 @@ def merge_index(index: DataFrame, ranges: int) -> DataFrame:
         order = [starts[x[4]] + x[5] for x in loser_tree([iter(sorted(runs[a])) for a in sorted(runs)], lambda x: x[:4])]
         yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
 
-    return index.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(run, INDEX)
+    return index.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(tidied(run), INDEX)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
