@@ -11,6 +11,8 @@ from kinweave.functions import text as T
 from kinweave.functions import similarity as M
 from kinweave.operators import extract as X
 from kinweave.operators import ingest as I
+from kinweave.operators import memory as K
+from kinweave.operators import resolve as R
 from kinweave.settings import Settings
 
 from .star import query, table
@@ -66,19 +68,50 @@ def blocking_candidates(spark, sf):
     return x.join(y, "key").where("a < b").select("a", "b").distinct()
 
 
-@query()
+CANDIDATES = f"{KEYS}, d AS (SELECT DISTINCT n, key FROM keys), cand AS (SELECT DISTINCT x.n AS a, y.n AS b FROM d x JOIN d y ON x.key = y.key AND x.n < y.n)"
+#: Jaro-Winkler of all pairs of tokens, a letter a step: js are the places of b that the letters of a took, or 0.
+WINKLER = """tok AS (SELECT a, b, string_split(CASE WHEN len(string_split(a, ' ')) <= len(string_split(b, ' ')) THEN a ELSE b END, ' ') AS s,
+    string_split(CASE WHEN len(string_split(a, ' ')) <= len(string_split(b, ' ')) THEN b ELSE a END, ' ') AS l FROM cand),
+  each AS (SELECT a, b, unnest(s) AS x, l FROM tok), pair AS (SELECT a, b, x, unnest(l) AS y FROM each), todo AS (SELECT DISTINCT x, y FROM pair UNION SELECT a, b FROM cand),
+  walk(x, y, i, js) AS (SELECT x, y, 0, []::INT[] FROM todo UNION ALL SELECT x, y, i + 1, list_append(js, coalesce(list_filter(range(1, length(y) + 1),
+    lambda j: abs(i + 1 - j) <= greatest(0, greatest(length(x), length(y)) // 2 - 1) AND y[j] = x[i + 1] AND NOT list_contains(js, j::INT))[1], 0)::INT) FROM walk WHERE i < length(x)),
+  ended AS (SELECT x, y, list_filter(js, lambda j: j > 0) AS js FROM walk WHERE i = length(x)),
+  jaro AS (SELECT x, y, len(js) AS m, len(list_filter(range(1, len(js) + 1), lambda k: y[list_sort(js)[k]] <> y[js[k]])) AS moved,
+    len(list_filter(range(1, least(4, length(x), length(y)) + 1), lambda k: left(x, k::INT) = left(y, k::INT))) AS same FROM ended),
+  score AS (SELECT x, y, same, CASE WHEN m = 0 THEN 0.0::double ELSE (m::double / length(x) + m::double / length(y) + (m - moved / 2.0::double) / m) / 3 END AS j FROM jaro),
+  jw AS (SELECT x, y, CASE WHEN x = y THEN 1.0::double WHEN j = 0 THEN 0.0::double ELSE j + 0.1::double * same * (1 - j) END AS jw FROM score),
+  best AS (SELECT a, b, p.x, max(greatest(jw, CASE WHEN length(p.x) = 1 AND starts_with(p.y, p.x) THEN 0.85::double ELSE 0 END)) AS best FROM pair p JOIN jw USING (x, y) GROUP BY a, b, p.x),
+  sim AS (SELECT a, b, sum(best * n) / sum(n) AS similarity FROM (SELECT a, b, x, count(*) AS n FROM each GROUP BY a, b, x) e JOIN best USING (a, b, x) GROUP BY a, b)"""
+
+
+@query(f"WITH RECURSIVE {CANDIDATES}, {WINKLER} SELECT a, b, round(jw, 9) AS jw, round(similarity, 9) AS similarity FROM sim JOIN jw ON x = a AND y = b")
 def name_similarity(spark, sf):
     c = blocking_candidates(spark, sf)
     return c.select("a", "b", F.round(M.jaro_winkler(F.col("a"), F.col("b")), 9).alias("jw"), F.round(M.name_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CANDIDATES}, {WINKLER} SELECT a, b, round(0.9::double * similarity, 9) AS score,
+  CASE WHEN 0.9::double * similarity >= 0.95::double THEN 'attach' WHEN 0.9::double * similarity >= 0.7::double THEN 'queue' ELSE 'create' END AS band FROM sim""")
 def resolve_score_band(spark, sf):
     c = blocking_candidates(spark, sf).withColumn("score", 0.9 * M.name_similarity(F.col("a"), F.col("b")))
     band = F.when(F.col("score") >= S.auto_merge, "attach").when(F.col("score") >= S.review, "queue").otherwise("create")
     return c.select("a", "b", F.round("score", 9).alias("score"), band.alias("band"))
 
 
+@query()
+def resolve_identities(spark, sf):
+    """Decide who is who among parts as people of brands, in the order of their keys; tests compare it with deciding one after the other."""
+    p = table(spark, sf, "part")
+    at = F.timestamp_seconds(F.col("p_partkey") + 978_307_200)
+    documents = p.select(F.col("p_partkey").cast("string").alias("id"), at.alias("occurred_at"))
+    mentions = p.select(
+        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_partkey").cast("string").alias("document_id"), F.lit("person").alias("kind"), T.norm_person(F.col("p_name")).alias("norm_name"),
+        F.lit(None).cast("string").alias("norm_email"), F.col("p_brand").alias("org_hint"),
+    )
+    d = R.resolve(documents, mentions, S)
+    return d.groupBy("decision").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("candidate_id").alias("candidates"))
+
+
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS p FROM conversations) t WHERE p = 1")
 def dedupe_last_wins(spark, sf):
     return I.last_wins(table(spark, sf, "conversations"), ["conv_id", "role"], ["turn", "text"]).select("conv_id", "turn", "role", "text")
@@ -126,12 +159,12 @@ def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '', 'g')) AS rest FROM documents")
+@query("""SELECT doc_id, length(text) AS n, sha256(array_to_string(list_transform(list_zip(string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+'),
+  regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')), lambda p: p[1] || repeat(' ', length(coalesce(p[2], '')))), '')) AS masked FROM documents""")
 def email_mask(spark, sf):
-    """Masking keeps every place; what is left without the masked characters is as long as the prose."""
+    """Masking keeps every place and all the prose."""
     masked = T.mask_emails(F.col("text"))
-    cut = F.aggregate(F.regexp_extract_all("text", F.lit(f"({T.EMAIL})"), F.lit(1)), F.lit(0), lambda n, e: n + F.length(e))
-    return table(spark, sf, "documents").select("doc_id", F.length(masked).cast("long").alias("n"), (F.length(masked) - cut).cast("long").alias("rest"))
+    return table(spark, sf, "documents").select("doc_id", F.length(masked).cast("long").alias("n"), F.sha2(masked.cast("binary"), 256).alias("masked"))
 
 
 @query(r"""SELECT doc_id, strpos(lower(text), 'the') AS first FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]{1,4}the([^\p{L}\p{N}]|$)')""")
@@ -149,26 +182,29 @@ def email_ground(spark, sf):
     return d.join(a, F.col("found") == F.lower("email")).select("doc_id", "email").distinct()
 
 
-@query(r"""SELECT doc_id, substr(trim(regexp_replace(substr(text, greatest(1, strpos(text, 'the') - 100), least(strpos(text, 'the') - 1, 100) + 113), '\s+', ' ', 'g')), 1, 240) AS snippet
-  FROM documents WHERE strpos(text, 'the') > 0""")
+@query(r"""SELECT doc_id, substr(CASE WHEN p > 101 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, greatest(1, p - 100), p + 113 - greatest(1, p - 100)), '\s+', ' ', 'g'))
+  || CASE WHEN p + 113 <= length(text) THEN '…' ELSE '' END, 1, 240) AS snippet FROM (SELECT doc_id, text, strpos(text, 'the') AS p FROM documents) t WHERE p > 0""")
 def snippet(spark, sf):
     at = F.locate("the", F.col("text"))
     return table(spark, sf, "documents").where(at > 0).select("doc_id", X.snippet(F.col("text"), at, 3).alias("snippet"))
 
 
-@query("""SELECT doc_id, CASE WHEN least(length(text), 100000) <= 20000 THEN 1 ELSE CAST(ceil((least(length(text), 100000) - 1000) / 19000.0::double) AS INTEGER) END AS chunks FROM documents""")
-def chunk_count(spark, sf):
-    """How many windows of 20,000 characters with 1,000 shared a text needs at least."""
-    return table(spark, sf, "documents").select("doc_id", X.chunk_count(F.col("text")).alias("chunks"))
+@query("""WITH RECURSIVE t AS (SELECT doc_id, substr(text, 1, 100000) AS body, least(length(text), 100000) AS n FROM documents),
+  w(doc_id, k, a, b) AS (SELECT doc_id, 0, 0::BIGINT, 0::BIGINT FROM t UNION ALL SELECT w.doc_id, k + 1, s, CASE WHEN s + 20000 >= n THEN n WHEN p > 0 AND s + 20001 - p > s + 10000 THEN s + 20001 - p ELSE s + 20000 END
+    FROM (SELECT w.doc_id, k, b, n, greatest(b - 1000, 0) AS s, strpos(reverse(substr(body, greatest(b - 1000, 0) + 1, 20001)), chr(10)) AS p FROM w JOIN t USING (doc_id) WHERE k = 0 OR b < n) w)
+  SELECT doc_id, k - 1 AS chunk, b - a AS n, sha256(substr(body, a + 1, b - a)) AS hash FROM w JOIN t USING (doc_id) WHERE k > 0""")
+def chunk_bodies(spark, sf):
+    """The windows in which bodies are mined, whole."""
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk", "part"))
+    return each.select("doc_id", "chunk", F.length("part").cast("long").alias("n"), F.sha2(F.col("part").cast("binary"), 256).alias("hash"))
 
 
-@query("""SELECT lang, count(*) AS documents, sum(least(length(text), 100000))::bigint AS characters,
-  sum(CASE WHEN least(length(text), 100000) <= 20000 THEN 1 ELSE CAST(ceil((least(length(text), 100000) - 1000) / 19000.0::double) AS INTEGER) END)::bigint AS requests FROM documents GROUP BY lang""")
+@query("""SELECT *, ceil(characters / 4.0::double)::BIGINT + requests * 700 AS input_tokens, requests * 300 AS output_tokens,
+  round(((ceil(characters / 4.0::double)::BIGINT + requests * 700) * 3.0::double + requests * 300 * 15.0::double) / 1000000.0::double, 6) AS dollars
+  FROM (SELECT count(*) AS documents, sum(least(length(text), 100000))::BIGINT AS characters, sum(ceil(least(length(text), 100000) / 20000.0::double))::BIGINT AS requests FROM documents) t""")
 def extraction_estimate(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.least(F.length(t), F.lit(100_000)).cast("long")).alias("characters"), F.sum(X.chunk_count(t).cast("long")).alias("requests")
-    )
+    e = X.estimate(table(spark, sf, "documents").select(F.col("text").alias("body")), "a-sonnet-model")
+    return e.select("documents", F.col("characters").cast("long").alias("characters"), F.col("requests").cast("long").alias("requests"), F.col("input_tokens").cast("long").alias("input_tokens"), F.col("output_tokens").cast("long").alias("output_tokens"), F.round("dollars", 6).alias("dollars"))
 
 
 @query("SELECT doc_id, sha256('1|model|low|0.5|' || sha256(text)) AS hash FROM documents")
@@ -189,46 +225,139 @@ def existence_gate(spark, sf):
     return table(spark, sf, "part").join(seen, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
-@query("SELECT c_mktsegment, count(*) FILTER (WHERE o_orderstatus IN ('P', 'O')) AS visible, count(*) FILTER (WHERE o_orderstatus NOT IN ('P', 'O')) AS withheld FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
+def _documents(spark, sf) -> DataFrame:
+    """Orders as stored documents; 'P' is shared."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("kind"), F.concat(F.lit("clerk"), (F.col("o_custkey") % 7).cast("string")).alias("source"),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")).alias("owner"), F.col("o_orderdate").alias("occurred_at"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("hash")).alias("body_sha256"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"),
+    )
+
+
+def _mentions(spark, sf) -> DataFrame:
+    """Line items as mentions of suppliers, who are called like their parts."""
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return l.select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").cast("string").alias("document_id"), F.lit("person").alias("kind"),
+        F.when(F.col("l_linenumber") < 5, F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("entity_id"), F.col("p_name").alias("name"), T.norm_person(F.col("p_name")).alias("norm_name"), F.col("p_brand").alias("org_hint"),
+        F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("@"), F.lower("p_type"), F.lit(".example")).alias("norm_email"), F.col("p_name").alias("email"),
+    )
+
+
+STORED = """sd AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS owner, o_orderdate AS at, o_orderkey, 'clerk' || (o_custkey % 7)::VARCHAR AS source, o_orderpriority AS kind FROM orders),
+  sm AS (SELECT l_orderkey::VARCHAR AS document_id, CASE WHEN l_linenumber < 5 THEN 's' || l_suppkey::VARCHAR END AS entity_id, lower(p_name) AS alias, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS org,
+    replace(p_name, ' ', '.') || '@' || lower(p_type) || '.example' AS email FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+@query(f"WITH {STORED} SELECT entity_id, count(DISTINCT document_id) AS withheld FROM sm JOIN sd ON id = document_id WHERE owner = 'F' AND entity_id IS NOT NULL GROUP BY entity_id")
 def withheld_counts(spark, sf):
-    d = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    v = F.col("o_orderstatus").isin("P", "O")
-    return d.groupBy("c_mktsegment").agg(F.count_if(v).alias("visible"), F.count_if(~v).alias("withheld"))
+    """In how many documents that a viewer can't read an entity occurs."""
+    return K.withheld(_documents(spark, sf), _mentions(spark, sf), ["", "O"])
 
 
-@query("SELECT o_orderstatus AS layer, count(*) AS documents, count(DISTINCT o_custkey) AS people, max(o_orderdate) AS latest FROM orders GROUP BY o_orderstatus")
+@query("SELECT count(*) FILTER (WHERE o_orderstatus IN ('P', 'O')) AS documents, count(*) FILTER (WHERE o_orderstatus = 'F') AS withheld FROM orders")
 def layer_counts(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.groupBy(F.col("o_orderstatus").alias("layer")).agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("o_custkey").alias("people"), F.max("o_orderdate").alias("latest"))
+    return K.layer_counts(_documents(spark, sf), ["", "O"])
 
 
-@query("SELECT source, lang AS kind, count(*) AS documents, max(doc_id) AS latest FROM documents GROUP BY source, lang")
+@query("SELECT 'clerk' || (o_custkey % 7)::VARCHAR AS source, o_orderpriority AS kind, count(*) AS documents, max(o_orderdate) AS latest FROM orders WHERE o_orderstatus IN ('P', 'O') GROUP BY ALL")
 def source_breakdown(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.groupBy("source", F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("latest"))
+    return K.source_breakdown(_documents(spark, sf), ["", "O"])
+
+
+@query(f"""WITH {STORED}, v AS (SELECT * FROM sm JOIN sd ON id = document_id WHERE owner IN ('', 'O')) SELECT (SELECT count(*) FROM sd WHERE owner IN ('', 'O')) AS documents,
+  (SELECT count(*) FROM sd WHERE owner = 'F') AS withheld_documents, (SELECT count(*) FROM sd WHERE owner IN ('', 'O') AND o_orderkey % 2 = 0) AS pending_extraction,
+  (SELECT count(*) FROM v) AS mentions, (SELECT count(*) FROM v WHERE entity_id IS NULL) AS unresolved_mentions, 0::BIGINT AS pending_reviews, (SELECT count(DISTINCT l_suppkey // 2) FROM lineitem) AS edges, (SELECT count(DISTINCT entity_id) FROM v) AS entities""")
+def graph_stats(spark, sf):
+    """The numbers a viewer is shown, each table read once."""
+    edges = table(spark, sf, "lineitem").select(F.lit("").alias("owner"), F.floor(F.col("l_suppkey") / 2).alias("a"), F.lit(-1).alias("b"))
+    none = spark.createDataFrame([], "mention_id string, decision string"), spark.createDataFrame([], X.EXTRACTIONS)
+    known = _mentions(spark, sf).where("entity_id is not null").select("entity_id").distinct()
+    return K.counts(_documents(spark, sf), _mentions(spark, sf), known, none[0], edges, none[1], ["", "O"])
+
+
+@query(f"""WITH {STORED}, w AS (SELECT entity_id, owner, unnest(['alias', 'email', 'org']) AS kind, unnest([alias, email, org]) AS value FROM sm JOIN sd ON id = document_id WHERE entity_id IS NOT NULL),
+  u AS (SELECT DISTINCT * FROM w WHERE owner IN ('', 'O')) SELECT entity_id, owner, kind, value FROM u WHERE owner <> '' AND NOT EXISTS (SELECT 1 FROM u s WHERE s.owner = '' AND s.entity_id = u.entity_id AND s.kind = u.kind AND s.value = u.value)""")
+def private_evidence(spark, sf):
+    """What only one layer tells of entities, beside what all may know."""
+    d = _documents(spark, sf).where("owner in ('', 'O')")
+    return R.evidence(d, _mentions(spark, sf))
+
+
+@query(f"""WITH {STORED}, w AS (SELECT * FROM sm JOIN sd ON id = document_id WHERE entity_id IS NOT NULL) SELECT entity_id, array_to_string(list_sort(list(DISTINCT alias) FILTER (WHERE owner = '')), '|') AS aliases,
+  len(list(DISTINCT email) FILTER (WHERE owner = ''))::INT AS emails, array_to_string(list_sort(list(DISTINCT org) FILTER (WHERE owner = '')), '|') AS orgs FROM w GROUP BY entity_id""")
+def shared_entities(spark, sf):
+    """What all may know of each entity: only shared documents count."""
+    e = R.entities(_documents(spark, sf), _mentions(spark, sf))
+    return e.select("entity_id", F.array_join("aliases", "|").alias("aliases"), F.size("emails").alias("emails"), F.array_join("orgs", "|").alias("orgs"))
+
+
+MERGES = "m AS (SELECT s_suppkey AS loser, s_suppkey // 2 AS survivor FROM supplier WHERE s_suppkey % 5 <> 0)"
+
+
+@query(f"""WITH RECURSIVE {MERGES}, f(loser, survivor) AS (SELECT * FROM m UNION ALL SELECT f.loser, m.survivor FROM f JOIN m ON m.loser = f.survivor)
+  SELECT loser, survivor FROM f WHERE survivor NOT IN (SELECT loser FROM m)""")
+def merge_survivors(spark, sf):
+    """Chains of merges followed to the entity that lives."""
+    m = table(spark, sf, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("loser"), F.floor(F.col("s_suppkey") / 2).alias("survivor"))
+    return R.survivors(m)
+
+
+@query("""WITH m AS (SELECT s_suppkey AS loser, s_suppkey - 1 AS survivor FROM supplier WHERE s_suppkey % 2 = 1), e AS (SELECT s_suppkey, 's' || (s_suppkey % 7)::VARCHAR AS email, 'a' || s_suppkey::VARCHAR AS alias FROM supplier)
+  SELECT k.s_suppkey AS entity_id, array_to_string(list_sort(list_distinct([k.email, l.email])), '|') AS emails, l.alias AS gained_aliases, CASE WHEN l.email = k.email THEN '' ELSE l.email END AS gained_emails
+  FROM m JOIN e k ON k.s_suppkey = survivor JOIN e l ON l.s_suppkey = loser""")
+def merge_deltas(spark, sf):
+    """What survivors of merges have, and what each gained, so that it can be given back."""
+    s = table(spark, sf, "supplier")
+    known = s.select(
+        F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("s"), (F.col("s_suppkey") % 7).cast("string"))).alias("emails"),
+        F.array(F.concat(F.lit("a"), F.col("s_suppkey").cast("string"))).alias("aliases"), F.array().cast("array<string>").alias("orgs"),
+    )
+    m = s.where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("loser"), (F.col("s_suppkey") - 1).alias("survivor"))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return R.merge_entities(known, m).select("entity_id", joined("emails"), joined("gained_aliases"), joined("gained_emails"))
+
+
+@query("""SELECT p_partkey AS id, p_brand AS company, o_orderkey::VARCHAR AS document_id FROM part JOIN orders ON o_orderkey = p_partkey
+  WHERE o_orderstatus IN ('P', 'O') AND lower(regexp_replace(p_brand, '[^A-Za-z0-9]', ' ', 'g')) IN ('brand 4', 'brand 2') ORDER BY o_orderdate DESC, p_partkey""")
+def company_deals(spark, sf):
+    """Deals of a company under any of its names, in what a viewer may read."""
+    deals = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("company"), T.norm_org(F.col("p_brand")).alias("company_norm"), F.col("p_partkey").cast("string").alias("document_id"))
+    return K.deals_of(deals, _documents(spark, sf), ["brand 4", "brand 2"], ["", "O"]).select("id", "company", "document_id")
+
+
+@query("""SELECT p_partkey AS entity_id, p_name AS name FROM part WHERE len(list_intersect([lower(p_brand), lower(p_type)], ['brand#7', 'economy'])) > 0""")
+def company_people(spark, sf):
+    """People whose organisations have one of a company's names."""
+    known = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.lit("person").alias("kind"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("emails"), F.array(F.lower("p_brand"), F.lower("p_type")).alias("orgs"))
+    return K.people_of(known, ["brand#7", "economy"]).select("entity_id", "name")
 
 
-@query("""SELECT p_brand, count(DISTINCT l_orderkey) AS documents, count(DISTINCT l_suppkey) AS people FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE p_brand IN ('Brand#4', 'Brand#2') OR list_has_any(string_split(p_name, ' '), ['ring', 'widget']) GROUP BY p_brand""")
-def company_memory_aliases(spark, sf):
-    """What is on record under a name or any of its aliases."""
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%plate%' OR lower(p_brand) LIKE '%plate%' OR p_type = 'ECONOMY' ORDER BY p_name, p_partkey LIMIT 50")
+def search_entities(spark, sf):
+    """A text in names, in lists as JSON, or in what the viewer's own documents say."""
     p = table(spark, sf, "part")
-    hit = F.col("p_brand").isin("Brand#4", "Brand#2") | F.arrays_overlap(F.split("p_name", " "), F.array(F.lit("ring"), F.lit("widget")))
-    j = table(spark, sf, "lineitem").join(p.where(hit), F.col("p_partkey") == F.col("l_partkey"))
-    return j.groupBy("p_brand").agg(F.count_distinct("l_orderkey").alias("documents"), F.count_distinct("l_suppkey").alias("people"))
+    lists = {"emails": F.array("p_brand"), "aliases": F.array(F.lower("p_name")), "orgs": F.array("p_brand")}
+    known = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), *[c.alias(n) for n, c in lists.items()])
+    own = p.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("entity_id"), F.lit("eve").alias("owner"), F.lit("alias").alias("kind"), F.lit("copper Plate").alias("value"))
+    other = p.select(F.col("p_partkey").alias("entity_id"), F.lit("bob").alias("owner"), F.lit("alias").alias("kind"), F.lit("plate").alias("value"))
+    return K.search(known, own.unionByName(other), "Plate", "eve", 50).select(F.col("entity_id").alias("p_partkey"), F.col("name").alias("p_name"))
 
 
-@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
-def json_path(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+LOCALS = ["no-reply", "do.not.reply", "donotreply", "noreply+x", "notification", "alerts", "newsletter", "news", "mailer-daemon", "x-bounces", "bounce+7", "receipts", "team", "hello", "info", "invoices", "press", "sue", "botany", "digestive"]
+HOSTS = ["acme.example", "email.acme.example", "bounces.x.example", "mailing.example"]
+NAMES = [None, "Sue Moss", "Acme Notifications", "The Daily Digest", "Digested"]
 
 
-@query(r"""SELECT email, CASE WHEN regexp_matches(email, '(?i)^(no-?reply@|noreply[+-]|notifications?@|alerts?@|updates@|newsletter@)') THEN 'automated'
-  WHEN regexp_matches(email, '(?i)^(team|hello|hi|info|contact|admin|support|help|sales)@') THEN 'role' ELSE 'human' END AS class
-  FROM (SELECT unnest(['no-reply', 'notifications', 'alert', 'team', 'info', 'support', 'user' || s_suppkey::varchar]) || '@' || lower(replace(s_name, '#', '')) || '.example' AS email FROM supplier) t""")
+@query(rf"""WITH a AS (SELECT unnest({LOCALS}) AS l), h AS (SELECT unnest({HOSTS}) AS h), n AS (SELECT unnest([{", ".join("NULL" if n is None else f"'{n}'" for n in NAMES)}]) AS name),
+  e AS (SELECT r_regionkey, l || '@' || h AS email, h, name FROM region, a, h, n)
+  SELECT r_regionkey, email, coalesce(name, '') AS name, CASE WHEN regexp_matches(email, '(?i)^(no-?reply@|do-?not-?reply@|donotreply@|noreply[+-]|notifications?@|alerts?@|news(letter)?@|mailer-daemon@|postmaster@|bounces?[@+-]|automated@|robot@|bot@|daemon@|mailer@|receipts?@|digest@|updates@)|-bounces@')
+    OR regexp_matches(h, '(?i)^(mail|email|em|mailer|notify|notifications|alerts|bounce|bounces|smtp|sendgrid|mailgun|amazonses)\.') THEN 'automated'
+  WHEN regexp_matches(email, '(?i)^(team|hello|hi|info|contact|admin|support|help|billing|invoices?|accounts?|security|sales|marketing|careers|press)@') THEN 'role'
+  WHEN regexp_matches(coalesce(name, ''), '(?i)\b(notifications?|no.?reply|newsletter|daemon|mailer|digest)\b') THEN 'automated' ELSE 'human' END AS class FROM e""")
 def address_classify(spark, sf):
-    local = F.array(*map(F.lit, ["no-reply", "notifications", "alert", "team", "info", "support"]), F.concat(F.lit("user"), F.col("s_suppkey").cast("string")))
-    s = table(spark, sf, "supplier").select(F.explode(local).alias("local"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))).alias("host"))
-    s = s.select(F.concat("local", F.lit("@"), "host", F.lit(".example")).alias("email"))
-    return s.select("email", T.classify_address(F.col("email"), F.lit(None).cast("string")).alias("class"))
+    """Every kind of address, host and display name, once a region."""
+    each = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    r = table(spark, sf, "region").select("r_regionkey", each(LOCALS, "l")).select("*", each(HOSTS, "h")).select("*", each(NAMES, "name"))
+    email = F.concat("l", F.lit("@"), "h")
+    return r.select("r_regionkey", email.alias("email"), F.coalesce("name", F.lit("")).alias("name"), T.classify_address(email, F.col("name")).alias("class"))
