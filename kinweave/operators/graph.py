@@ -174,8 +174,8 @@ def graph_view(links: DataFrame, people: DataFrame, limit: int = 300, focus=None
     nodes = people.select("entity_id", "name").join(t, "entity_id", "left").fillna({"total": 0.0, "degree": 0})
     if focus is not None:
         nodes = nodes.join(ego(links, focus, radius).select(F.col("node").alias("entity_id")), "entity_id", "left_semi")
-    pinned = F.when(F.col("entity_id") == F.lit(focus), 0).otherwise(1) if focus is not None else F.lit(1)
-    nodes = nodes.orderBy(pinned, F.desc("total"), "name", "entity_id").limit(limit).select("entity_id", "name", "total", "degree")
+    pinned = [] if focus is None else [(F.col("entity_id") == F.lit(focus)).desc()]
+    nodes = nodes.orderBy(*pinned, F.desc("total"), "name", "entity_id").limit(limit).select("entity_id", "name", "total", "degree")
     kept = nodes.select("entity_id")
     for c in "ab":
         links = links.join(kept.withColumnRenamed("entity_id", c), c, "left_semi")

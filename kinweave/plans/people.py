@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.operators import events as V
+from kinweave.operators import guests as L
 from kinweave.operators import radar as R
+from kinweave.operators import resolve as P
+from kinweave.streaming import records as C
 
-from .star import DOCS, NOW, ROLES, TOUCHES, documents, mentions, query, table, touches
+from .star import DOCS, NOW, TOUCHES, documents, mentions, pairs_sql, query, table, touches
 
 RADAR = f"""WITH {DOCS}, past AS (SELECT customer, id, occurred_at AS met,
     (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY customer ORDER BY occurred_at, id)) / 86400000000.0::double AS gap
@@ -78,10 +81,32 @@ def event_guests(spark, sf):
     return V.event_guests(touches(spark, sf), "2024-01-10")
 
 
-@query(f"WITH {TOUCHES} SELECT event, event_date, tier, event_id AS document_id FROM touches WHERE entity = 11 ORDER BY ts DESC, event_id LIMIT 100")
+def _stored(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(documents, mentions) of touches as they are stored: the event in ``raw``, the guest as a mention, and its host beside."""
+    t = touches(spark, sf)
+    host = F.struct(F.concat(F.lit("Host "), (F.col("entity") % 3).cast("string")).alias("name"))
+    raw = F.to_json(F.struct("event", F.concat(F.lit("Day of "), "event").alias("event_name"), "event_date", "tier", F.concat(F.lit("from "), "tier").alias("evidence"), host.alias("host")))
+    d = t.select(F.col("document_id").alias("id"), F.when(F.col("document_id") % 10 > 0, raw).alias("raw"), F.when(F.col("entity") % 5 == 0, "eve").otherwise("").alias("owner"), F.col("ts").alias("occurred_at"))
+    guest = t.select("document_id", F.col("entity").alias("entity_id"), F.lit("person").alias("kind"), F.when(F.col("tier") == "attended", "attendee").otherwise("to").alias("role"))
+    return d, guest.unionByName(guest.withColumn("entity_id", F.col("entity_id") + 1_000_000).withColumn("role", F.lit("author")))
+
+
+@query(f"""WITH {TOUCHES} SELECT event, 'Day of ' || event AS event_name, event_date, tier, 'from ' || tier AS evidence, 'Host ' || (entity % 3)::varchar AS host, event_id AS document_id, entity
+  FROM touches WHERE event_id % 10 > 0 AND entity % 5 > 0""")
+def stored_touches(spark, sf):
+    """Touches read from stored documents: shared ones that name an event, guests and not hosts."""
+    return V.touches(*_stored(spark, sf), [""]).select("event", "event_name", "event_date", "tier", "evidence", "host", "document_id", "entity")
+
+
+@query(f"WITH {TOUCHES} SELECT event, event_date, tier, event_id AS document_id FROM touches WHERE entity = 11 AND event_id % 10 > 0 ORDER BY ts DESC, event_id LIMIT 100")
 def event_history(spark, sf):
-    t = touches(spark, sf).where("entity = 11").orderBy(F.desc("ts"), "document_id").limit(100)
-    return t.select("event", "event_date", "tier", "document_id")
+    return V.event_history(V.touches(*_stored(spark, sf)), 11).select("event", "event_date", "tier", "document_id")
+
+
+@query("WITH e AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS event FROM events) SELECT event FROM e WHERE event LIKE '%01-1%'")
+def event_by_name(spark, sf):
+    """A part of a name that several events have is a question."""
+    return V.resolve_event(V.list_events(touches(spark, sf)).select("event", "event_date"), " 01-1").select("event")
 
 
 SUMMARY = f"""WITH {TOUCHES}, g AS (SELECT entity, count(*) AS events, count(*) FILTER (WHERE tier = 'attended') AS attended, count(*) FILTER (WHERE tier = 'rsvp') AS rsvp,
@@ -89,10 +114,13 @@ SUMMARY = f"""WITH {TOUCHES}, g AS (SELECT entity, count(*) AS events, count(*)
   max(event_date) FILTER (WHERE tier = 'attended') AS last_attended FROM touches {{where}} GROUP BY entity)"""
 
 
-@query(f"{SUMMARY.format(where='')} SELECT entity, events, attended, round(attended::double / events, 6) AS show_rate FROM g")
+RATE = """CASE WHEN attended::double / events * 8 = floor(attended::double / events * 8) AND floor(attended::double / events * 8)::BIGINT % 2 = 1 THEN floor(attended::double / events * 100 + 0.5::double) / 100
+  ELSE printf('%.2f', attended::double / events)::double END"""
+
+
+@query(f"{SUMMARY.format(where='')} SELECT entity, events, attended, {RATE} AS show_rate FROM g")
 def show_rate(spark, sf):
-    g = V.guest_summary(touches(spark, sf))
-    return g.select("entity", "events", "attended", F.round(F.col("attended") / F.col("events"), 6).alias("show_rate"))
+    return V.guest_summary(touches(spark, sf)).select("entity", "events", "attended", "show_rate")
 
 
 def _league(spark, sf, sort: str, **how) -> DataFrame:
@@ -130,33 +158,92 @@ def league_best_show_rate(spark, sf):
     return _league(spark, sf, "best_show_rate", min_events=30)
 
 
-@query(f"WITH {TOUCHES} SELECT entity, event, CASE min(CASE tier WHEN 'attended' THEN 1 WHEN 'rsvp' THEN 2 WHEN 'declined' THEN 3 ELSE 4 END) WHEN 1 THEN 'attended' WHEN 2 THEN 'rsvp' WHEN 3 THEN 'declined' ELSE 'invited' END AS tier FROM touches GROUP BY entity, event")
+def _entries(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(events, entries) of a CRM: a list a day, an entry a touch; what happened decides which attributes it has."""
+    cell = lambda kind, value=None, option=None: F.array(F.struct(F.lit(kind).alias("attribute_type"), F.lit(value).cast("string").alias("value"), F.struct(F.lit(option).cast("string").alias("title")).alias("option"), F.struct(F.lit(None).cast("string").alias("title")).alias("status")))
+    values = lambda **k: F.create_map(*[x for n, c in k.items() for x in (F.lit(n), c)])
+    t = F.col("event_type")
+    v = (
+        F.when(t == "purchase", values(attended=cell("checkbox", "true"), rsvp=cell("select", option="Yes"))).when(t == "click", values(attended=cell("checkbox", "false"), rsvp=cell("select", option="Yes +1")))
+        .when(t == "error", values(rsvp_status=cell("select", option="Cancelled"), priority=cell("select", option="Yes"))).when(t == "view", values(stage=cell("select", option="Not sent"), invite_sent=cell("date", "2024-01-01")))
+        .when(F.col("event_id") % 2 == 0, values(stage=cell("select", option="For review"))).otherwise(values(notes=cell("text", "x")))
+    )
+    day = F.date_format("ts", "yyyy-MM-dd")
+    e = table(spark, sf, "events")
+    entries = e.select(day.alias("slug"), F.col("event_id").cast("string").alias("entry_id"), F.lit("people").alias("parent_object"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("parent_record_id"), v.alias("entry_values"))
+    lists = e.select(day.alias("list_id"), day.alias("slug"), F.concat(F.lit("Salon · "), F.date_format("ts", "MMM d, yyyy")).alias("name"), F.lit("people").alias("parent_object")).distinct()
+    return L.events_from_lists(lists, "2024-01-16 00:00:00"), entries
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS slug, 'Salon · ' || strftime(ts, '%b ') || day(ts)::varchar || strftime(ts, ', %Y') AS name, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%Y-%m-%d') < '2024-01-16' AS past FROM events GROUP BY ALL""")
+def events_from_lists(spark, sf):
+    """Lists whose names end in a date are events."""
+    return _entries(spark, sf)[0].select("slug", "name", "date", "past")
+
+
+TIER = """CASE event_type WHEN 'purchase' THEN 'attended' WHEN 'click' THEN 'rsvp' WHEN 'error' THEN 'declined' WHEN 'view' THEN 'invited' ELSE CASE WHEN event_id % 2 = 1 AND strftime(ts, '%Y-%m-%d') < '2024-01-16' THEN 'invited' END END"""
+
+
+@query(f"""SELECT event_id::varchar AS entry_id, {TIER} AS tier, CASE event_type WHEN 'purchase' THEN 'attended=true' WHEN 'click' THEN 'rsvp=Yes +1' WHEN 'error' THEN 'rsvp_status=Cancelled' WHEN 'view' THEN 'invite_sent=2024-01-01'
+  ELSE CASE WHEN event_id % 2 = 1 AND strftime(ts, '%Y-%m-%d') < '2024-01-16' THEN 'on the guest list of a past event' END END AS evidence FROM events""")
 def tier_classify(spark, sf):
-    """The best tier that any of a guest's touches of an event shows."""
-    rank = F.array_position(F.array(*map(F.lit, V.TIERS)), F.col("tier"))
-    t = touches(spark, sf).groupBy("entity", "event").agg(F.min(rank).alias("r"))
-    return t.select("entity", "event", F.element_at(F.array(*map(F.lit, V.TIERS)), F.col("r").cast("int")).alias("tier"))
+    """The tier that an entry's typed attributes show, and which one said so."""
+    events, entries = _entries(spark, sf)
+    t = entries.join(events, "slug").withColumn("t", L.classify_tier(F.col("entry_values"), F.col("past")))
+    return t.select("entry_id", F.col("t.tier").alias("tier"), F.col("t.evidence").alias("evidence"))
+
 
+@query(f"""WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS slug, {TIER} AS tier FROM events WHERE user_id % 4 > 0) SELECT slug, 'attended' AS basis, count(*)::int AS size FROM t WHERE tier = 'attended' GROUP BY slug HAVING count(*) >= 2""")
+def event_rooms(spark, sf):
+    """Who was in the room of each event, of guests that the CRM knows."""
+    events, entries = _entries(spark, sf)
+    people = table(spark, sf, "events").where("user_id % 4 > 0").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("record_id"), F.concat(F.lit("Guest "), F.col("user_id").cast("string")).alias("name"), F.array().cast("array<string>").alias("emails"), F.lit(None).cast("string").alias("org")).distinct()
+    touched = L.guest_touches(events, entries, people, table(spark, sf, "region").select(F.lower("r_name").alias("name")), L.hosts("Jo <jo@firm.example>"), "^firm")
+    return L.rooms(touched, entries).select("slug", "basis", "size")
 
-@query("""SELECT l_suppkey AS entity_id, count(*) FILTER (WHERE l_returnflag = 'N') AS sends, count(*) FILTER (WHERE l_returnflag <> 'N') AS receives,
-  count(*) FILTER (WHERE l_returnflag = 'N') >= 5 AND count(*) FILTER (WHERE l_returnflag <> 'N') <= 380 AS broadcaster FROM lineitem GROUP BY l_suppkey""")
+
+@query("""WITH t AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role)
+  SELECT conv_id::varchar || ':' || role AS entity_id, CASE WHEN role = 'system' THEN true WHEN role = 'user' AND conv_id % 3 = 0 THEN n >= 3 WHEN role = 'user' THEN n >= 5 ELSE false END AS automated FROM t""")
 def automated_broadcasters(spark, sf):
-    """Who sends much and hardly receives; on these tables with a generous limit."""
+    """Services by name, and addresses that only ever send: in conversations users send, assistants receive."""
+    c = table(spark, sf, "conversations")
+    who = F.concat_ws(":", F.col("conv_id").cast("string"), "role")
+    email = F.when(F.col("role") == "user", F.when(F.col("conv_id") % 3 == 0, "team@a.example").otherwise("ann@a.example"))
+    m = c.select(F.col("conv_id").alias("document_id"), who.alias("entity_id"), F.lit("person").alias("kind"), F.when(F.col("role") == "user", "from").otherwise("to").alias("role"), email.alias("norm_email"), F.when(F.col("role") == "system", "Mail daemon").alias("name"))
+    d = c.select(F.col("conv_id").alias("id"), F.lit("email").alias("kind"), F.lit("").alias("owner")).distinct()
+    return P.automated(d, m).select("entity_id", "automated")
+
+
+PAIR_RADAR = f"""WITH {pairs_sql()}, met AS (SELECT a, b, document_id, occurred_at FROM pairs WHERE owner IN ('', 'O') AND a % 10 > 0 AND b % 10 > 0),
+  past AS (SELECT *, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY a, b ORDER BY occurred_at, document_id)) / 86400000000.0::double AS gap FROM met),
+  agg AS (SELECT a, b, count(*) AS contacts, max(occurred_at) AS last, greatest(median(gap), 1.0::double) AS cadence, max(struct_pack(at := occurred_at, d := document_id)).d AS last_document FROM past GROUP BY a, b)"""
+
+
+@query(f"""{PAIR_RADAR} SELECT a, b, contacts, last_document, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(last)) / 86400000000.0::double) AS BIGINT) AS days_since, floor(cadence * 10 + 0.5::double) / 10 AS cadence_days FROM agg""")
+def radar_pairs(spark, sf):
+    """The rhythm of every pair of suppliers in what a viewer may read, automated ones left out."""
     m = mentions(spark, sf)
-    g = m.groupBy("entity_id").agg(F.count_if(F.col("role") == "from").alias("sends"), F.count_if(F.col("role") != "from").alias("receives"))
-    return g.withColumn("broadcaster", (F.col("sends") >= 5) & (F.col("receives") <= 380))
+    robots = m.where("entity_id % 10 = 0").select("entity_id")
+    r = R.contact_radar(R.pair_contacts(documents(spark, sf), m, ["", "O"], leave_out=robots), NOW, distinct=True)
+    return r.select("pair.a", "pair.b", "contacts", "last_document", "days_since", "cadence_days")
 
 
-@query("""WITH t AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events),
+@query("""WITH t AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM t)
   SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS touches FROM s GROUP BY user_id, burst""")
 def session_bursts(spark, sf):
-    """Bursts of contact: touches at most six hours apart."""
-    t = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    t = t.withColumn("fresh", F.when(F.col("us") - F.lag("us").over(w) <= 21_600_000_000, 0).otherwise(1))
-    t = t.withColumn("burst", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return t.groupBy("user_id", "burst").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("touches")).drop("burst")
+    """Bursts of contact: touches less than six hours apart; the same operator runs on a stream."""
+    t = table(spark, sf, "events").select(F.col("user_id").alias("pair"), F.col("ts").cast("timestamp").alias("at"))
+    b = C.bursts(t)
+    ended = F.col("session_window.end") - F.expr("interval 6 hours")
+    return b.select(F.col("pair").alias("user_id"), F.col("session_window.start").cast("timestamp_ntz").alias("started"), ended.cast("timestamp_ntz").alias("ended"), F.col("contacts").alias("touches"))
+
+
+@query("""WITH d AS (SELECT user_id, ts, unnest(generate_series(0, 89)) AS k FROM events) SELECT date_trunc('day', ts) - k * INTERVAL 1 DAY AS start, user_id AS pair, count(*) AS contacts FROM d GROUP BY ALL""")
+def contact_windows(spark, sf):
+    """Contacts in windows of 90 days, a day apart; the same operator runs on a stream."""
+    t = table(spark, sf, "events").select(F.col("user_id").alias("pair"), F.col("ts").cast("timestamp").alias("at"))
+    return C.contact_counts(t).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "pair", "contacts")
 
 
 @query(f"""WITH {DOCS} SELECT x.customer, x.id, count(*) AS trailing FROM docs x JOIN docs y ON y.customer = x.customer

@@ -9,21 +9,12 @@ from kinweave.operators import edges as E
 from kinweave.operators import graph as G
 from kinweave.settings import Settings
 
-from .star import NEAR, NOW, VISIBLE, documents, edges_sql, mentions, pairs_sql, query
+from .star import NEAR, NOW, VISIBLE, documents, edges_sql, mentions, pairs_sql, query, table
 
 S = Settings()
 ROUNDED = "round(weight, 6) AS weight, round(1 - exp(-weight / 6.0::double), 6) AS strength"
 
 
-# hidden edges are asked of the last months, else every pair is visible
-LATE_CTE = edges_sql().replace("ON d.id = c.document_id JOIN roles x", "ON d.id = c.document_id AND d.occurred_at >= TIMESTAMP '2001-03-01' JOIN roles x")
-
-
-def _late(spark, sf) -> DataFrame:
-    d = documents(spark, sf).where(F.col("occurred_at") >= F.lit("2001-03-01").cast("timestamp_ntz"))
-    return E.rebuild_edges(d, mentions(spark, sf), NOW)
-
-
 def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -69,16 +60,34 @@ def visible_strength(spark, sf):
     return _r(G.visible_graph(_edges(spark, sf), "O"), "weight", "strength").select("a", "b", "weight", "strength", "last_seen")
 
 
-@query(f"""WITH {LATE_CTE} SELECT a, b, count(DISTINCT owner) AS owners FROM edges e WHERE owner NOT IN ('', 'O')
-  AND NOT EXISTS (SELECT 1 FROM edges v WHERE v.owner IN ('', 'O') AND v.a = e.a AND v.b = e.b) GROUP BY a, b""")
+#: Parts are a wide graph with few links each; suppliers, few and all linked.
+PARTS = edges_sql(entity="l_partkey")
+HIDDEN = """foreign_ AS (SELECT a, b, count(DISTINCT owner) AS owners FROM edges WHERE owner NOT IN ('', 'O') GROUP BY a, b),
+  hidden AS (SELECT * FROM foreign_ f WHERE NOT EXISTS (SELECT 1 FROM edges v WHERE v.owner IN ('', 'O') AND v.a = f.a AND v.b = f.b))"""
+
+
+def _parts(spark, sf, **how) -> DataFrame:
+    return E.rebuild_edges(documents(spark, sf), mentions(spark, sf, "l_partkey"), NOW, S, **how)
+
+
+@query(f"WITH {PARTS}, {HIDDEN} SELECT a, b, owners FROM hidden")
 def foreign_hint_edges(spark, sf):
-    return G.hidden_edges(_late(spark, sf), "O").select("a", "b", F.size("owners").cast("long").alias("owners"))
+    """Pairs that only layers the viewer can't read know of."""
+    return G.hidden_edges(_parts(spark, sf), "O").select("a", "b", F.size("owners").cast("long").alias("owners"))
 
 
-@query(f"""WITH {edges_sql()}, {VISIBLE}, {NEAR} SELECT dst AS other, round(weight, 6) AS weight, round(strength, 6) AS strength, last_seen
-  FROM near WHERE src = 7 ORDER BY near.weight DESC, dst LIMIT 25""")
+@query(f"""WITH {edges_sql()}, seen AS (SELECT a, b, sum(weight) AS weight, max(last_seen) AS last_seen FROM edges WHERE owner IN ('', 'O') GROUP BY a, b),
+  near AS (SELECT a AS src, b AS dst, weight, last_seen FROM seen UNION ALL SELECT b, a, weight, last_seen FROM seen),
+  kinds AS (SELECT a, b, kind, count(*) AS n FROM pairs WHERE owner IN ('', 'O') GROUP BY a, b, kind), told AS (SELECT a, b, string_agg(kind || ':' || n, ',' ORDER BY kind) AS signals FROM kinds GROUP BY a, b)
+  SELECT dst AS other, round(weight, 6) AS weight, round(1 - exp(-weight / 6.0::double), 6) AS strength, last_seen, signals FROM near JOIN told ON a = least(7, dst) AND b = greatest(7, dst)
+  WHERE src = 7 ORDER BY near.weight DESC, dst LIMIT 25""")
 def strongest_connections(spark, sf):
-    return _r(G.strongest_connections(_edges(spark, sf), 7, "O"), "weight", "strength")
+    """The strongest neighbours of supplier 7, and what they share; only its own edges are added up."""
+    m = mentions(spark, sf)
+    edges = E.rebuild_edges(documents(spark, sf), m, NOW, S, signals=True)
+    near = _r(G.strongest_connections(edges, 7, "O"), "weight", "strength")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("signals")), lambda e: F.concat(e.key, F.lit(":"), e["value"].cast("string"))), ",")
+    return near.withColumn("signals", told)
 
 
 @query(f"""WITH {edges_sql()}, {VISIBLE}, {NEAR} SELECT src AS node, round(sum(strength), 6) AS total, count(*) AS degree
@@ -87,55 +96,87 @@ def graph_top_nodes(spark, sf):
     return _r(G.top_nodes(G.visible_graph(_edges(spark, sf), "O"), 20), "total")
 
 
-# paths are asked of a thin slice of the graph, else everybody is one hop away
-THIN = "AND d.kind = 'email' AND d.owner = '' AND d.occurred_at >= TIMESTAMP '2001-05-20'"
-THIN_CTE = edges_sql().replace("ON d.id = c.document_id JOIN roles x", f"ON d.id = c.document_id {THIN} JOIN roles x")
-WALKS = f"""WITH RECURSIVE {THIN_CTE}, {VISIBLE}, {NEAR}, walks(node, cost, hops, path) AS (
-  SELECT 3::bigint, 0.0::double, 0, '3' UNION ALL
-  SELECT n.dst, w.cost - ln(greatest(n.strength, 0.01::double)), w.hops + 1, w.path || '>' || n.dst::varchar
-  FROM walks w JOIN near n ON n.src = w.node WHERE w.hops < 4 AND position('>' || n.dst::varchar || '>' IN '>' || w.path || '>') = 0)"""
-
-
-def _thin(spark, sf) -> DataFrame:
-    d = documents(spark, sf).where((F.col("kind") == "email") & (F.col("owner") == "") & (F.col("occurred_at") >= F.lit("2001-05-20").cast("timestamp_ntz")))
-    return G.visible_graph(E.rebuild_edges(d, mentions(spark, sf), NOW), "O")
+#: All simple walks of at most three hops from part 3 through strong links; the twin tries them all.
+STRONG = "visible AS (SELECT a, b, 1 - exp(-sum(weight) / 6.0::double) AS strength FROM edges WHERE owner IN ('', 'O') GROUP BY a, b HAVING 1 - exp(-sum(weight) / 6.0::double) > 0.1::double)"
+SNEAR = "near AS (SELECT a AS src, b AS dst, strength FROM visible UNION ALL SELECT b, a, strength FROM visible)"
+WALK = """{0}(node, cost, hops, path, private) AS (SELECT 3::bigint, 0.0::double, 0, '3', 0 UNION ALL
+  SELECT n.dst, w.cost - ln(greatest(n.strength, 0.01::double)), w.hops + 1, w.path || '>' || n.dst::varchar, w.private + n.private
+  FROM {0} w JOIN {1} n ON n.src = w.node WHERE w.hops < 3 AND position('>' || n.dst::varchar || '>' IN '>' || w.path || '>') = 0)"""
+SEEN = "seen AS (SELECT src, dst, strength, 0 AS private FROM near)"
+WALKS = f"WITH RECURSIVE {PARTS}, {STRONG}, {SNEAR}, {SEEN}, {WALK.format('walks', 'seen')}"
+FRIEND, TARGET = 171, 1700
 
 
 def _path(df: DataFrame) -> DataFrame:
     return df.select("hops", F.round("cost", 6).alias("cost"), F.round("strength", 6).alias("strength"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(f"{WALKS} SELECT hops, round(cost, 6) AS cost, round(exp(-cost), 6) AS strength, path FROM walks WHERE node = 47 ORDER BY walks.cost, hops, path LIMIT 1")
+STRICT = S.changed(least_strength=0.1)
+
+
+def _paths(spark, sf, target: int = FRIEND) -> DataFrame:
+    return G.warm_paths(G.visible_graph(_parts(spark, sf), "O", STRICT), 3, target, 3, STRICT)
+
+
+@query(f"{WALKS} SELECT hops, round(cost, 6) AS cost, round(exp(-cost), 6) AS strength, path FROM walks WHERE node = {FRIEND} ORDER BY walks.cost, hops, path LIMIT 1")
 def warm_path_best(spark, sf):
-    return _path(G.best_path(G.warm_paths(_thin(spark, sf), 3, 47)))
+    return _path(G.best_path(_paths(spark, sf)))
 
 
-@query(f"{WALKS} SELECT hops, round(cost, 6) AS cost, round(exp(-cost), 6) AS strength, path FROM walks WHERE node = 47 ORDER BY hops, walks.cost, path LIMIT 1")
+@query(f"{WALKS} SELECT hops, round(cost, 6) AS cost, round(exp(-cost), 6) AS strength, path FROM walks WHERE node = {FRIEND} ORDER BY hops, walks.cost, path LIMIT 1")
 def warm_path_fewest_hops(spark, sf):
-    return _path(G.best_path(G.warm_paths(_thin(spark, sf), 3, 47), fewest_hops=True))
+    return _path(G.best_path(_paths(spark, sf), fewest_hops=True))
+
+
+@query(f"""WITH RECURSIVE {PARTS}, {HIDDEN}, {STRONG}, {SNEAR}, {SEEN}, {WALK.format('walks', 'seen')},
+  mixed AS (SELECT a, b, CASE WHEN f.a IS NOT NULL AND (strength IS NULL OR strength < 0.5::double) THEN 0.5::double ELSE strength END AS strength, (f.a IS NOT NULL AND (strength IS NULL OR strength < 0.5::double))::int AS private
+    FROM visible v FULL OUTER JOIN foreign_ f USING (a, b)),
+  every AS (SELECT a AS src, b AS dst, strength, private FROM mixed UNION ALL SELECT b, a, strength, private FROM mixed), {WALK.format('all_', 'every')},
+  c AS (SELECT * FROM all_ WHERE node = {TARGET} ORDER BY hops, all_.cost, path LIMIT 1), steps AS (SELECT unnest(string_split(path, '>'))::bigint AS entity, generate_subscripts(string_split(path, '>'), 1) AS place FROM c
+    WHERE private > 0 AND hops < coalesce((SELECT min(hops) FROM walks WHERE node = {TARGET}), 99))
+  SELECT (s.place - 1)::int AS place, s.entity, coalesce(m.private, 0) = 1 AS private FROM steps s LEFT JOIN steps p ON p.place = s.place - 1 LEFT JOIN mixed m ON m.a = least(p.entity, s.entity) AND m.b = greatest(p.entity, s.entity)""")
+def private_path(spark, sf):
+    """A shorter way through layers the viewer can't read: who is asked, hop by hop."""
+    return G.private_path(_parts(spark, sf), 3, TARGET, "O", 3, STRICT).select("place", "entity", "private")
 
 
 @query(f"""WITH {edges_sql()}, {VISIBLE}, {NEAR} SELECT x.dst AS mutual, round(x.strength, 6) AS to_a, round(y.strength, 6) AS to_b,
   round(least(x.strength, y.strength), 6) AS score FROM near x JOIN near y ON x.dst = y.dst WHERE x.src = 7 AND y.src = 33
   ORDER BY least(x.strength, y.strength) DESC, x.dst LIMIT 5""")
 def introducers(spark, sf):
-    return _r(G.introducers(G.visible_graph(_edges(spark, sf), "O"), 7, 33), "to_a", "to_b", "score")
+    return _r(G.introducers_of(_edges(spark, sf), 7, 33, "O"), "to_a", "to_b", "score")
 
 
-@query(f"""WITH {LATE_CTE}, hidden AS (SELECT DISTINCT a, b FROM edges e WHERE owner NOT IN ('', 'O')
-  AND NOT EXISTS (SELECT 1 FROM edges v WHERE v.owner IN ('', 'O') AND v.a = e.a AND v.b = e.b)),
-  hint AS (SELECT a AS src, b AS dst FROM hidden UNION ALL SELECT b, a FROM hidden), {VISIBLE}, {NEAR}
-  SELECT h.dst AS mutual, round(n.strength, 6) AS known FROM hint h JOIN near n ON n.src = h.dst AND n.dst = 33 WHERE h.src = 7""")
+@query(f"""WITH {PARTS}, {HIDDEN}, {VISIBLE}, {NEAR}, of33 AS (SELECT CASE WHEN a = 33 THEN b ELSE a END AS dst FROM foreign_ WHERE a = 33 OR b = 33)
+  SELECT 'F' AS owner, count(*) AS contacts FROM of33 WHERE dst <> 7 AND dst NOT IN (SELECT dst FROM near WHERE src = 33) HAVING count(*) > 0""")
 def introducers_via_private(spark, sf):
-    """Who knows supplier 33 visibly, and supplier 7 only in layers the viewer can't read."""
-    e = _late(spark, sf)
-    hint = G.adjacency(G.hidden_edges(e, "O")).where("src = 7").select(F.col("dst").alias("mutual"))
-    near = G.adjacency(G.visible_graph(e, "O")).where("dst = 33").select(F.col("src").alias("mutual"), F.round("strength", 6).alias("known"))
-    return hint.join(near, "mutual")
+    """Whose layers reach part 33 through people the viewer has no link from."""
+    return G.private_introducers(_parts(spark, sf), 7, 33, "O")
 
 
-@query(f"""WITH RECURSIVE {THIN_CTE}, {VISIBLE}, {NEAR}, one AS (SELECT DISTINCT dst AS node FROM near WHERE src = 3),
-  two AS (SELECT DISTINCT n.dst AS node FROM one JOIN near n ON n.src = one.node)
+@query(f"""WITH {PARTS}, {STRONG}, {SNEAR}, one AS (SELECT DISTINCT dst AS node FROM near WHERE src = 3), two AS (SELECT DISTINCT n.dst AS node FROM one JOIN near n ON n.src = one.node)
   SELECT node, min(distance) AS distance FROM (SELECT 3::bigint AS node, 0 AS distance UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) t GROUP BY node""")
 def ego_radius2(spark, sf):
-    return G.ego(_thin(spark, sf), 3, 2)
+    return G.ego(G.visible_graph(_parts(spark, sf), "O", STRICT), 3, 2)
+
+
+DRAWN = f"""{PARTS}, {HIDDEN}, {VISIBLE}, links AS (SELECT a, b, strength FROM visible UNION ALL SELECT a, b, 0.25::double FROM hidden WHERE a % 10 < 8 AND b % 10 < 8),
+  ends AS (SELECT a AS id, strength FROM links UNION ALL SELECT b, strength FROM links), score AS (SELECT id, sum(strength) AS total, count(*) AS degree FROM ends GROUP BY id),
+  nodes AS (SELECT p_partkey AS entity_id, p_name AS name, coalesce(total, 0) AS total, coalesce(degree, 0) AS degree FROM part LEFT JOIN score ON id = p_partkey WHERE p_partkey % 10 < 8)"""
+
+
+def _view(spark, sf) -> tuple[DataFrame, DataFrame]:
+    people = table(spark, sf, "part").where("p_partkey % 10 < 8").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    return G.graph_view(G.drawn_links(_parts(spark, sf), people, "O"), people, 40)
+
+
+@query(f"WITH {DRAWN} SELECT entity_id, name, round(total, 6) AS total, degree FROM nodes ORDER BY nodes.total DESC, name, entity_id LIMIT 40")
+def graph_view_nodes(spark, sf):
+    """The people a picture of the graph shows: the strongest, hints of private links counted; some are hidden from the viewer."""
+    return _r(_view(spark, sf)[0], "total")
+
+
+@query(f"""WITH {DRAWN}, kept AS (SELECT entity_id FROM nodes ORDER BY nodes.total DESC, name, entity_id LIMIT 40)
+  SELECT a, b, round(strength, 6) AS strength FROM links WHERE a IN (SELECT * FROM kept) AND b IN (SELECT * FROM kept)""")
+def graph_view_links(spark, sf):
+    return _r(_view(spark, sf)[1], "strength").select("a", "b", "strength")

@@ -41,9 +41,9 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def mentions(spark: SparkSession, sf: str) -> DataFrame:
+def mentions(spark: SparkSession, sf: str, entity: str = "l_suppkey") -> DataFrame:
     role = F.when(F.col("l_returnflag") == "N", "from").when(F.col("l_returnflag") == "A", "to").otherwise("mentioned")
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("entity_id"), role.alias("role"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col(entity).alias("entity_id"), role.alias("role"))
 
 
 def touches(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,13 +58,16 @@ def touches(spark: SparkSession, sf: str) -> DataFrame:
 DOCS = """docs AS (SELECT o_orderkey AS id, o_orderdate AS occurred_at, o_custkey AS customer,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'email' WHEN '2' THEN 'meeting' WHEN '3' THEN 'event' WHEN '4' THEN 'note' ELSE 'other' END AS kind,
   CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS owner FROM orders)"""
-ROLES = """roles AS (SELECT l_orderkey AS document_id, l_suppkey AS entity_id,
-  max(CASE l_returnflag WHEN 'N' THEN 5 WHEN 'A' THEN 4 ELSE 1 END) AS r FROM lineitem GROUP BY l_orderkey, l_suppkey)"""
 
 
-def pairs_sql(cap: int = 50) -> str:
+def roles_sql(entity: str = "l_suppkey") -> str:
+    return f"""roles AS (SELECT l_orderkey AS document_id, {entity} AS entity_id,
+  max(CASE l_returnflag WHEN 'N' THEN 5 WHEN 'A' THEN 4 ELSE 1 END) AS r FROM lineitem GROUP BY l_orderkey, {entity})"""
+
+
+def pairs_sql(cap: int = 50, entity: str = "l_suppkey") -> str:
     """CTEs docs, roles, capped, pairs(document_id, owner, a, b, kind, occurred_at, w); w is decayed."""
-    return f"""{DOCS}, {ROLES},
+    return f"""{DOCS}, {roles_sql(entity)},
 capped AS (SELECT document_id FROM roles GROUP BY document_id HAVING count(*) <= {cap}),
 pairs AS (SELECT d.id AS document_id, d.owner, x.entity_id AS a, y.entity_id AS b, d.kind, d.occurred_at,
   CASE WHEN d.kind = 'email' THEN CASE WHEN x.r >= 4 AND y.r >= 4 THEN 2.5::double ELSE 1.0::double END
@@ -75,8 +78,8 @@ pairs AS (SELECT d.id AS document_id, d.owner, x.entity_id AS a, y.entity_id AS
   JOIN roles y ON y.document_id = d.id AND x.entity_id < y.entity_id)"""
 
 
-def edges_sql(cap: int = 50) -> str:
-    return f"""{pairs_sql(cap)},
+def edges_sql(cap: int = 50, entity: str = "l_suppkey") -> str:
+    return f"""{pairs_sql(cap, entity)},
 edges AS (SELECT owner, a, b, sum(w) AS weight, max(occurred_at) AS last_seen, count(*) AS n FROM pairs GROUP BY owner, a, b)"""
 
 
