@@ -1,13 +1,13 @@
 """Operator 10: benchmark decontamination with a broadcast hash set of test n-grams.
 
-The benchmark's windows of 13 normalised words are hashed into a sorted set. While that set is
-at most ``most_windows`` large (its bound for broadcasting) it is broadcast whole; beyond it,
-the set is dealt into blocks of that size and the documents are scanned once for each block,
-adding to what the earlier blocks found, so nothing is lost. Every window of a document whose
+The benchmark's windows of 13 normalised words are hashed into a sorted set. While that set has
+at most ``most_bytes`` (its bound for broadcasting) it is broadcast whole; beyond it, the set is
+dealt into blocks of that size and the documents are scanned once for each block, adding to what
+the earlier blocks found, so nothing is lost. Every window of a document whose
 hash is in the set is then compared word by word with the benchmark's words.
 
 Defined cases: a null or wordless document has no words and is clean; an item of 1 to 12 words
-is one window, an item without words none; items that share a window all count; repeated items
+is one window, an item without words none; an item without an id goes by the empty text; items that share a window all count; repeated items
 count once by id; repeated documents are judged alike, each on its own row; an empty benchmark
 leaves all documents clean. Other columns are carried along whatever their names.
 """
@@ -29,6 +29,8 @@ from .textkit import ALNUM, Words, blocks, lists, tidied
 WINDOW = 13
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _BITS = 22
+#: Of the windows that are broadcast at once, with their words and items.
+MOST_BYTES = 64 << 20
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, k: int = WINDOW) -> DataFrame:
@@ -53,20 +55,30 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, k: int = WI
                     ["hash", "words", "length", "item"],
                 )
 
-    picked = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    picked = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
     return picked.mapInArrow(tidied(run), "hash long, words binary, length int, item string").distinct()
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of texts."""
+    chunks = column.cast(pa.large_binary()).chunks
+    column = pa.concat_arrays(chunks) if chunks else pa.array([], pa.large_binary())
+    _, at, raw = column.buffers()
+    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data.copy(), offsets - offsets[0]
+
+
 class WindowSet:
-    """A block of benchmark windows, laid out for lookup. Made on the driver, sent to tasks."""
-
-    def __init__(self, rows: list):
-        self.known: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-        for h, words, _, item in rows:
-            self.known[h][bytes(words)].append(item)
-        self.known = {h: {w: sorted(set(i)) for w, i in d.items()} for h, d in self.known.items()}
-        self.lengths = sorted({r[2] for r in rows})
-        self.hashes = np.array(sorted(self.known), np.int64)
+    """A block of benchmark windows in flat arrays, sorted by hash: at most about MOST_BYTES. Made on the driver, sent to tasks."""
+
+    def __init__(self, table: pa.Table):
+        hashes = table.column("hash").to_numpy()
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.words, self.words_at = _flat(table.column("words").take(pa.array(order)))
+        self.items, self.items_at = _flat(table.column("item").take(pa.array(order)))
+        self.lengths = np.unique(table.column("length").to_numpy()).tolist()
         self.near = np.zeros(1 << _BITS, bool)
         self.near[self.hashes.view(np.uint64) & np.uint64((1 << _BITS) - 1)] = True
 
@@ -78,11 +90,23 @@ class WindowSet:
             found = hashes[maybe].view(np.int64)
             if not len(found):
                 continue
-            place = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-            for i in maybe[self.hashes[place] == found]:
-                items = self.known[int(hashes[i].view(np.int64))].get(words.text(int(at[i]), n))
-                if items:
-                    yield int(at[i]), n, items
+            lo, hi = np.searchsorted(self.hashes, found, "left"), np.searchsorted(self.hashes, found, "right")
+            for j in np.flatnonzero(hi > lo).tolist():
+                first = int(at[maybe[j]])
+                text = words.text(first, n)
+                same = [i for i in range(lo[j], hi[j]) if self.words[self.words_at[i] : self.words_at[i + 1]].tobytes() == text]
+                if same:
+                    yield first, n, sorted({self.items[self.items_at[i] : self.items_at[i + 1]].tobytes().decode() for i in same})
+
+
+def window_blocks(windows: DataFrame, most_bytes: int) -> Iterator[tuple[WindowSet, bool, bool]]:
+    """(a block of windows, whether it is the first, whether it is the last): as many as it takes to keep each within ``most_bytes``."""
+    size = F.octet_length("words") + F.octet_length("item") + 24
+    total = windows.agg(F.sum(size)).collect()[0][0] or 0
+    n = max(1, -(-total // most_bytes))
+    for b in range(n):
+        block = windows if n == 1 else windows.where(F.pmod(F.xxhash64("hash"), F.lit(n)) == b)
+        yield WindowSet(block.toArrow()), b == 0, b == n - 1
 
 
 def _scan(docs: DataFrame, text_col: str, known: WindowSet, k: int, last: bool, again: bool) -> DataFrame:
@@ -138,20 +162,16 @@ def _scan(docs: DataFrame, text_col: str, known: WindowSet, k: int, last: bool,
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    k: int = WINDOW, most_windows: int = 2_000_000, keep: list[str] | None = None,
+    k: int = WINDOW, most_bytes: int = MOST_BYTES, keep: list[str] | None = None,
 ) -> DataFrame:
     """Each document's ``keep`` columns (default doc_id) with REPORT's columns."""
     windows = settle(item_windows(benchmark, item_col, item_text, k), "windows")
-    count = windows.count()
-    n_blocks = max(1, -(-count // most_windows))
     names = {c: f"__kw_c{i}" for i, c in enumerate(keep or ["doc_id"])}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[F.col(text_col).alias("__kw_text")] * (text_col not in names))
     text = names.get(text_col, "__kw_text")  # each text is sent to Python once
-    for b in range(n_blocks):
-        block = windows if n_blocks == 1 else windows.where(F.pmod(F.xxhash64("hash"), F.lit(n_blocks)) == b)
-        known = WindowSet(block.collect())  # at most about most_windows rows
-        rows = _scan(rows, text, known, k, b == n_blocks - 1, b > 0)
-        if b < n_blocks - 1:
+    for known, first, last in window_blocks(windows, most_bytes):
+        rows = _scan(rows, text, known, k, last, not first)
+        if not last:
             rows = settle(rows, "hits")
     return rows.select(*[F.col(n).alias(c) for c, n in names.items()], *[F.col(c.split()[0]) for c in REPORT.split(", ")])
 
@@ -165,14 +185,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return stay.withColumnsRenamed({b: a for a, b in clash.items()})
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = WINDOW, most_windows: int = 2_000_000) -> DataFrame:
-    """The documents with every occurrence of a benchmark window cut out of the text."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The documents with every occurrence of a benchmark window cut out of the text; only ids of items may be null."""
     windows = settle(item_windows(benchmark, item_col, item_text, k), "windows")
-    n_blocks = max(1, -(-windows.count() // most_windows))
     place = docs.columns.index(text_col)
-    for b in range(n_blocks):
-        block = windows.where(F.pmod(F.xxhash64("hash"), F.lit(n_blocks)) == b)
-        sent = docs.sparkSession.sparkContext.broadcast(WindowSet(block.collect()))
+    for known, _, last in window_blocks(windows, most_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches, sent=sent):
             for batch in batches:
@@ -190,5 +208,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield batch.set_column(place, batch.schema.field(place), fresh)
 
         docs = docs.mapInArrow(tidied(run), docs.schema)
-        docs = settle(docs, "spans") if b < n_blocks - 1 else docs
+        docs = docs if last else settle(docs, "spans")
     return docs

@@ -52,18 +52,26 @@ def test_equals_brute_force_in_one_or_many_blocks(spark):
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, n_hit string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute(docs, items), key=str)
-    for most in (10_000, 40):
-        got = sorted(map(tuple, contamination(d, b, most_windows=most).collect()), key=str)
+    for most in (1 << 20, 9_000):
+        got = sorted(map(tuple, contamination(d, b, most_bytes=most).collect()), key=str)
         assert got == want
     bad = {w[0] for w in want if w[-1]}
     kept = decontaminate(d, b)
     assert kept.schema == d.schema
     assert sorted((r[0] for r in kept.collect()), key=str) == sorted((r[0] for r in docs if r[0] not in bad), key=str)
-    cut = remove_spans(d, b, most_windows=200)
+    cut = remove_spans(d, b, most_bytes=20_000)
     assert cut.columns == d.columns
     assert all(not r[2] for r in brute([(r.doc_id, r.text) for r in cut.collect()], [i for i in items if len(words(i[1])) > 2]))
 
 
+def test_items_without_an_id(spark):
+    d = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "b c"), (7, "b c"), (None, "d")], "item_id long, text string")
+    (r,) = contamination(d, b).collect()
+    assert (r.n_hit, r.n_items, r.items_sha256) == (3, 2, hashlib.sha256(b",7").hexdigest())
+    assert [r.text for r in remove_spans(d, b).collect()] == ["a  "]
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     d = spark.createDataFrame(docs, "doc_id long, text string")
