@@ -290,11 +290,13 @@ def _links(signed: DataFrame, check: _Verifier, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its smallest doc_id)."""
     signed = settle(signatures(docs, id_col, text_col, k, percent), "signatures")
-    roots = components(_links(signed, _Verifier(docs, signed, id_col, text_col, k, percent), percent))
-    least = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    least = settle(least.select("fp", "doc", F.coalesce("root", "fp").alias("root")), "least")
-    named = least.join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("fp", "component_id")
-    named = settle(named, "named")
+    check = _Verifier(docs, signed, id_col, text_col, k, percent)
+    links = _links(signed, check, percent)
+    # components of documents, a set standing as the smallest that has it: their roots are the answer, and nothing is joined on one
+    ids = check.known.select("fp", "doc").where("doc is not null")
+    near = links.join(ids.toDF("a", "da"), "a").join(ids.toDF("b", "db"), "b").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+    roots = components(near).withColumnRenamed("node", "doc")
+    named = settle(check.known.select("fp", "doc").join(roots, "doc", "left").select("fp", F.coalesce("root", "doc").alias("component_id")), "named")
     return signed.select("doc_id", "n", "fp").join(named, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
