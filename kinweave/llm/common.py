@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs in this
+    one process (as in tests) a temporary folder takes its place.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -64,17 +66,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, max_labels: int = 1000) -> DataFrame:
+def chance(id_col: str, salt: int = 11) -> Column:
+    """A number from 0 to 1 that is fixed for each id."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+
+
+def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, most: int | None = None) -> DataFrame:
     """About ``per_label`` rows of each label, chosen by a hash of the id, so always the same.
 
-    Each label's rate is ``per_label`` over its number of rows (1 at most), so the size is
-    bounded by ``per_label`` times the number of labels, whatever the size of the input.
-    ``max_labels`` bounds what comes to the driver: only the commonest labels are learned.
+    Each label's rate is ``per_label`` over its number of rows (1 at most). With ``most``, labels
+    share that many rows: so many labels that it isn't enough get fewer each, but all some. The
+    rates are one row a label; they are broadcast while there are 100,000 labels at most.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count()
-    top = counts.orderBy(F.desc("count"), label).limit(max_labels).collect()
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    keep = F.lit(False)
-    for r in top:
-        keep = keep | ((F.col(label) == F.lit(r[0])) & (chance < min(1.0, per_label / r[1])))
-    return rows.where(F.coalesce(keep, F.lit(False)))
+    counts = settle(rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__kw_of")).count(), "labels")
+    labels = counts.count()
+    each = per_label if most is None else max(1, min(per_label, most // max(labels, 1)))
+    rates = counts.select("__kw_of", (F.lit(float(each)) / F.col("count")).alias("__kw_rate"))
+    rates = F.broadcast(rates) if labels <= 100_000 else rates
+    return rows.join(rates, F.col(label) == F.col("__kw_of")).where(chance(id_col) < F.col("__kw_rate")).drop("__kw_of", "__kw_rate")
+
+
+def within(rows: DataFrame, id_col: str, size: Column, most: int) -> DataFrame:
+    """Rows whose sizes are about ``most`` in sum at most: all of them, or a part chosen by a hash of the id."""
+    total = rows.agg(F.sum(size)).collect()[0][0] or 0
+    return rows if total <= most else rows.where(chance(id_col, 29) < most / total)

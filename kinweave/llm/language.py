@@ -4,12 +4,13 @@ A text is lower-cased; all but letters (A-Z and every byte beyond ASCII) separat
 subwords are the 3- and 4-byte windows of words and their borders, hashed into ``BUCKETS``
 rows of an embedding table. The mean of a text's rows goes through a linear layer and a
 softmax. Both are trained by stochastic gradient descent in numpy on the driver, on a bounded
-sample (about ``per_label`` documents of each of the commonest languages). The score is
+sample: about ``per_label`` documents of each language, ``most`` in all, of which at most
+MOST_ENTRIES distinct subwords come to the driver (64 MB). Every language is learned. The score is
 calibrated with a temperature on a part of the sample that isn't trained on; there too a
 limit is chosen under which an answer counts as ``rejected``.
 
-As the mean is linear, scoring uses the product of the table and the layer: one row of
-language scores a subword.
+As the mean is linear, scoring uses the product of the table and the layer where that is no
+larger than the table: one row of language scores a subword.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where no
 language could be learned; a letter is what Unicode calls one; a null language teaches nothing;
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, settle
+from .common import bounded_sample, held_out, settle, within
 from .textkit import LOWER, lists, sums_by, with_columns
 
-BUCKETS, WIDTH = 1 << 15, 12
+BUCKETS, WIDTH, MOST_ENTRIES = 1 << 15, 12, 8_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _ASCII_LETTER = _LETTER.copy()
@@ -66,14 +67,18 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 @dataclass
 class Languages:
     names: list[str]
-    table: np.ndarray  # a row of language scores for each bucket
+    table: np.ndarray  # a row of language scores for each bucket, or of WIDTH numbers for more languages than those
     bias: np.ndarray
+    layer: np.ndarray | None = None  # from WIDTH numbers to language scores
     heat: float = 1.0
     limit: float = 0.0
 
+    def of_mean(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
+
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         bucket, ends = subwords(data, offsets)
-        return sums_by(self.table[bucket], ends) / np.maximum(np.diff(ends), 1)[:, None] + self.bias
+        return self.of_mean(sums_by(self.table[bucket], ends) / np.maximum(np.diff(ends), 1)[:, None])
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         docs = len(offsets) - 1
@@ -120,9 +125,10 @@ def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: i
     return table, layer, bias
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most_languages: int = 400) -> Languages:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most: int = 40_000) -> Languages:
+    """Fit on about ``per_label`` documents of each language, ``most`` of all (every language has some), and MOST_ENTRIES of their bags."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sample = settle(bounded_sample(rows.select(id_col, lang_col, text_col), lang_col, id_col, per_label, most_languages), "lang")
+    sample = settle(bounded_sample(rows.select(id_col, lang_col, text_col), lang_col, id_col, per_label, most), "lang")
 
     def body(data, offsets):
         bucket, ends = subwords(data, offsets)
@@ -131,23 +137,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         flat = [np.concatenate([b[i] for b in bags]) if bags else np.zeros(0) for i in (0, 1)]
         return [lists(flat[0].astype(np.int32), sizes, pa.int32()), lists(flat[1].astype(np.int32), sizes, pa.int32())]
 
-    got = with_columns(sample, text_col, [id_col, lang_col], "b array<int>, n array<int>", body).orderBy(id_col).toArrow()
+    made = settle(with_columns(sample, text_col, [id_col, lang_col], "b array<int>, n array<int>", body), "bags")
+    got = within(made, id_col, F.size("b"), MOST_ENTRIES).orderBy(id_col).toArrow()  # 8 bytes an entry
     langs = got.column(lang_col).to_pylist()
     names = sorted(set(langs))
     if not names:
         return Languages([], np.zeros((BUCKETS, 1)), np.zeros(1))
     bags = []
     for b, n in zip(got.column("b"), got.column("n")):
-        n = n.values.to_numpy().astype(float)
-        bags.append((b.values.to_numpy().astype(np.int64), n / max(n.sum(), 1)))
-    y = np.array([names.index(x) for x in langs])
+        n = n.values.to_numpy().astype(np.float32)
+        bags.append((b.values.to_numpy(), n / max(n.sum(), 1)))
+    place = {name: i for i, name in enumerate(names)}
+    y = np.array([place[x] for x in langs])
     test = np.arange(len(y)) % 5 == 4
     train_rows = np.flatnonzero(~test)
     table, layer, bias = _descend([bags[i] for i in train_rows], y[train_rows], len(names))
-    model = Languages(names, table @ layer, bias)
+    model = Languages(names, table @ layer, bias) if len(names) <= WIDTH else Languages(names, table, bias, layer)
     rest = np.flatnonzero(test)
     if len(rest):
-        logits = np.stack([bags[i][1] @ model.table[bags[i][0]] + bias for i in rest])
+        logits = np.stack([model.of_mean(bags[i][1] @ model.table[bags[i][0]]) for i in rest])
         heats = np.geomspace(0.05, 20, 60)
         costs = [-np.log(np.clip(_softmax(logits / t)[np.arange(len(rest)), y[rest]], 1e-9, 1)).mean() for t in heats]
         model.heat = float(heats[int(np.argmin(costs))])

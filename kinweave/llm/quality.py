@@ -84,7 +84,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int
     """Documents of a bounded sample of labels, held-out ones left out, with the label as ``__kw_label``."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__kw_id")).agg(F.max(label).cast("int").alias("__kw_label"))
-    some = bounded_sample(known, "__kw_label", "__kw_id", per_label, 2)
+    some = bounded_sample(known.where("__kw_label in (0, 1)"), "__kw_label", "__kw_id", per_label)
     return docs.join(F.broadcast(some), F.col(id_col) == F.col("__kw_id")).drop("__kw_id")  # about 2 * per_label rows
 
 
