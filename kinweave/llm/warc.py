@@ -6,8 +6,8 @@ stored once and revisited. Reading takes each file whole, cuts it into records b
 Content-Length and checks every stored payload against its digest.
 
 Each archive's index lines form a locally sorted run. The runs are dealt by ranges of (URL key,
-timestamp, page), and in each range a loser tree merges them, so the histories are in order
-over all ranges. A range's size doesn't depend on how often one URL was captured, as the
+timestamp, page), each range's part of a run staying sorted, and in each range a loser tree
+merges them, so the histories are in order over all ranges. A range has some 20,000 lines; its size doesn't depend on how often one URL was captured, as the
 timestamp is part of the range.
 
 Defined cases: a null html is an empty payload; a null url has an empty key; payloads under 100
@@ -30,8 +30,10 @@ from .textkit import tidied
 
 LEAST_SHARED = 100
 END = "\r\n\r\n"
-#: Captures are a second apart from here on; pages have no time of their own.
-FIRST_CAPTURE = 1_704_067_200
+#: Captures are a second apart from here on, for so many seconds; pages have no time of their own.
+FIRST_CAPTURE, SECONDS = 1_704_067_200, 1_000_000_000
+#: About how large a file may get, by the mean size of a payload.
+FILE_BYTES = 64 << 20
 INDEX = "page_id long, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, position long"
 
 
@@ -62,7 +64,7 @@ def _plan(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write a WARC record for each row of pages(page_id, url, html); files are runs sorted by URL key and time."""
     rows = _plan(pages).withColumn("key", url_key(F.col("url")))
-    rows = rows.withColumn("second", F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0)))
+    rows = rows.withColumn("second", F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS)))
     stamp = F.date_format(F.timestamp_seconds("second"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
@@ -83,7 +85,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
     sorted_runs = rows.sortWithinPartitions("key", "second", "page_id").select(record.alias("value"))
-    sorted_runs.write.option("lineSep", END).option("maxRecordsPerFile", 20_000).text(path)
+    mean = pages.agg(F.avg(F.octet_length("html"))).collect()[0][0] or 0
+    sorted_runs.write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1_000)))).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -153,27 +156,22 @@ def loser_tree(runs: list[Iterator], key: Callable) -> Iterator:
 
 def merge_index(index: DataFrame, ranges: int) -> DataFrame:
     """All captures ordered by URL key, time and page over the partitions, with their place in their URL's history of this range."""
-    names = [f.split()[0] for f in INDEX.split(", ")]
 
     def run(batches):
-        runs: dict[str, list[tuple]] = {}
-        kept = []
-        for b, batch in enumerate(batches):
-            kept.append(batch)
-            keys = zip(*(batch.column(names.index(c)).to_pylist() for c in ("archive", "url_key", "captured", "page_id")))
-            for i, (archive, *rest) in enumerate(keys):
-                runs.setdefault(archive, []).append((rest[0], rest[1], rest[2] is not None, rest[2] or 0, b, i))
+        kept = [b for b in batches if b.num_rows]
         if not kept:
             return
         table = pa.Table.from_batches(kept)
-        starts = [0]
-        for batch in kept:
-            starts.append(starts[-1] + batch.num_rows)
-        # the shuffle mixes the pieces of a run; each is put in order on its own before the merge
-        order = [starts[x[4]] + x[5] for x in loser_tree([iter(sorted(runs[a])) for a in sorted(runs)], lambda x: x[:4])]
+        archive, *keys = (table.column(c).to_pylist() for c in ("archive", "url_key", "captured", "page_id"))
+        cuts = [0, *(i for i in range(1, len(archive)) if archive[i] != archive[i - 1]), len(archive)]
+        # each run is in order; the tree holds one line of each
+        place = lambda i: (keys[0][i], keys[1][i], keys[2][i] is not None, keys[2][i] or 0)
+        order = list(loser_tree([iter(range(a, b)) for a, b in zip(cuts, cuts[1:])], place))
         yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
 
-    return index.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(tidied(run), INDEX)
+    ranged = index.repartitionByRange(ranges, "url_key", "captured", "page_id")
+    # the shuffle mixes the pieces of runs: Spark's external sort puts those of a range together again, each in order
+    return ranged.sortWithinPartitions("archive", "url_key", "captured", "page_id").mapInArrow(tidied(run), INDEX)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
