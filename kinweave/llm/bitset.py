@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PER_BUCKET = 32768
-LEAST_BITS, MOST_BITS = 1 << 18, 1 << 31
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
 
 
 def bits_for(keys: int, per_key: int = 16) -> int:
-    """A power of two of at least ``per_key`` bits a key; at most MOST_BITS (256 MB)."""
+    """A power of two of at least ``per_key`` bits a key; at most MOST_BITS (64 MB, so a broadcast fits a small driver)."""
     bits = LEAST_BITS
     while bits < keys * per_key and bits < MOST_BITS:
         bits *= 2

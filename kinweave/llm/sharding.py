@@ -5,11 +5,12 @@ going from n to n + 1 shards moves only rows that go into the new shard. Product
 bits; as Spark's BIGINT arithmetic raises an error there, the state is kept as two 32-bit
 halves.
 
-A row's slot in its shard is its rank by a hash of its id. Ranks come from counts of 1,024
+A row's slot in its shard is its rank by a hash of its id and text. Ranks come from counts of 1,024
 hash ranges in each shard, a table of bounded size, plus the rank inside the range, so no task
 sorts a whole shard. Equal rows are counted before anything is ranked.
 
-Defined cases: a null text has no bytes (size 1, crc 0); a null id is hashed as 0; repeated
+Defined cases: a null text has no bytes (size 1, crc 0); a null id is hashed as 0, an id that
+isn't a whole number by its xxhash64; repeated
 rows each have a slot of their own; an empty table gives an empty result. Columns of the input
 other than id and text are not read.
 """
@@ -54,14 +55,16 @@ def jump_hash(key: Column, shards: int) -> Column:
 def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    number = docs.select(id_col).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    key = F.col(id_col).cast("long") if number else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("__kw_key"),
+        F.coalesce(key, F.lit(0).cast("long")).alias("__kw_key"),
     )
     rows = rows.groupBy("doc_id", "size", "text_crc32", "__kw_key").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.withColumn("__kw_jump", jump_hash(F.col("__kw_key"), shards)).withColumn("rank_key", F.xxhash64("__kw_key"))
+    rows = rows.withColumn("__kw_jump", jump_hash(F.col("__kw_key"), shards)).withColumn("rank_key", F.xxhash64("__kw_key", "size", "text_crc32"))
     rows = rows.select(
         "doc_id", "size", "text_crc32", "copies", "rank_key",
         F.col("__kw_jump.shard").alias("shard"), F.col("__kw_jump.grown").alias("grown_shard"),
