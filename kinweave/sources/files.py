@@ -31,7 +31,7 @@ def bad_line(spark: SparkSession, path: str) -> str | None:
     if not bad:
         return None
     file, start, at = bad[0].p
-    before = spark.read.text(path).select(_position().alias("p")).where((F.col("p.file_path") == file) & (F.struct("p.file_block_start", "p.at") < F.struct(F.lit(start), F.lit(at)))).count()
+    before = spark.read.text(path).select(_position().alias("p")).where((F.col("p.file_path") == file) & ((F.col("p.file_block_start") < start) | ((F.col("p.file_block_start") == start) & (F.col("p.at") < at)))).count()
     return f"{file}:{before + 1}: {bad[0].value[:80]}"
 
 
