@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .textkit import ALNUM, Words, blocks, lists, tidied
+from .textkit import ALNUM, Words, blocks, tidied
 
 WINDOW = 13
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
