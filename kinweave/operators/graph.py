@@ -106,17 +106,17 @@ def private_path(edges: DataFrame, src, dst, viewer: str | None, max_hops: int =
     both = seen.join(foreign, ["a", "b"], "full_outer")
     use = F.col("owners").isNotNull() & (F.col("strength").isNull() | (F.col("strength") < s.private_hop_strength))
     every = both.select("a", "b", F.when(use, s.private_hop_strength).otherwise(F.col("strength")).alias("strength"))
-    combined = best_path(warm_paths(every, src, dst, max_hops, s), fewest_hops=True)
-    visible = best_path(warm_paths(seen, src, dst, max_hops, s), fewest_hops=True).agg(F.min("hops").alias("visible_hops"))
-    steps = combined.join(F.broadcast(visible)).where(F.col("visible_hops").isNull() | (F.col("hops") < F.col("visible_hops")))  # one row with one row
+    steps = best_path(warm_paths(every, src, dst, max_hops, s), fewest_hops=True)
+    for r in best_path(warm_paths(seen, src, dst, max_hops, s), fewest_hops=True).collect():  # one row or none
+        steps = steps.where(F.col("hops") < r.hops)
     steps = steps.select("path", F.posexplode("path").alias("place", "entity"))
     steps = steps.select("place", "entity", F.get("path", F.col("place") - 1).alias("before"))
     pair = [F.least("before", "entity").alias("a"), F.greatest("before", "entity").alias("b")]
     private = both.where(use).select("a", "b", "owners")
     steps = steps.select("place", "entity", *pair).join(private, ["a", "b"], "left")
-    steps = steps.select("place", "entity", F.col("owners").isNotNull().alias("private"), "owners")
-    uses = steps.agg(F.max("private").alias("uses"))
-    return steps.join(F.broadcast(uses)).where("uses").drop("uses").orderBy("place")
+    step = F.struct("place", "entity", F.col("owners").isNotNull().alias("private"), "owners")
+    whole = steps.agg(F.sort_array(F.collect_list(step)).alias("steps")).where(F.exists("steps", lambda x: x.private))  # max_hops + 1 steps
+    return whole.select(F.inline("steps")).orderBy("place")
 
 
 def introducers(graph: DataFrame, a, b, limit: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import norm_org
@@ -35,10 +36,11 @@ def search(known: DataFrame, private: DataFrame, text: str, viewer: str | None,
 
 def resolve_ref(found: DataFrame, direct: DataFrame) -> DataFrame:
     """(entity_id, name, orgs, sure): the entity with that id, else what a search found; one row is sure, more are candidates."""
-    n = found.agg(F.count(F.lit(1)).alias("n"))
     by_id = direct.select("entity_id", "name", "orgs", F.lit(True).alias("sure"))
-    others = found.join(direct.select(F.lit(1).alias("one")).limit(1), F.lit(True), "left").where("one is null").join(F.broadcast(n))
-    return by_id.unionByName(others.select("entity_id", "name", "orgs", (F.col("n") == 1).alias("sure")))
+    one = F.lit(1).alias("one")
+    others = found.select("entity_id", "name", "orgs", one).join(direct.select(one).limit(1), "one", "left_anti")
+    alone = F.count(F.lit(1)).over(W.partitionBy("one")) == 1  # of the few rows that a search gives
+    return by_id.unionByName(others.select("entity_id", "name", "orgs", alone.alias("sure")))
 
 
 def documents_of(documents: DataFrame, mentions: DataFrame, who, layers: list[str], limit: int = SECTION) -> DataFrame:
