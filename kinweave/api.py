@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave import scratch
 from kinweave.operators import edges, events, extract, graph, ingest, members, memory, radar, resolve
+from kinweave.scratch import settle
 from kinweave.settings import Settings, visible_layers
 from kinweave.sources import crm, files, mail
-from kinweave.store import Store
+from kinweave.store import BUCKETS, Store, bucket
 
 READERS = {".jsonl": files.jsonl, ".csv": files.contacts, ".mbox": mail.mbox, ".ics": mail.ics, ".json": crm.granola}
 LOGS = {"answers": resolve.ANSWERS, "merges": resolve.MERGES, "overrides": resolve.OVERRIDES, "members": members.MEMBERS, "audit": members.AUDIT}
@@ -51,48 +53,141 @@ class Engine:
         raise ValueError(f"no reader for {path}")
 
     def sync(self, records: DataFrame, now: str, actor: str = "local", bodies: bool = True) -> dict[str, int]:
-        """Take records in, then make all that depends on them. Gives how many documents and mentions there are."""
-        documents, mentions = ingest.ingest(self.documents, self.mentions, records, bodies)
-        self.store.commit({"documents": documents, "mentions": mentions})
-        self.rebuild(now, actor, "sync")
+        """Take records in and bring up to date all that depends on them, in one snapshot. Gives how many documents and mentions there are.
+
+        After the first time only what the records change is made anew (see ``_bring_up_to_date``); the result is that of ``rebuild``.
+        """
+        with scratch.run(self.spark):
+            if not self.store.has("identities"):
+                documents, mentions = ingest.ingest(self.documents, self.mentions, records, bodies)
+                self.rebuild(now, actor, "sync", documents=documents.transform(settle), mentions=mentions.transform(settle))
+            else:
+                self._bring_up_to_date(records, now, actor, bodies)
         return {"documents": self.documents.count(), "mentions": self.mentions.count()}
 
-    def rebuild(self, now: str, actor: str = "local", action: str = "rebuild", detail: dict | None = None) -> None:
-        """Resolve all mentions, with what people decided, and make entities, evidence, senders and edges of them; one snapshot."""
-        documents = self.documents
-        open_ = self.mentions.withColumn("entity_id", F.lit(None).cast("string"))
-        decisions = resolve.resolve(documents, open_, self.settings, self.table("answers")).checkpoint()
-        mentions, found = resolve.replay_merges(resolve.apply(open_, decisions), self.table("merges"))
-        mentions = mentions.checkpoint()
-        moved = resolve.survivors(found.select(F.col("loser_id").alias("loser"), F.col("keeper_id").alias("survivor")))
-        asked = decisions.join(moved.withColumnRenamed("loser", "candidate_id"), "candidate_id", "left").withColumn("candidate_id", F.coalesce("survivor", "candidate_id")).drop("survivor")
-        known = resolve.entities(documents, mentions).checkpoint()
-        said = self.table("overrides").withColumn("row", F.monotonically_increasing_id()).checkpoint()
-        over = resolve.find(said, "known", resolve.known_values(mentions)).join(said, "row").groupBy("entity_id").agg(F.max_by("automated", "said_at").alias("automated"))
-        senders = resolve.automated(documents, mentions, over)
+    def rebuild(self, now: str, actor: str = "local", action: str = "rebuild", detail: dict | None = None, **tables: DataFrame) -> None:
+        """Resolve all mentions, with what people decided, and make entities, evidence, senders and edges of them; one snapshot, ``tables`` given included."""
+        with scratch.run(self.spark):
+            self._rebuild(now, actor, action, detail or {}, tables)
+
+    def _rebuild(self, now: str, actor: str, action: str, detail: dict, tables: dict[str, DataFrame]) -> None:
+        table = lambda name: tables[name] if name in tables else self.table(name)
+        documents, open_ = table("documents"), table("mentions")
+        found = resolve.identities(documents, open_).transform(settle)
+        reached = resolve.reaches(found, found, self.settings).transform(settle)
+        decided = resolve.decide(found, table("answers"), self.settings, reached=reached)
+        at, merged = resolve.replay(decided, resolve.values_of(found, decided), table("merges"))
+        at = at.transform(settle)
+        mentions = resolve.assign(open_, at).transform(settle)
+        over = self._overrides(table("overrides"), found, at)
         people = mentions.where("kind = 'person'")
-        self.store.commit({
-            "mentions": mentions, "decisions": asked.select(*decisions.columns), "merged": found, "entities": known, "evidence": resolve.evidence(documents, mentions), "senders": senders,
-            "edges": edges.rebuild_edges(documents, people, now, self.settings, signals=True), "audit": self._logged(action, detail or {}, actor, now),
+        self.store.commit(tables | {
+            "mentions": mentions, "identities": self._identities(found, decided, at), "reached": reached, "decisions": self._decisions(found, decided, merged), "merged": merged,
+            "entities": resolve.entities(documents, mentions), "evidence": resolve.evidence(documents, mentions), "senders": resolve.automated(documents, mentions, over),
+            "edges": edges.rebuild_edges(documents, people, now, self.settings, signals=True), "made_for": self._made_for(now), "audit": self._logged(action, detail, actor, now),
         })
 
+    def _bring_up_to_date(self, records: DataFrame, now: str, actor: str, bodies: bool) -> None:
+        """A sync that reads again only what may have changed.
+
+        Buckets of the records' documents are rewritten. Identities in those documents, before or after, are placed anew;
+        those that are new, gone or in another place, and whoever meets them or an entity they were in, are decided again.
+        Mentions that are somebody else now are rewritten with their buckets; entities that won or lost a mention are made
+        anew, and so are the edges of those. All other edges only age.
+        """
+        s, read = self.settings, self.store.read
+        d, _ = ingest.normalise(records)
+        ids = d.select(F.col("id").alias("document_id")).transform(settle)
+        numbers = lambda rows: sorted(r[0] for r in rows.select(bucket(F.col("document_id"))).distinct().collect())  # noqa: E731  no more than there are buckets
+        touched = numbers(ids)
+        rest = lambda some: [b for b in range(BUCKETS) if b not in some]
+        before = read("mentions", buckets=touched)
+        documents, fresh = (df.transform(settle) for df in ingest.ingest(read("documents", buckets=touched), before, records, bodies))
+        all_documents = read("documents", buckets=rest(touched)).unionByName(documents)
+        # who is in the documents that came in, before and now
+        rows = before.join(ids, "document_id", "left_semi").unionByName(fresh.join(ids, "document_id", "left_semi"))
+        here = rows.select(resolve.mention_identity().alias("id")).where("id is not null").distinct().transform(settle)
+        stored, reached = self.table("identities"), self.table("reached")
+        old, old_at = stored.drop("entity_id", "candidate_id", "score", "decision", "final_id"), stored.select("id", F.col("final_id").alias("entity_id"))
+        everywhere = read("mentions", buckets=rest(touched)).unionByName(fresh)
+        placed = resolve.identities(all_documents, everywhere.withColumn("__kw_id", resolve.mention_identity()).join(here.withColumnRenamed("id", "__kw_id"), "__kw_id", "left_semi")).transform(settle)
+        same = placed.join(old.select("id", F.col("place").alias("was")), "id").where("place = was").select("id")
+        changed = here.join(same, "id", "left_anti").transform(settle)
+        found = old.join(here, "id", "left_anti").unionByName(placed).transform(settle)
+        decided, reached = resolve.redecide(old, stored, reached, found, changed, self.table("answers"), s)
+        at, merged = resolve.replay(decided, resolve.values_of(found, decided), self.table("merges"))
+        at = at.transform(settle)
+        moved = at.join(old_at.withColumnRenamed("entity_id", "was"), "id", "full").where(~F.col("entity_id").eqNullSafe(F.col("was"))).transform(settle)
+        # mentions: the buckets that came in, and those where somebody is another now
+        known = everywhere.withColumn("__kw_id", resolve.mention_identity()).join(moved.select(F.col("id").alias("__kw_id")), "__kw_id", "left_semi").select("document_id", "id").transform(settle)
+        again = sorted({*touched, *numbers(known)})
+        others = [b for b in again if b not in touched]
+        pointed = resolve.assign((read("mentions", buckets=others).unionByName(fresh)) if others else fresh, at).transform(settle)
+        mentions = read("mentions", buckets=rest(again)).unionByName(pointed)
+        # entities: those that mentions left or came to
+        ends = moved.select("entity_id").unionByName(moved.select(F.col("was").alias("entity_id"))).unionByName(before.join(ids, "document_id", "left_semi").select("entity_id"))
+        dirty = ends.unionByName(pointed.join(ids, "document_id", "left_semi").select("entity_id")).where("entity_id is not null").distinct().transform(settle)
+        over = self._overrides(self.table("overrides"), found, at).transform(settle)
+        was_over = self._overrides(self.table("overrides"), old, old_at)
+        told = over.exceptAll(was_over).unionByName(was_over.exceptAll(over)).select("entity_id").unionByName(dirty).distinct().transform(settle)
+        renew = lambda name, made, which: self.table(name).join(which, "entity_id", "left_anti").unionByName(made)
+        theirs, senders = mentions.join(dirty, "entity_id", "left_semi"), mentions.join(told, "entity_id", "left_semi")
+        self.store.commit({
+            "documents": documents, "mentions": pointed, "identities": self._identities(found, decided, at), "reached": reached, "decisions": self._decisions(found, decided, merged), "merged": merged,
+            "entities": renew("entities", resolve.entities(all_documents, theirs), dirty), "evidence": renew("evidence", resolve.evidence(all_documents, theirs), dirty),
+            "senders": renew("senders", resolve.automated(all_documents, senders, over), told), "edges": self._aged_edges(all_documents, mentions, dirty, known, moved, now),
+            "made_for": self._made_for(now), "audit": self._logged("sync", {}, actor, now),
+        }, {"documents": touched, "mentions": again})
+
+    def _aged_edges(self, documents: DataFrame, mentions: DataFrame, dirty: DataFrame, known: DataFrame, moved: DataFrame, now: str) -> DataFrame:
+        """The edges at ``now``: those of dirty entities made anew, the others aged."""
+        people, then = mentions.where("kind = 'person'"), self.store.read("made_for", "made_for string").collect()[0][0]
+        if then > now:
+            return edges.rebuild_edges(documents, people, now, self.settings, signals=True)
+        # who shares a document that came within the participant cap or left it, as some in it are others now
+        cap = self.settings.max_participants
+        docs = known.select("document_id").distinct()
+        was = self.mentions.where("kind = 'person' and entity_id is not null").join(docs, "document_id", "left_semi").groupBy("document_id").agg(F.count_distinct("entity_id").alias("was"))
+        is_ = people.where("entity_id is not null").join(docs, "document_id", "left_semi").groupBy("document_id").agg(F.count_distinct("entity_id").alias("n"))
+        crossed = was.join(is_, "document_id", "full").where((F.coalesce("was", F.lit(0)) > cap) != (F.coalesce("n", F.lit(0)) > cap)).select("document_id")
+        due = edges.ahead(self.edges, then)
+        more = people.join(crossed, "document_id", "left_semi").select("entity_id").unionByName(due.select(F.col("a").alias("entity_id"))).unionByName(due.select(F.col("b").alias("entity_id")))
+        all_dirty = dirty.unionByName(more.where("entity_id is not null")).distinct().transform(settle)
+        return edges.rebuild_edges_for(edges.edges_at(self.edges, then, now, self.settings), documents, people, all_dirty, now, self.settings)
+
+    def _overrides(self, log: DataFrame, found: DataFrame, at: DataFrame) -> DataFrame:
+        """(entity_id, automated) as people said last."""
+        said = log.withColumn("row", F.monotonically_increasing_id()).transform(settle)
+        return resolve.find(said, "known", resolve.values_of(found, at)).join(said, "row").groupBy("entity_id").agg(F.max_by("automated", "said_at").alias("automated"))
+
+    def _identities(self, found: DataFrame, decided: DataFrame, at: DataFrame) -> DataFrame:
+        return found.join(decided, "id").join(at.withColumnRenamed("entity_id", "final_id"), "id")
+
+    def _decisions(self, found: DataFrame, decided: DataFrame, merged: DataFrame) -> DataFrame:
+        """Open questions and answers to them, about the entities that are left after merges."""
+        rows = resolve.questions(found, decided)
+        moved = resolve.survivors(merged.select(F.col("loser_id").alias("loser"), F.col("keeper_id").alias("survivor"))).withColumnRenamed("loser", "candidate_id")
+        return rows.join(moved, "candidate_id", "left").withColumn("candidate_id", F.coalesce("survivor", "candidate_id")).select(*rows.columns)
+
+    def _made_for(self, now: str) -> DataFrame:
+        return self.spark.createDataFrame([(now,)], "made_for string")
+
     def _logged(self, action: str, detail: dict, actor: str, now: str) -> DataFrame:
         return self.table("audit").unionByName(members.entry(self.spark, action, json.dumps(detail, sort_keys=True), actor, now))
 
     def _log(self, name: str, rows: DataFrame, now: str, actor: str, action: str, detail: dict) -> None:
-        """Add to a log of decisions, then make everything anew with them."""
-        self.store.commit({name: self.table(name).unionByName(rows)})
-        self.rebuild(now, actor, action, detail)
+        """Add to a log of decisions and make everything anew with them, in one snapshot."""
+        self.rebuild(now, actor, action, detail, **{name: self.table(name).unionByName(rows).transform(settle)})
 
     def extract(self, generate: Callable[[str], list[dict]], now: str, model: str, version: str = "1", effort: str = "low", limit: int | None = None) -> None:
         """Mine the bodies that wait; take what is grounded in as mentions and deals, and rebuild."""
         done = extract.sweep(self.table("extractions"), self.documents)
         digest = extract.extraction_hash(F.col("body_sha256"), version, model, effort, str(extract.LEAST_CONFIDENCE))
-        tried = extract.pending(self.documents, done, digest, limit).checkpoint()
-        proposals = extract.propose(tried, generate).checkpoint()
+        tried = extract.pending(self.documents, done, digest, limit).transform(settle)
+        proposals = extract.propose(tried, generate).transform(settle)
         structured = self.mentions.where("origin = 'structured'")
-        grounded = extract.ground(tried, extract.surest(proposals), structured).checkpoint()
-        fresh = extract.record(done, tried, proposals, grounded, model).checkpoint()
+        grounded = extract.ground(tried, extract.surest(proposals), structured).transform(settle)
+        fresh = extract.record(done, tried, proposals, grounded, model).transform(settle)
         failed = fresh.where("status = 'failed'").select("document_id")
         renewed = tried.select(F.col("id").alias("document_id"))
         # a failure on the same input keeps what was found before
@@ -101,8 +196,8 @@ class Engine:
         old = self.mentions.where("origin = 'extracted'")
         found = extract.replace(extract.sweep(old, self.documents), extract.extracted_mentions(grounded), renewed)
         told = extract.replace(extract.sweep(self.table("deals"), self.documents), extract.deals(grounded), renewed)
-        self.store.commit({"mentions": structured.unionByName(found.select(*structured.columns)), "deals": told, "extractions": fresh})
-        self.rebuild(now, "local", "extract", {"model": model})
+        mentions = structured.unionByName(found.select(*structured.columns)).transform(settle)
+        self.rebuild(now, "local", "extract", {"model": model}, mentions=mentions, deals=told.transform(settle), extractions=fresh)
 
     # what people decide
 
@@ -113,7 +208,7 @@ class Engine:
         question = self.review_queue(viewer).where(F.col("review_id") == review_id)
         if question.isEmpty():
             raise ValueError(f"no open review {review_id}")
-        rows = resolve.answer(question, resolve.known_values(self.mentions), decision, now).checkpoint()
+        rows = resolve.answer(question, resolve.known_values(self.mentions), decision, now).transform(settle)
         self._log("answers", rows, now, actor, f"review_{decision}", {"review": review_id})
 
     def _known(self, entity: str) -> list[str]:
@@ -136,8 +231,7 @@ class Engine:
         log = self.table("merges")
         if log.where(F.col("merge_id").endswith(f">{lose}")).isEmpty():
             raise ValueError(f"{lose} is not merged into anything")
-        self.store.commit({"merges": log.where(~F.col("merge_id").endswith(f">{lose}")).checkpoint()})
-        self.rebuild(now, actor, "entity_unmerge", {"restored": lose})
+        self.rebuild(now, actor, "entity_unmerge", {"restored": lose}, merges=log.where(~F.col("merge_id").endswith(f">{lose}")).transform(settle))
 
     def set_automated(self, entity: str, automated: bool, now: str, actor: str = "local") -> None:
         rows = self.spark.createDataFrame([(self._known(entity), automated, None)], resolve.OVERRIDES).withColumn("said_at", F.lit(now).cast("timestamp"))
@@ -152,7 +246,7 @@ class Engine:
         return members.with_counts(self.table("members"), self.documents)
 
     def add_member(self, name: str, email: str | None = None) -> str:
-        rows = members.add(self.table("members"), name, email).checkpoint()
+        rows = members.add(self.table("members"), name, email).transform(settle)
         self.store.commit({"members": rows})
         return members.find(rows, name).collect()[0].id
 
@@ -166,8 +260,8 @@ class Engine:
     def remove_member(self, member: str, now: str, share: bool = False) -> None:
         """Drop a member and their layer, or share what it holds with all."""
         d, m = members.drop_layer(self.documents, self.mentions, member, share)
-        self.store.commit({"documents": d.checkpoint(), "mentions": m.checkpoint(), "members": self.table("members").where(F.col("id") != member).checkpoint()})
-        self.rebuild(now, "local", "member_removed", {"member": member, "shared": share})
+        left = self.table("members").where(F.col("id") != member).transform(settle)
+        self.rebuild(now, "local", "member_removed", {"member": member, "shared": share}, documents=d.transform(settle), mentions=m.transform(settle), members=left)
 
     def saved_settings(self) -> Settings:
         if not self.store.has("settings"):
@@ -178,7 +272,7 @@ class Engine:
         """Change settings, keep them, and make the edges anew."""
         self.settings = self.settings.changed(**patch)
         row = self.spark.createDataFrame([(json.dumps(self.settings.as_dict()),)], SETTINGS)
-        self.store.commit({"settings": row, "edges": edges.rebuild_edges(self.documents, self.people, now, self.settings, signals=True).checkpoint()})
+        self.store.commit({"settings": row, "edges": edges.rebuild_edges(self.documents, self.people, now, self.settings, signals=True), "made_for": self._made_for(now)})
         return self.settings
 
     # reading

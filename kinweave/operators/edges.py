@@ -67,11 +67,12 @@ def pairs(documents: DataFrame, mentions: DataFrame, s: Settings) -> DataFrame:
 def _fold(each: DataFrame, now: str, s: Settings, signals: bool = False) -> DataFrame:
     """Edges from pairs; ``signals`` adds a map of how many documents of each kind a pair shares."""
     w = pair_weight(F.col("kind"), F.col("role_a"), F.col("role_b"), s) * decay(F.col("occurred_at"), now, s)
-    pair, total = ["owner", "a", "b"], [F.sum(w).alias("weight"), F.max("occurred_at").alias("last_seen"), F.count(F.lit(1)).alias("n")]
+    still = F.coalesce(F.sum(F.when(F.col("occurred_at").isNull(), w)), F.lit(0.0)).alias("undated")
+    pair, total = ["owner", "a", "b"], [F.sum(w).alias("weight"), still, F.max("occurred_at").alias("last_seen"), F.count(F.lit(1)).alias("n")]
     if signals:
         kinds = each.groupBy(*pair, F.coalesce("kind", F.lit("other")).alias("kind")).agg(*total)
         each = kinds.groupBy(*pair).agg(
-            F.sum("weight").alias("weight"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"),
+            F.sum("weight").alias("weight"), F.sum("undated").alias("undated"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"),
             F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("signals"),
         )
     else:
@@ -82,10 +83,26 @@ def _fold(each: DataFrame, now: str, s: Settings, signals: bool = False) -> Data
 
 
 def rebuild_edges(documents: DataFrame, mentions: DataFrame, now: str, s: Settings = Settings(), signals: bool = False) -> DataFrame:
-    """All edges (owner, a, b, weight, last_seen, n, strength), with ``signals`` if asked for."""
+    """All edges (owner, a, b, weight, undated, last_seen, n, strength), with ``signals`` if asked for; ``undated`` is the part of the weight that no time takes away."""
     return _fold(pairs(documents, mentions, s), now, s, signals)
 
 
+def edges_at(edges: DataFrame, then: str, now: str, s: Settings = Settings()) -> DataFrame:
+    """Edges made for the time ``then`` as they are at ``now``, without reading a document: what is dated decays by one factor, what isn't stays.
+
+    That holds for pairs last seen by ``then``; those seen later are still to come (see ``ahead``) and have to be made anew.
+    """
+    micros = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.lit(then).cast("timestamp"))
+    factor = F.pow(F.lit(0.5), micros / F.lit(86_400_000_000.0) / F.lit(float(s.half_life_days)))
+    weight = (F.col("weight") - F.col("undated")) * factor + F.col("undated")
+    return edges.withColumn("weight", weight).withColumn("strength", strength(F.col("weight"), s))
+
+
+def ahead(edges: DataFrame, then: str) -> DataFrame:
+    """Edges with documents later than ``then``."""
+    return edges.where(F.col("last_seen") > F.lit(then).cast("timestamp"))
+
+
 def edge_signals(documents: DataFrame, mentions: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(owner, a, b, kind, signals): how many documents of each kind a pair shares."""
     return pairs(documents, mentions, s).groupBy("owner", "a", "b", "kind").agg(F.count(F.lit(1)).alias("signals"))

@@ -4,13 +4,18 @@ The unit is an identity: a distinct (kind, name, address, organisation), however
 have it. Identities are decided in the order in which they first appear, as each attachment
 changes what later ones are compared with. A decision depends on earlier identities alone, so
 the sequential result is the one fixed point of "decide every identity by what the others were
-decided to be": rounds of joins that decide all identities at once reach it, after as many rounds
-as the longest chain of decisions that wait for each other. No group goes to one task.
-
-Candidates come from shared keys. A key that more than ``MOST_SHARED`` identities have (a freemail
-domain, a very frequent name) is refined: only those that also share the initial of a name token
-meet in it. Others there share no initial with any token of each other's names; they couldn't reach
-the merge threshold, only a review.
+decided to be". Rounds of joins reach it from any start: each decides only those identities that
+an entity which just changed could matter to. The first run begins with everybody alone; a run
+after new documents begins with what was decided before, and with the identities that are new.
+No group goes to one task.
+
+An identity meets the entities that share a block key with it. Whoever meets by a name or a
+domain matters only with a similar name, so distinct names that share a key are compared, each
+pair once, and an identity keeps the names and addresses by which it can meet somebody near enough
+for a review, with the bonuses it could have (``reaches``). These are values, not other identities:
+however many have one name, it is one row. What can't reach a review is never paired. Comparing
+the distinct names of one key is quadratic in their number; it is split over tasks. An address at
+the same domain counts by every name it is known with, and an entity by the names of all its members.
 
 What people decided is kept as logs of identities, not of ids: ``answers`` to questions, merges
 and overrides. They are joined in whenever entities are made, so a rebuild replays them.
@@ -18,30 +23,50 @@ and overrides. They are joined in whenever entities are made, so a rebuild repla
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.functions.similarity import jaro_winkler, name_similarity
+from kinweave.functions.similarity import pair_similarity
 from kinweave.functions.text import FREEMAIL, block_keys, classify_address, norm_org
+from kinweave.scratch import settle
 from kinweave.settings import Settings
 
-MOST_SHARED = 1_000
 ASSIGNMENTS = "mention_id string, entity_id string, candidate_id string, score double, decision string"
 ANSWERS = "norm_name string, norm_email string, known array<string>, decision string, said_at timestamp"
 MERGES = "merge_id string, keeper array<string>, loser array<string>, said_at timestamp"
 OVERRIDES = "known array<string>, automated boolean, said_at timestamp"
+#: What a name's similarity counts, and what a shared organisation and a shared work domain add.
+NAME, ORG, DOMAIN = 0.9, 0.08, 0.07
+ORG_NAME = 0.92
 
 
 def _or_empty(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def _domain(address) -> Column:
+    """What follows the @; null if there is none."""
+    return F.get(F.split(address, "@"), F.lit(1))
+
+
+def _at_work(address) -> Column:
+    return F.coalesce(~_domain(address).isin(FREEMAIL), F.lit(False))
+
+
 def identity_id(kind, name, email, org) -> Column:
     """An id from content, so running again gives the same."""
     return F.concat(F.lit("ent_"), F.substring(F.sha1(F.concat_ws("\x1f", *[_or_empty(c) for c in (kind, name, email, org)]).cast("binary")), 1, 20))
 
 
+def mention_identity() -> Column:
+    """The id of a mention's identity; null if it has neither name nor address."""
+    of = identity_id("kind", "norm_name", "norm_email", norm_org(F.col("org_hint")))
+    return F.when(F.col("norm_name").isNotNull() | F.col("norm_email").isNotNull(), of)
+
+
 def identities(documents: DataFrame, mentions: DataFrame) -> DataFrame:
     """(id, kind, name, email, org, place, mention_id, keys): distinct identities, where in time they first appear (undated last), and in which mention."""
     rows = mentions.where("norm_name is not null or norm_email is not null").join(documents.select(F.col("id").alias("document_id"), "occurred_at"), "document_id")
@@ -52,97 +77,228 @@ def identities(documents: DataFrame, mentions: DataFrame) -> DataFrame:
     return found.select(identity_id("kind", "name", "email", "org").alias("id"), "kind", "name", "email", "org", "place", F.col("place.mention").alias("mention_id"), keys.alias("keys"))
 
 
-def candidate_pairs(found: DataFrame, most: int = MOST_SHARED) -> DataFrame:
-    """(id, other): pairs of identities of one kind that share a key, the other being the earlier one."""
-    initials = F.array_distinct(F.transform(F.split(F.col("name"), " "), lambda t: F.substring(t, 1, 1)))
-    keyed = found.select("id", "place", "kind", F.explode("keys").alias("key"), initials.alias("initials"))
-    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("often"))
-    keyed = keyed.join(often, "key", "left")
-    refined = F.when(F.col("often") & F.col("initials").isNotNull() & ~F.startswith("key", F.lit("e:")), F.transform("initials", lambda i: F.concat("key", F.lit("#"), i)))
-    keyed = keyed.select("id", "place", "kind", F.explode(F.coalesce(refined, F.array("key"))).alias("key"))
-    x, y = keyed.toDF("id", "place", "kind", "key"), keyed.toDF("other", "other_place", "other_kind", "key")
-    return x.join(y, "key").where((F.col("other_place") < F.col("place")) & (F.col("kind") == F.col("other_kind"))).select("id", "other").distinct()
-
-
-def _score(known: Column) -> tuple[Column, Column]:
-    """(score, exact address) of an identity against an entity's earlier identities (name, email, org)."""
-    field = lambda f: F.array_distinct(F.array_compact(F.transform(known, lambda m: m[f])))
-    names, emails, orgs = field("name"), field("email"), field("org")
-    best = lambda f: F.coalesce(F.array_max(F.transform(names, lambda n: f(F.col("name"), n))), F.lit(0.0))
-    exact = F.coalesce(F.array_contains(emails, F.col("email")), F.lit(False))
-    similar, like = best(name_similarity), best(jaro_winkler)
-    domain = F.split(F.col("email"), "@")[1]
-    work = F.coalesce(~domain.isin(FREEMAIL), F.lit(False))
-    domains = F.transform(emails, lambda e: F.split(e, "@")[1])
-    shares_domain = work & F.coalesce(F.array_contains(domains, domain), F.lit(False))
-    shares_org = F.coalesce(F.array_contains(orgs, F.col("org")), F.lit(False))
-    other_domain = work & ~shares_domain & F.exists(domains, lambda d: ~d.isin(FREEMAIL))
-    other_org = F.col("org").isNotNull() & (F.size(orgs) > 0) & ~shares_org
-    person = F.when(exact, 0.98).when((similar >= 0.999) & ~other_domain & ~other_org, 0.96).otherwise(
-        F.least(0.9 * similar + F.when(shares_org, 0.08).otherwise(0.0) + F.when(shares_domain, 0.07).otherwise(0.0), F.lit(0.99))
-    )
-    score = F.when(F.col("kind") == "org", F.when(like >= 0.999, 0.97).otherwise(like * 0.92)).otherwise(person)
-    return score, exact & (F.col("kind") != "org")
-
-
-def _round(found: DataFrame, pairs: DataFrame, at: DataFrame, answers: DataFrame | None, s: Settings) -> DataFrame:
-    """Decide all identities, (id, entity_id, candidate_id, score, decision), given what they were decided to be (id, entity_id)."""
-    taken = at.where("entity_id is not null")
-    known = found.join(taken, "id").groupBy("entity_id").agg(F.collect_list(F.struct("place", "name", "email", "org")).alias("known"))
-    met = pairs.join(taken.select(F.col("id").alias("other"), F.col("entity_id").alias("candidate_id")), "other").select("id", "candidate_id").distinct()
-    met = met.join(known.withColumnRenamed("entity_id", "candidate_id"), "candidate_id").join(found.select("id", "kind", "name", "email", "org", "place"), "id")
-    met = met.withColumn("known", F.filter("known", lambda m: m["place"] < F.col("place")))
-    score, exact = _score(F.col("known"))
-    values = F.flatten(F.transform("known", lambda m: F.array(m["name"], m["email"])))
-    met = met.select("id", "name", "email", "candidate_id", score.alias("score"), exact.alias("exact"), values.alias("values"))
+def _members(found: DataFrame, at: DataFrame) -> DataFrame:
+    """Identities with the entities they were decided to be."""
+    return found.join(at.where("entity_id is not null").select("id", "entity_id"), "id")
+
+
+def _facts(members: DataFrame) -> DataFrame:
+    """(entity_id, kind, field, value, since): the names, addresses and organisations of entities, and the place from which on each is known."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("name", "email", "org")])).alias("x")
+    rows = members.select("entity_id", "kind", "place", each).select("entity_id", "kind", "place", "x.*").where("value is not null")
+    return rows.groupBy("entity_id", "kind", "field", "value").agg(F.min("place").alias("since"))
+
+
+def _least(s: Settings, bonus: Column | float) -> Column:
+    """The name similarity from which on a review can be reached with a bonus."""
+    return F.when(F.col("kind") == "org", s.review / ORG_NAME).otherwise((F.lit(s.review) - bonus) / NAME) - 1e-9
+
+
+def reaches(asked: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """(id, kind, field, value): by which names and addresses of ``found`` an identity meets whoever has them.
+
+    That is its own address; names that share a name key with its own, however unlike, as whoever has them may have another
+    name; and addresses at its own domain that are known with a name near enough to reach a review with the bonuses the
+    identity could have.
+    """
+    named = lambda df: df.where("name is not null").select("kind", "name", F.explode(block_keys(F.col("name"), F.lit(None).cast("string"), F.col("kind"))).alias("key")).distinct()
+    housed = found.where("name is not null and email is not null").select("kind", F.col("name").alias("other"), _domain(F.col("email")).alias("key"), "email").distinct()
+    x = _seeking(asked, s)
+    own = asked.where("email is not null").select("id", "kind", F.lit("email").alias("field"), F.col("email").alias("value"))
+    names = named(asked).join(named(found).withColumnRenamed("name", "value"), ["kind", "key"]).select("kind", "name", F.lit("name").alias("field"), "value").distinct()
+    by_name = asked.join(names, ["kind", "name"]).select("id", "kind", "field", "value")
+    near = _near(x, housed, s)
+    by_domain = x.join(near, ["kind", "name"]).where(F.col("similarity") >= F.col("least")).join(housed, ["kind", "other", "key"]).select("id", "kind", F.lit("email").alias("field"), F.col("email").alias("value"))
+    return by_name.unionByName(by_domain).unionByName(own).distinct()
+
+
+def _seeking(asked: DataFrame, s: Settings) -> DataFrame:
+    """(id, kind, name, key, least, place): identities with a name and a domain, and how near another name must be."""
+    bonus = F.when(F.col("org").isNotNull(), ORG).otherwise(0.0) + F.when(_at_work(F.col("email")), DOMAIN).otherwise(0.0)
+    return asked.where("name is not null and email is not null").select("id", "kind", "name", _domain(F.col("email")).alias("key"), _least(s, bonus).alias("least"), "place")
+
+
+def _near(x: DataFrame, others: DataFrame, s: Settings) -> DataFrame:
+    """(kind, name, other, similarity) of distinct names at one domain that are near enough for any identity."""
+    both = x.select("kind", "key", "name").distinct().join(others.select("kind", "key", "other").distinct(), ["kind", "key"]).select("kind", "name", "other").distinct()
+    return both.withColumn("similarity", pair_similarity("name", "other", F.col("kind") == "org")).where(F.col("similarity") >= _least(s, ORG + DOMAIN))
+
+
+def _crossed(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(entity_id, kind, key, other, since): domains of entities with those of their names that no address of theirs at that domain is known with."""
+    names = facts.where("field = 'name'").select("entity_id", F.col("value").alias("other"), "since")
+    many = names.groupBy("entity_id").count().where("count > 1").select("entity_id")
+    at = facts.where("field = 'email'").groupBy("entity_id", "kind", _domain(F.col("value")).alias("key")).agg(F.min("since").alias("met")).join(many, "entity_id", "left_semi")
+    own = members.select("entity_id", _domain(F.col("email")).alias("key"), F.col("name").alias("other")).distinct()
+    return at.join(names, "entity_id").join(own, ["entity_id", "key", "other"], "left_anti").select("entity_id", "kind", "key", "other", F.greatest("met", "since").alias("since"))
+
+
+def _met(asked: DataFrame, reached: DataFrame, members: DataFrame, facts: DataFrame, s: Settings) -> DataFrame:
+    """(id, entity_id): identities and the entities that they share a key with, known before them, that may reach a review."""
+    x = asked.select("id", "place")
+    by_value = reached.join(x, "id").join(facts, ["kind", "field", "value"]).where(F.col("since") < F.col("place")).select("id", "entity_id")
+    crossed = _crossed(members, facts).transform(settle)
+    if crossed.isEmpty():  # few entities have several names
+        return by_value.distinct()
+    seeking = _seeking(asked, s)
+    near = _near(seeking, crossed, s)
+    across = seeking.join(near, ["kind", "name"]).where(F.col("similarity") >= F.col("least")).join(crossed, ["kind", "key", "other"]).where(F.col("since") < F.col("place")).select("id", "entity_id")
+    return by_value.unionByName(across).distinct()
+
+
+def scored(asked: DataFrame, met: DataFrame, facts: DataFrame, s: Settings) -> DataFrame:
+    """(id, candidate_id, score, exact): identities with every entity they met that reaches a review."""
+    x = asked.select("id", "kind", "name", "email", "org", "place")
+    rows = met.join(x, "id").join(facts.drop("kind"), "entity_id").where(F.col("since") < F.col("place"))
+    is_ = lambda f: F.col("field") == f
+    rows = rows.withColumn("similarity", pair_similarity(F.when(is_("name"), F.col("name")), "value", F.col("kind") == "org"))
+    domain, known, work = _domain(F.col("email")), _domain(F.col("value")), _at_work(F.col("email"))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    a = rows.groupBy("id", "entity_id", "kind").agg(
+        F.coalesce(F.max("similarity"), F.lit(0.0)).alias("similar"), any_(is_("email") & (F.col("value") == F.col("email"))).alias("exact"),
+        any_(work & is_("email") & (known == domain)).alias("shares_domain"), any_(work & is_("email") & ~known.isin(FREEMAIL)).alias("works"),
+        any_(is_("org") & (F.col("value") == F.col("org"))).alias("shares_org"), any_(is_("org") & F.col("org").isNotNull()).alias("has_org"),
+    )
+    strange = (F.col("works") & ~F.col("shares_domain")) | (F.col("has_org") & ~F.col("shares_org"))
+    mixed = F.least(NAME * F.col("similar") + F.when(F.col("shares_org"), ORG).otherwise(0.0) + F.when(F.col("shares_domain"), DOMAIN).otherwise(0.0), F.lit(0.99))
+    person = F.when(F.col("exact"), 0.98).when((F.col("similar") >= 0.999) & ~strange, 0.96).otherwise(mixed)
+    score = F.when(F.col("kind") == "org", F.when(F.col("similar") >= 0.999, 0.97).otherwise(F.col("similar") * ORG_NAME)).otherwise(person)
+    found = a.select("id", F.col("entity_id").alias("candidate_id"), score.alias("score"), (F.col("exact") & (F.col("kind") != "org")).alias("exact"))
+    return found.where(F.col("score") >= s.review)
+
+
+def candidate_pairs(found: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(id, other, score): every identity with every earlier one that, alone, it would be attached to or asked about."""
+    alone = found.withColumn("entity_id", F.col("id"))
+    facts = _facts(alone)
+    return scored(found, _met(found, reaches(found, found, s), alone, facts, s), facts, s).select("id", F.col("candidate_id").alias("other"), "score")
+
+
+def _round(found: DataFrame, reached: DataFrame, at: DataFrame, ask: DataFrame | None, answers: DataFrame | None, s: Settings) -> DataFrame:
+    """Decide the identities asked for (all without ``ask``), (id, entity_id, candidate_id, score, decision), given what all were decided to be (id, entity_id)."""
+    asked = found if ask is None else found.join(ask, "id", "left_semi")
+    members = _members(found, at).transform(settle)
+    facts = _facts(members).transform(settle)
+    met = scored(asked, _met(asked, reached if ask is None else reached.join(ask, "id", "left_semi"), members, facts, s), facts, s)
     w = W.partitionBy("id").orderBy(F.desc("score"), "candidate_id")
     met = met.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w), "exacts": F.count_if("exact").over(W.partitionBy("id"))}).where("rank = 1")
     unsure = F.coalesce(F.col("next") >= s.auto_merge, F.lit(False)) & (~F.col("exact") | (F.col("exacts") > 1))
-    decision = F.when((F.col("score") >= s.auto_merge) & ~unsure, "attach").when((F.col("score") >= s.review) | unsure, "queue").otherwise("create")
-    met = met.withColumn("decision", decision)
+    met = met.select("id", "candidate_id", "score", F.when((F.col("score") >= s.auto_merge) & ~unsure, "attach").otherwise("queue").alias("decision"))
     if answers is not None:
-        said = answers.select(_or_empty("norm_name").alias("an"), _or_empty("norm_email").alias("ae"), F.col("known").alias("av"), F.col("decision").alias("said"), "said_at")
-        hit = (_or_empty("name") == F.col("an")) & (_or_empty("email") == F.col("ae")) & F.arrays_overlap(F.array_compact("values"), "av")
-        met = met.join(F.broadcast(said), hit, "left")  # what people have decided, by hand
+        said = answers.select(_or_empty("norm_name").alias("an"), _or_empty("norm_email").alias("ae"), F.explode("known").alias("value"), F.col("decision").alias("said"), "said_at")
+        q = met.where("decision = 'queue'").select("id", "candidate_id").join(asked.select("id", "place", _or_empty("name").alias("an"), _or_empty("email").alias("ae")), "id").join(said, ["an", "ae"])
+        told = facts.where("field <> 'org'").select(F.col("entity_id").alias("candidate_id"), "value", "since")
+        hits = q.join(told, ["candidate_id", "value"]).where(F.col("since") < F.col("place"))
         latest = W.partitionBy("id").orderBy(F.desc_nulls_last("said_at"), "said")
-        met = met.withColumn("p", F.row_number().over(latest)).where("p = 1")
-        answered = F.when(F.col("said") == "accept", "attach").when(F.col("said") == "reject", "create")
-        met = met.withColumn("decision", F.when(F.col("decision") == "queue", F.coalesce(answered, "decision")).otherwise(F.col("decision")))
-    met = met.select("id", F.col("candidate_id"), "score", "decision")
-    decided = found.select("id").join(met, "id", "left").withColumn("decision", F.coalesce("decision", F.lit("create")))
-    entity = F.when(F.col("decision") == "create", F.col("id")).when(F.col("decision") == "attach", F.col("candidate_id"))
+        hits = hits.withColumn("nth", F.row_number().over(latest)).where("nth = 1").select("id", F.when(F.col("said") == "accept", "attach").when(F.col("said") == "reject", "create").alias("answered"))
+        met = met.join(hits, "id", "left").withColumn("decision", F.coalesce("answered", "decision")).drop("answered")
+    decided = asked.select("id").join(met, "id", "left").withColumn("decision", F.coalesce("decision", F.lit("create")))
     created = F.col("decision") == "create"
+    entity = F.when(created, F.col("id")).when(F.col("decision") == "attach", F.col("candidate_id"))
     return decided.select("id", entity.alias("entity_id"), F.when(~created, F.col("candidate_id")).alias("candidate_id"), F.when(~created, F.col("score")).alias("score"), "decision")
 
 
-def decide(found: DataFrame, answers: DataFrame | None = None, s: Settings = Settings(), most: int = MOST_SHARED) -> DataFrame:
-    """(id, entity_id, candidate_id, score, decision) of each identity: attach, queue or create."""
-    found = found.checkpoint()
-    pairs = candidate_pairs(found, most).checkpoint()
-    at = found.select("id", F.col("id").alias("entity_id"))
+def _alone(found: DataFrame) -> DataFrame:
+    none = F.lit(None)
+    return found.select("id", F.col("id").alias("entity_id"), none.cast("string").alias("candidate_id"), none.cast("double").alias("score"), F.lit("create").alias("decision"))
+
+
+def decide(found: DataFrame, answers: DataFrame | None = None, s: Settings = Settings(), start: DataFrame | None = None, ask: DataFrame | None = None, reached: DataFrame | None = None) -> DataFrame:
+    """(id, entity_id, candidate_id, score, decision) of each identity: attach, queue or create.
+
+    ``start`` has what was decided before (identities it lacks stand alone), ``ask`` the ids whose decision may not hold any more, ``reached`` what ``reaches`` gives.
+    """
+    if reached is None:
+        found = found.transform(settle)
+        reached = reaches(found, found, s).transform(settle)
+    decided = _alone(found)
+    if start is not None:
+        known = start.select(*decided.columns)
+        decided = known.join(found, "id", "left_semi").unionByName(decided.join(known, "id", "left_anti"))
     while True:
-        decided = _round(found, pairs, at, answers, s).checkpoint()
-        moved = decided.join(at.withColumnRenamed("entity_id", "before"), "id").where(~F.col("entity_id").eqNullSafe(F.col("before")))
-        at = decided.select("id", "entity_id")
+        fresh = _round(found, reached, decided, ask, answers, s)
+        before = decided.select("id", F.col("entity_id").alias("before"), *[F.col(c).alias(f"old_{c}") for c in ("candidate_id", "score", "decision")], F.lit(True).alias("there"))
+        after = before.join(fresh.withColumn("fresh", F.lit(True)), "id", "full")
+        keep = lambda c, old: F.when(F.col("fresh"), F.col(c)).otherwise(F.col(old)).alias(c)
+        after = after.select("id", keep("entity_id", "before"), *[keep(c, f"old_{c}") for c in ("candidate_id", "score", "decision")], "before", (F.col("fresh") & ~F.col("entity_id").eqNullSafe(F.col("before"))).alias("moved"))
+        after = after.transform(settle)
+        moved = after.where("moved")
         if moved.isEmpty():
-            return decided
+            return after.select("id", "entity_id", "candidate_id", "score", "decision")
+        changed = moved.select("entity_id").unionByName(moved.select(F.col("before").alias("entity_id"))).where("entity_id is not null").distinct()
+        ask = concerned(found, reached, [(found, after.select("id", F.col("before").alias("entity_id"))), (found, after)], changed, s).transform(settle)
+        decided = after
+
+
+def concerned(found: DataFrame, reached: DataFrame, states: list[tuple[DataFrame, DataFrame]], changed: DataFrame, s: Settings) -> DataFrame:
+    """(id): identities that may meet one of the entities ``changed`` (entity_id) as it was in any of the ``states`` (identities, what they were decided to be)."""
+    members = reduce(DataFrame.unionByName, [_members(f, at) for f, at in states]).join(changed, "entity_id", "left_semi").distinct().transform(settle)
+    return _met(found, reached, members, _facts(members).transform(settle), s).select("id").distinct()
+
+
+def reaches_again(reached: DataFrame, found: DataFrame, changed: DataFrame, s: Settings) -> DataFrame:
+    """What ``reaches`` gives for ``found``, from what it gave before some identities changed (id); names and addresses that are gone may stay, nobody has them."""
+    new = found.join(changed, "id", "left_semi").transform(settle)
+    # an address may be known with one more name now, so all who are known with it count again
+    mates = found.join(new.select("kind", "email").distinct(), ["kind", "email"], "left_semi").select(*found.columns).unionByName(new).distinct()
+    own, others = reaches(new, found, s), reaches(found, mates, s)
+    return reached.join(changed, "id", "left_anti").unionByName(own).unionByName(others).distinct()
 
 
-def resolve(documents: DataFrame, mentions: DataFrame, s: Settings = Settings(), answers: DataFrame | None = None, most: int = MOST_SHARED) -> DataFrame:
-    """A decision for each mention that has a name or an address: attach, queue, repeat (the question is asked already) or create."""
-    found = identities(documents, mentions).checkpoint()
-    decided = decide(found, answers, s, most)
+def redecide(old: DataFrame, decided: DataFrame, reached: DataFrame, found: DataFrame, changed: DataFrame, answers: DataFrame | None = None, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """(what ``decide`` gives for ``found``, what ``reaches`` gives), from what they gave for ``old``; ``changed`` (id) has the identities that are new, gone or in another place."""
+    again = reaches_again(reached, found, changed, s).transform(settle)
+    new = changed.join(found, "id", "left_semi")
+    at = decided.select("id", "entity_id").unionByName(new.join(decided, "id", "left_anti").select("id", F.col("id").alias("entity_id")))
+    touched = at.join(changed, "id", "left_semi").where("entity_id is not null").select("entity_id").distinct()
+    ask = new.select("id").unionByName(concerned(found, again, [(old, at), (found, at)], touched, s)).distinct().transform(settle)
+    return decide(found, answers, s, decided, ask, again), again
+
+
+def decisions_of(mentions: DataFrame, found: DataFrame, decided: DataFrame) -> DataFrame:
+    """ASSIGNMENTS: a decision for each mention that has a name or an address: attach, queue, repeat (the question is asked already) or create."""
     asked = W.partitionBy("decision", "candidate_id", "name", "email").orderBy("place")
     first = found.join(decided, "id").withColumn("nth", F.row_number().over(asked))
     first = first.select("id", "mention_id", "entity_id", "candidate_id", "score", "decision", "nth")
-    rows = mentions.where("norm_name is not null or norm_email is not null").select(
-        F.col("id").alias("mention"), identity_id("kind", "norm_name", "norm_email", norm_org(F.col("org_hint"))).alias("id")
-    )
+    rows = mentions.select(F.col("id").alias("mention"), mention_identity().alias("id")).where("id is not null")
     asks = (F.col("mention") == F.col("mention_id")) & (F.col("nth") == 1)
     decision = F.when((F.col("decision") == "queue") & ~asks, "repeat").when((F.col("decision") == "create") & (F.col("mention") != F.col("mention_id")), "attach").otherwise(F.col("decision"))
     return rows.join(first, "id").select(F.col("mention").alias("mention_id"), "entity_id", "candidate_id", "score", decision.alias("decision"))
 
 
+def questions(found: DataFrame, decided: DataFrame) -> DataFrame:
+    """ASSIGNMENTS of the first mention of each identity; a question that an earlier one asks is a repeat."""
+    asked = W.partitionBy("decision", "candidate_id", "name", "email").orderBy("place")
+    rows = found.join(decided, "id").withColumn("nth", F.row_number().over(asked))
+    return rows.select("mention_id", "entity_id", "candidate_id", "score", F.when((F.col("decision") == "queue") & (F.col("nth") > 1), "repeat").otherwise(F.col("decision")).alias("decision"))
+
+
+def assign(mentions: DataFrame, at: DataFrame) -> DataFrame:
+    """Mentions with the entities of their identities (id, entity_id)."""
+    known = at.select(F.col("id").alias("__kw_id"), F.col("entity_id").alias("__kw_entity"))
+    return mentions.withColumn("__kw_of", mention_identity()).join(known, F.col("__kw_of") == F.col("__kw_id"), "left").withColumn("entity_id", F.col("__kw_entity")).select(*mentions.columns)
+
+
+def values_of(found: DataFrame, at: DataFrame) -> DataFrame:
+    """(entity_id, value): what ``known_values`` says of mentions, from identities and what they are (id, entity_id)."""
+    members = found.select("id", "name", "email").join(at.where("entity_id is not null").select("id", "entity_id"), "id")
+    return members.select("entity_id", F.explode(F.array_compact(F.array("name", "email"))).alias("value")).distinct()
+
+
+def replay(at: DataFrame, values: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, entity_id) with merges done, (merge_id, keeper_id, loser_id) as found) by a log of merges of identities."""
+    ends = [find(log, c, values, "merge_id").withColumnRenamed("entity_id", f"{c}_id") for c in ("keeper", "loser")]
+    found = ends[0].join(ends[1], "merge_id").transform(settle)
+    m = survivors(found.select(F.col("loser_id").alias("loser"), F.col("keeper_id").alias("survivor"))).withColumnRenamed("loser", "entity_id")
+    return at.select("id", "entity_id").join(m, "entity_id", "left").select("id", F.coalesce("survivor", "entity_id").alias("entity_id")), found
+
+
+def resolve(documents: DataFrame, mentions: DataFrame, s: Settings = Settings(), answers: DataFrame | None = None) -> DataFrame:
+    """A decision for each mention, from nothing (ASSIGNMENTS)."""
+    found = identities(documents, mentions).transform(settle)
+    return decisions_of(mentions, found, decide(found, answers, s))
+
+
 def apply(mentions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Mentions with the entities that were decided."""
     d = decisions.select(F.col("mention_id").alias("id"), F.col("entity_id").alias("__kw_entity"))
@@ -202,11 +358,11 @@ def survivors(merges: DataFrame) -> DataFrame:
     at = merges.where("loser <> survivor").groupBy("loser").agg(F.min("survivor").alias("survivor"))
     for _ in range(32):  # each round doubles the length of chains that are followed
         up = at.select(F.col("loser").alias("survivor"), F.col("survivor").alias("above"))
-        step = at.join(up, "survivor", "left").select("loser", F.col("survivor").alias("before"), F.coalesce("above", "survivor").alias("survivor")).checkpoint()
+        step = at.join(up, "survivor", "left").select("loser", F.col("survivor").alias("before"), F.coalesce("above", "survivor").alias("survivor")).transform(settle)
         at = step.select("loser", "survivor")
         if step.where("before <> survivor").isEmpty():
-            break
-    return at.where("loser <> survivor")
+            return at.where("loser <> survivor")
+    raise ValueError("merges go round in a circle")
 
 
 def merge(mentions: DataFrame, merges: DataFrame) -> DataFrame:
@@ -219,7 +375,7 @@ def replay_merges(mentions: DataFrame, log: DataFrame) -> tuple[DataFrame, DataF
     """(mentions merged, (merge_id, keeper_id, loser_id) as found) by a log of merges of identities."""
     values = known_values(mentions)
     ends = [find(log, c, values, "merge_id").withColumnRenamed("entity_id", f"{c}_id") for c in ("keeper", "loser")]
-    found = ends[0].join(ends[1], "merge_id").checkpoint()
+    found = ends[0].join(ends[1], "merge_id").transform(settle)
     return merge(mentions, found.select(F.col("loser_id").alias("loser"), F.col("keeper_id").alias("survivor"))), found
 
 

@@ -65,10 +65,10 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return (self.spark.read.schema(schema) if schema is not None else self.spark.read).parquet(*paths)
 
-    def commit(self, tables: dict[str, DataFrame], buckets: list[int] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None) -> int:
         """Write tables and make them one snapshot with those that aren't given.
 
-        With ``buckets``, documents and mentions given hold just those buckets, and replace only them.
+        Tables that ``buckets`` names hold just those buckets, and replace only them.
         """
         known = self.snapshots()
         state = self.snapshot()
@@ -80,7 +80,8 @@ class Store:
                 parted.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
                 at, fs = self._path(name, folder)
                 made = {s.getPath().getName().split("=")[1]: folder for s in fs.listStatus(at) if "=" in s.getPath().getName()}
-                kept = {} if buckets is None else {b: f for b, f in state.get(name, {}).items() if int(b) not in buckets}
+                given = (buckets or {}).get(name)
+                kept = {} if given is None else {b: f for b, f in state.get(name, {}).items() if int(b) not in given}
                 state[name] = kept | made
             else:
                 df.write.parquet(f"{self.root}/{name}/{folder}")

@@ -27,7 +27,7 @@ def ingest_stream(records: DataFrame, store: Store, checkpoint: str) -> Streamin
         touched = [r[0] for r in d.select(bucket(F.col("id"))).distinct().collect()]  # at most BUCKETS
         if touched:
             documents, mentions = ingest(store.read("documents", buckets=touched), store.read("mentions", buckets=touched), batch)
-            store.commit({"documents": documents, "mentions": mentions}, touched)
+            store.commit({"documents": documents, "mentions": mentions}, {"documents": touched, "mentions": touched})
 
     return records.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -14,7 +14,9 @@ def spark():
     shared = tempfile.mkdtemp(prefix="kinweave-tests-")
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.adaptive.enabled", "false")  # many small queries: planning again costs more than it saves
+        .config("spark.sql.codegen.wholeStage", "false")  # nor is it worth compiling them
         .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")

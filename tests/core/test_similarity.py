@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from kinweave.functions.similarity import jaro_winkler, name_similarity
+from kinweave.functions.similarity import jaro_winkler, name_similarity, pair_similarity, similarities
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,12 @@ def test_equal_to_brute_force(spark):
     for r in df.select("a", "b", jaro_winkler(F.col("a"), F.col("b")).alias("j"), name_similarity(F.col("a"), F.col("b")).alias("s")).collect():
         assert r.j == pytest.approx(brute_jaro_winkler(r.a, r.b), abs=1e-12), r
         assert r.s == pytest.approx(brute_similarity(r.a, r.b), abs=1e-12), r
+    for r in df.select("a", "b", pair_similarity("a", "b", F.lit(True)).alias("j"), pair_similarity("a", "b", F.lit(False)).alias("s")).collect():
+        assert r.j == pytest.approx(brute_jaro_winkler(r.a, r.b), abs=1e-12), r
+        assert r.s == pytest.approx(brute_similarity(r.a, r.b), abs=1e-12), r
+
+
+def test_vectorised_tokens_of_any_length():
+    rows = [("ab" * 3000, "ba" * 2500), ("été", "éte"), ("数据", "数据库"), ("", ""), ("a", "a")]
+    got = similarities(*zip(*rows), [True] * len(rows))
+    assert list(got) == pytest.approx([brute_jaro_winkler(a, b) if a else 0.0 for a, b in rows], abs=1e-12)
