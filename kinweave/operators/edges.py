@@ -20,7 +20,8 @@ def decay(occurred_at: Column, now: str, s: Settings) -> Column:
     """Halves every half life; undated documents count a fixed part, future ones in full."""
     micros = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(occurred_at.cast("timestamp"))
     days = F.greatest(F.lit(0.0), micros / F.lit(86_400_000_000.0))
-    return F.coalesce(F.pow(F.lit(0.5), days / F.lit(float(s.half_life_days))), F.lit(s.undated_decay))
+    # greatest passes over nulls, so a date that is missing is asked for itself
+    return F.when(occurred_at.isNull(), s.undated_decay).otherwise(F.pow(F.lit(0.5), days / F.lit(float(s.half_life_days))))
 
 
 def pair_weight(kind: Column, a: Column, b: Column, s: Settings) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,22 @@ def edges_incremental(spark, sf):
     return _r(e, "weight", "strength").select("owner", "a", "b", "weight", "strength", "n")
 
 
+#: Orders up to a day, every eleventh undated.
+THEN = "2000-06-01 00:00:00"
+AGED = (
+    edges_sql().replace("o_orderdate AS occurred_at", "CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END AS occurred_at")
+    .replace("AS owner FROM orders)", f"AS owner FROM orders WHERE o_orderkey % 11 = 0 OR o_orderdate <= TIMESTAMP '{THEN}')").replace("* pow(", "* CASE WHEN d.occurred_at IS NULL THEN 0.7::double ELSE pow(").replace("/ 180.0::double) AS w", "/ 180.0::double) END AS w")
+)
+
+
+@query(f"WITH {AGED} SELECT owner, a, b, {ROUNDED}, n FROM edges")
+def edges_aged(spark, sf):
+    """Edges made for a day, and then as they are 14 months later, without a document being read again."""
+    d = documents(spark, sf).withColumn("occurred_at", F.when(F.col("id") % 11 > 0, F.col("occurred_at")))
+    then = E.rebuild_edges(d.where(F.col("occurred_at").isNull() | (F.col("occurred_at") <= F.lit(THEN).cast("timestamp_ntz"))), mentions(spark, sf), THEN)
+    return _r(E.edges_at(then, THEN, NOW), "weight", "strength").select("owner", "a", "b", "weight", "strength", "n")
+
+
 @query(f"WITH {edges_sql()}, {VISIBLE} SELECT a, b, round(weight, 6) AS weight, round(strength, 6) AS strength, last_seen FROM visible")
 def visible_strength(spark, sf):
     return _r(G.visible_graph(_edges(spark, sf), "O"), "weight", "strength").select("a", "b", "weight", "strength", "last_seen")
@@ -180,3 +199,24 @@ def graph_view_nodes(spark, sf):
   SELECT a, b, round(strength, 6) AS strength FROM links WHERE a IN (SELECT * FROM kept) AND b IN (SELECT * FROM kept)""")
 def graph_view_links(spark, sf):
     return _r(_view(spark, sf)[1], "strength").select("a", "b", "strength")
+
+
+@query("""WITH t AS (SELECT conv_id, role, turn FROM conversations), p AS (SELECT DISTINCT x.conv_id AS conv, least(x.role, y.role) AS a, greatest(x.role, y.role) AS b FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.role < y.role)
+  SELECT a || (conv % 20)::VARCHAR || '@' || a || '.example' AS a, b || (conv % 20)::VARCHAR || '@' || b || '.example' AS b, count(*) AS n, round(count(*) * 1.75::double, 6) AS weight FROM p GROUP BY ALL""")
+def sync_incremental(spark, sf):
+    """Edges after a sync of most conversations as undated mails, and another of the rest that brings all up to date."""
+    from kinweave.api import Engine
+
+    c = table(spark, sf, "conversations")
+    email = F.concat("role", (F.col("conv_id") % 20).cast("string"), F.lit("@"), F.col("role"), F.lit(".example"))
+    none = F.lit(None).cast("string")
+    who = F.struct(none.alias("name"), email.alias("email"), none.alias("org"), F.lit("to").alias("role"))
+    r = c.groupBy("conv_id").agg(F.collect_set(who).alias("people"))
+    r = r.select(F.lit("local").alias("source"), F.lit("email").alias("kind"), F.col("conv_id").cast("string").alias("external_id"), none.alias("title"), none.alias("occurred_at"), "people", F.array().cast("array<string>").alias("orgs"), none.alias("body"), none.alias("raw"), none.alias("owner"), "conv_id")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    e = Engine(spark, f"{root or 'file://' + tempfile.mkdtemp(prefix='kinweave-')}/kinweave-sync-{uuid.uuid4().hex}")
+    e.sync(r.where("conv_id % 50 > 0").drop("conv_id"), NOW)
+    e.sync(r.where("conv_id % 50 = 0").drop("conv_id"), NOW)
+    of = e.entities.select("entity_id", F.col("emails")[0].alias("email"))
+    named = e.edges.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return _r(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "weight"), "weight")

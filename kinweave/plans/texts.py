@@ -98,6 +98,32 @@ def resolve_score_band(spark, sf):
     return c.select("a", "b", F.round("score", 9).alias("score"), band.alias("band"))
 
 
+#: Parts as people: who is the first with a name, address and organisation; the score of each with every earlier one that shares a key.
+PEOPLE = """who AS (SELECT lower(p_name) AS name, CASE WHEN p_size % 5 > 0 THEN split_part(lower(p_name), ' ', 1) || (p_partkey % 40)::VARCHAR || '@' || CASE WHEN p_size % 8 = 1 THEN 'gmail.com' ELSE lower(replace(p_brand, '#', '')) || '.example' END END AS email,
+    CASE WHEN p_size % 2 = 0 THEN lower(p_type) END AS org, min(p_partkey) AS place FROM part GROUP BY ALL),
+  parts AS (SELECT *, string_split(name, ' ') AS t, split_part(email, '@', 2) AS host FROM who),
+  keyed AS (SELECT *, unnest(list_filter(['e:' || email, 'd:' || host, 'n:' || substr(t[1], 1, 1) || t[len(t)], 'n:' || CASE WHEN len(t) = 1 THEN t[1] ELSE substr(t[len(t)], 1, 1) || t[1] END], lambda k: k IS NOT NULL)) AS key FROM parts),
+  met AS (SELECT DISTINCT x.place AS id, y.place AS other, x.name AS a, y.name AS b, x.email AS xe, y.email AS ye, x.org AS xo, y.org AS yo, x.host AS xh, y.host AS yh FROM keyed x JOIN keyed y ON x.key = y.key AND y.place < x.place),
+  cand AS (SELECT DISTINCT a, b FROM met)"""
+
+
+@query(f"""WITH RECURSIVE {PEOPLE}, {WINKLER.replace(" UNION SELECT a, b FROM cand", "")},
+  f AS (SELECT id, other, coalesce(xe = ye, false) AS exact, coalesce(xh <> 'gmail.com' AND xh = yh, false) AS house, coalesce(xh <> 'gmail.com' AND yh <> 'gmail.com' AND xh <> yh, false) AS stranger,
+    coalesce(xo = yo, false) AS org, coalesce(xo <> yo, false) AS rival, CASE WHEN a = b THEN 1.0::double ELSE similarity END AS alike FROM met JOIN sim USING (a, b)),
+  s AS (SELECT id, other, CASE WHEN exact THEN 0.98::double WHEN alike >= 0.999::double AND NOT stranger AND NOT rival THEN 0.96::double
+    ELSE least(0.9::double * alike + CASE WHEN org THEN 0.08::double ELSE 0 END + CASE WHEN house THEN 0.07::double ELSE 0 END, 0.99::double) END AS score FROM f)
+  SELECT id, other, round(score, 9) AS score FROM s WHERE score >= 0.7::double""")
+def resolve_candidates(spark, sf):
+    """All pairs of people that share a key and reach a review, by name, address, domain and organisation."""
+    p = table(spark, sf, "part")
+    name, size = F.lower("p_name"), F.col("p_size")
+    host = F.when(size % 8 == 1, "gmail.com").otherwise(F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".example")))
+    email = F.when(size % 5 > 0, F.concat(F.split(name, " ")[0], (F.col("p_partkey") % 40).cast("string"), F.lit("@"), host))
+    who = p.groupBy(name.alias("name"), email.alias("email"), F.when(size % 2 == 0, F.lower("p_type")).alias("org")).agg(F.min("p_partkey").alias("place"))
+    found = who.select(F.col("place").alias("id"), F.lit("person").alias("kind"), "name", "email", "org", "place", T.block_keys(F.col("name"), F.col("email"), F.lit("person")).alias("keys"))
+    return R.candidate_pairs(found, S).select("id", "other", F.round("score", 9).alias("score"))
+
+
 @query()
 def resolve_identities(spark, sf):
     """Decide who is who among parts as people of brands, in the order of their keys; tests compare it with deciding one after the other."""
