@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -66,6 +67,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def ident(df: DataFrame, id_col: str) -> Column:
+    """A row's id as a 64-bit number if ids are whole numbers, as text if they are anything else."""
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    return F.col(id_col).cast("long" if whole else "string")
+
+
 def chance(id_col: str, salt: int = 11) -> Column:
     """A number from 0 to 1 that is fixed for each id."""
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)

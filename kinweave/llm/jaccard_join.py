@@ -31,7 +31,8 @@ decide in the end.
 Defined cases: a text without words (or null) has no shingles and links with nothing; fewer
 words than k make one shingle of all; equal sets are linked and compared once; repeated rows
 stay; a row without an id links only with equal sets, and its component is the smallest id
-there (null if it has none); other columns are carried along.
+there (null if it has none); ids that aren't whole numbers are taken as texts, the smallest by
+its bytes; a text may have any length; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import bitset
-from .common import settle
+from .common import ident, settle
 from .components import components
 from .textkit import NONSPACE, Words, blocks, lists, mix, tidied
 
@@ -174,8 +175,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, percent:
                     ["doc_id", "n", "fp", "sketch", "keys", "bands", "drops"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidied(run), "doc_id long, n long, fp long, sketch array<long>, keys array<long>, bands array<short>, drops array<short>")
+    rows = docs.select(ident(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, n long, fp long, sketch array<long>, keys array<long>, bands array<short>, drops array<short>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, k: int = K) -> DataFrame:
@@ -220,7 +222,7 @@ class _Verifier:
         near = settle(near.where(may_be_alike(p)).select("a", "b"), "candidates")
         nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         nodes = settle(nodes.join(self.known.select("fp", "doc"), "fp"), "nodes")
-        _, some = bitset.split(self.docs, F.xxhash64(F.col(self.id_col).cast("long")), nodes, F.xxhash64("doc"), nodes.count())
+        _, some = bitset.split(self.docs, F.xxhash64(ident(self.docs, self.id_col)), nodes, F.xxhash64("doc"), nodes.count())
         sets = shingle_sets(some, self.text_col, self.k).join(nodes.select("fp"), "fp").groupBy("fp").agg(F.first("hashes").alias("hashes"))
         sets = settle(sets, "sets")
         both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
@@ -306,5 +308,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """Of each component the document with the smallest id, with all columns; the rest of the texts isn't shuffled."""
     found = jaccard_components(docs, id_col, text_col, **how)
     drop = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__kw_drop")).distinct(), "drop")
-    sure, maybe = bitset.split(docs, F.xxhash64(F.col(id_col).cast("long")), drop, F.xxhash64("__kw_drop"), drop.count())
-    return sure.unionByName(maybe.join(drop, F.col(id_col).cast("long") == F.col("__kw_drop"), "left_anti"))
+    sure, maybe = bitset.split(docs, F.xxhash64(ident(docs, id_col)), drop, F.xxhash64("__kw_drop"), drop.count())
+    return sure.unionByName(maybe.join(drop, ident(maybe, id_col) == F.col("__kw_drop"), "left_anti"))

@@ -35,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ident
 from .textkit import blocks, lists, mix, powers, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -523,12 +524,22 @@ def _arrow(rows: list[list[tuple[np.ndarray, float, float]]], null: np.ndarray)
     return pa.ListArray.from_arrays(at, samples)
 
 
+def _key(docs: DataFrame, id_col: str) -> Column:
+    """What seeds a row's draws: its id, or a hash of an id that isn't a whole number."""
+    own = ident(docs, id_col)
+    return own if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(own.isNotNull(), F.xxhash64(own))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """All columns, and ``samples``: distinct segmentations as ids, log p and log inclusion, the largest perturbed value first."""
+    """All columns, and ``samples``: distinct segmentations as ids, log p and log inclusion, the largest perturbed value first.
+
+    ``samples`` replaces a column of that name.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    docs = docs.withColumn("__kw_key", _key(docs, id_col))
     names = [f"__kw_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
-    key, text = docs.columns.index(id_col), docs.columns.index(text_col)
+    key, text = docs.columns.index("__kw_key"), docs.columns.index(text_col)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"__kw_samples {SAMPLE}").fields])
 
     def run(batches):
@@ -540,7 +551,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 yield pa.RecordBatch.from_arrays([*part.columns, _arrow(got, null[lo:hi])], [*names, "__kw_samples"])
 
     out = rows.mapInArrow(tidied(run), schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], F.col("__kw_samples").alias("samples"))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c not in ("__kw_key", "samples")], F.col("__kw_samples").alias("samples"))
 
 
 def decoder(spark: SparkSession, model: str = MODEL):
@@ -559,7 +570,7 @@ def pieces_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document and sample: doc_id, sample, n_pieces, ids_hash, log_prob, log_inclusion, round_trip (that
     decoding gives back the text). A null text has one row without a sample. Sampled, decoded and compared in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _key(docs, id_col).alias("__kw_key"))
     schema = rows.select("doc_id").schema
     for f in T.StructType.fromDDL("sample int, n_pieces int, ids_hash long, log_prob double, log_inclusion double, round_trip boolean"):
         schema = schema.add(f)
@@ -572,7 +583,7 @@ def pieces_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         encoder = Encoder(sent.value, samples, seed)
         for batch in batches:
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets, got in encoder.blocks(batch.column(0), batch.column(1)):
+            for lo, hi, data, offsets, got in encoder.blocks(batch.column(2), batch.column(1)):
                 at, made = [], []
                 for i, rows in enumerate(got):
                     text = data[offsets[i] : offsets[i + 1]]

@@ -79,3 +79,11 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in components(links).collect()}
     assert all(roots[i] == 0 for i in range(41)) and roots[100] == roots[101] == 100
+
+
+def test_text_ids_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 9000}x{i // 7}" for i in range(60_000))
+    rows = [("b", long, 1), ("a", long + " end", 2), ("c", "alone in here with other words", 3), (None, "x", 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, component_id int")
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(docs).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), (None, None)}
+    assert {r.doc_id for r in keep_one(docs).collect()} == {"a", "c", None}

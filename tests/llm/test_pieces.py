@@ -110,3 +110,10 @@ def test_round_trip_and_odd_rows(spark):
     back = encode(docs).select("text", decode(F.col("samples")[0]["ids"]).alias("back")).collect()
     assert all(r.back == r.text for r in back)
 
+
+def test_text_ids_and_a_column_called_samples(spark):
+    docs = spark.createDataFrame([("a", "Some words.", 1), (None, "Others.", 2)], "doc_id string, text string, samples int")
+    out = encode(docs)
+    assert out.columns == ["doc_id", "text", "samples"] and all(len(r.samples) > 0 for r in out.collect())
+    rows = pieces_report(docs).collect()
+    assert {r.doc_id for r in rows} == {"a", None} and all(r.round_trip for r in rows)
