@@ -17,7 +17,7 @@ flipped bits, a linear fingerprint of the block. Sets are joined on block keys:
   keys of empty ones.
 * A band that would need more than MOST_BLOCKS blocks uses that many of its d + 1, the same ones
   for all sets, and may leave out SPARE keys. Two sets exactly at the threshold agree in each
-  block with probability 0.35 at least, so they miss each other with a probability of some 1e-8,
+  block with probability 0.35 at least, so they miss each other with a probability of about 6e-8 (an estimate),
   and more similar ones more rarely still: the order of a collision of hashes.
 
 Candidates are made without pairing whole groups. In a group of copies of copies the sets near
