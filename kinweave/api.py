@@ -373,8 +373,8 @@ class Engine:
         return brief | {"events": events.guest_summary(touches), "recent_events": events.event_history(touches, who, 12)}
 
     def brief_markdown(self, who: str, viewer: str | None = None) -> str:
-        b = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in self.entity_brief(who, viewer).items()}
-        return memory.markdown(b["entity"][0], b["connections"], b["documents"], next(iter(b.get("events", [])), None), b.get("recent_events", []))
+        """The brief as a Markdown page."""
+        return memory.markdown(self.entity_brief(who, viewer)).collect()[0].text
 
     def meeting_prep(self, who: str, viewer: str | None = None, me: str | None = None) -> dict[str, DataFrame]:
         """The brief, and with ``me`` the ways to get there."""

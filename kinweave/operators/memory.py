@@ -111,19 +111,28 @@ def counts(documents: DataFrame, mentions: DataFrame, known: DataFrame, decision
     return row.withColumn("entities", F.col("seen") if hide else F.col("all")).drop("seen", "all")
 
 
-def markdown(entity: dict, connections: list[dict], documents: list[dict], events: dict | None = None, recent: list[dict] = ()) -> str:
-    """A brief as Markdown, from its rows."""
-    told = {"rsvp": "RSVP'd"}
-    plural = lambda k, n: f"{n} {k}{'' if n == 1 else 's'}"
-    lines = [f"# {entity['name']}", "", " · ".join([*entity["orgs"], *entity["emails"]]), "", "## Strongest connections"]
-    for c in connections:
-        signals = ", ".join(plural(k, n) for k, n in sorted((c.get("signals") or {}).items()))
-        lines.append(f"- **{c['name']}** — {round(100 * c['strength'])}%" + (f" ({signals})" if signals else ""))
-    if events:
-        lines += ["", f"## Events — {events['attended']} attended of {events['events']} contacted"]
-        for e in recent:
-            who = f" — invited by {e['invited_by']}" if e.get("invited_by") else f" — via {e['via']}" if e.get("via") else ""
-            lines.append(f"- {told.get(e['tier'], e['tier'])} · {e['event_name']}" + (f" ({e['event_date']})" if e.get("event_date") else "") + who)
-    lines += ["", "## Recent documents"]
-    lines += [f"- {d['title'] or '(untitled)'} — {d['source']}" + (f", {d['occurred_at']:%Y-%m-%d}" if d["occurred_at"] else "") for d in documents]
-    return "\n".join(lines)
+def _lines(title: str, rows: DataFrame, order: list[Column], *parts: Column) -> DataFrame:
+    """One row: a title over a list with an item a row; nothing where there are no rows. For tables that have few."""
+    line = F.concat(F.lit("* "), F.concat_ws("; ", *parts))
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], line.alias("line")))).alias("all"))
+    return listed.select(F.when(F.size("all") > 0, F.concat(F.lit(f"\n## {title}\n\n"), F.array_join(F.transform("all", lambda x: x.line), "\n"))).alias("text"))
+
+
+def markdown(brief: dict[str, DataFrame]) -> DataFrame:
+    """One row, ``text``: the tables of a brief as a page, each that has rows under a heading of its own."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    say = lambda label, c: F.concat(F.lit(f"{label} "), c.cast("string"))
+    head = brief["entity"].select(F.concat_ws("\n", F.concat(F.lit("# "), "name"), F.nullif(F.concat_ws(", ", "orgs", "emails"), F.lit(""))).alias("text"))
+    c, d = brief["connections"], brief["documents"]
+    signals = F.array_join(F.transform(F.array_sort(F.map_entries("signals")), lambda s: F.concat_ws(" ", s.value.cast("string"), s.key)), ", ")
+    parts = [head, _lines("Knows", c, [-F.col("strength"), F.col("name")], F.col("name"), say("strength", F.format_number("strength", 2)), signals)]
+    if "events" in brief:
+        e, r = brief["events"], brief["recent_events"]
+        parts.append(_lines("Guest of", e, [F.lit(0)], say("events", F.col("events")), say("attended", F.col("attended"))))
+        host = F.coalesce(say("asked by", F.col("invited_by")), say("through", F.col("via")))
+        parts.append(_lines("Last events", r, [-F.unix_date(F.to_date("event_date")), F.col("event_name")], F.col("event_name"), F.col("event_date"), F.col("tier"), host))
+    if "deals" in brief:
+        parts.append(_lines("Deals", brief["deals"], [F.col("company"), F.col("id")], F.col("company"), F.col("stage"), F.col("status"), F.col("summary")))
+    parts.append(_lines("Documents", d, [-F.unix_micros(F.col("occurred_at").cast("timestamp")), F.col("id")], F.coalesce("title", F.lit("no title")), F.col("source"), day("occurred_at")))
+    page = reduce(lambda x, y: x.unionByName(y), [p.withColumn("place", F.lit(i)) for i, p in enumerate(parts)]).where("text is not null")
+    return page.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x.text), "\n").alias("text"))

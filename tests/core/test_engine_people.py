@@ -56,7 +56,8 @@ def test_private_marker_stays_private(engine):
 def test_brief_and_reads(engine):
     ann, ben = who(engine, "Ann Arbor"), who(engine, "Ben Bow")
     text = engine.brief_markdown(ann)
-    assert text.startswith("# Ann Arbor\n") and "- **Ben Bow** — " in text and "1 attended of 1 contacted" in text and "- attended · Gala (2026-05-01)" in text
+    assert text.startswith("# Ann Arbor\n") and "\n## Knows\n\n* Ben Bow; strength " in text and "* events 1; attended 1" in text and "* Gala; 2026-05-01; attended" in text
+    assert text.index("## Knows") < text.index("## Guest of") < text.index("## Last events") < text.index("## Documents")
     prep = engine.meeting_prep(who(engine, "Cat Cole"), me=ann)
     assert prep["warm_path"].collect()[0].path == [ann, ben, who(engine, "Cat Cole")] and {r["name"] for r in prep["introducers"].collect()} == {"Ben Bow"}
     radar = engine.radar(NOW).collect()
