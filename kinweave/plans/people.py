@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave import scratch
 from kinweave.operators import events as V
 from kinweave.operators import guests as L
 from kinweave.operators import radar as R
 from kinweave.operators import resolve as P
+from kinweave.streaming import alerts as A
 from kinweave.streaming import records as C
 
 from .star import DOCS, NOW, TOUCHES, documents, mentions, pairs_sql, query, table, touches
 
-RADAR = f"""WITH {DOCS}, past AS (SELECT customer, id, occurred_at AS met,
+def radar_sql(docs: str, now: str) -> str:
+    return f"""WITH {docs}, past AS (SELECT customer, id, occurred_at AS met,
     (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY customer ORDER BY occurred_at, id)) / 86400000000.0::double AS gap
-    FROM docs WHERE occurred_at <= TIMESTAMP '{NOW}'),
+    FROM docs WHERE occurred_at <= {now}),
   agg AS (SELECT customer, count(*) AS contacts, max(met) AS last_contact, min(met) AS first_contact, median(gap) AS gap,
-    count(*) FILTER (WHERE met > TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS recent,
-    count(*) FILTER (WHERE met <= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND met > TIMESTAMP '{NOW}' - INTERVAL 180 DAY) AS prior FROM past GROUP BY customer),
-  r AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_contact)) / 86400000000.0::double) AS BIGINT) AS days_since, greatest(gap, 1.0::double) AS cadence,
+    count(*) FILTER (WHERE met > {now} - INTERVAL 90 DAY) AS recent,
+    count(*) FILTER (WHERE met <= {now} - INTERVAL 90 DAY AND met > {now} - INTERVAL 180 DAY) AS prior FROM past GROUP BY customer),
+  r AS (SELECT *, CAST(floor((epoch_us({now}) - epoch_us(last_contact)) / 86400000000.0::double) AS BIGINT) AS days_since, greatest(gap, 1.0::double) AS cadence,
     (epoch_us(last_contact) - epoch_us(first_contact)) / 86400000000.0::double AS span FROM agg),
   radar AS (SELECT customer, contacts, days_since, floor(cadence * 10 + 0.5::double) / 10 AS cadence_days,
     CAST(greatest(floor(days_since - cadence + 0.5::double), 0) AS BIGINT) AS overdue_by,
@@ -29,6 +34,9 @@ RADAR = f"""WITH {DOCS}, past AS (SELECT customer, id, occurred_at AS met,
     CASE WHEN recent = 0 AND prior = 0 THEN NULL WHEN recent > prior THEN 'warming' WHEN recent < prior THEN 'cooling' ELSE 'steady' END AS trend FROM r)"""
 
 
+RADAR = radar_sql(DOCS, f"TIMESTAMP '{NOW}'")
+
+
 def _radar(spark, sf, now: str = NOW) -> DataFrame:
     d = documents(spark, sf).select("customer", F.col("id").alias("document_id"), F.col("occurred_at").alias("at"))
     return R.contact_radar(d, now, key="customer")
@@ -253,3 +261,17 @@ def sliding_90d(spark, sf):
     us = F.unix_micros(F.col("occurred_at").cast("timestamp"))
     w = W.partitionBy("customer").orderBy("us").rangeBetween(-(90 * 86_400_000_000 - 1), 0)
     return documents(spark, sf).withColumn("us", us).select("customer", "id", F.count(F.lit(1)).over(w).alias("trailing"))
+
+
+HEARD = """docs AS (SELECT event_id AS id, ts AS occurred_at, user_id AS customer FROM events), moment AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS t FROM events)"""
+
+
+@query(f"{radar_sql(HEARD, '(SELECT t FROM moment)')} SELECT customer, contacts, days_since, cadence_days, status FROM radar")
+def radar_alerts(spark, sf):
+    """What a stream of contacts told last of each pair; its time is two days behind the latest contact."""
+    schema = table(spark, sf, "events").schema
+    heard = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    at = f"{scratch.shared(spark)}/kinweave-alerts-{uuid.uuid4().hex}"
+    A.watch(heard.select(F.col("user_id").alias("pair"), F.col("event_id").alias("document_id"), F.col("ts").alias("at")), f"{at}/told", f"{at}/state").awaitTermination()
+    told = A.last_told(spark.read.parquet(f"{at}/told")).where("contacts > 0")
+    return told.select(F.col("pair").alias("customer"), "contacts", "days_since", "cadence_days", "status")

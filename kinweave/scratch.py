@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,13 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 _runs: list[list[str]] = []
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; only where none is named and Spark runs in this one process a temporary one takes its place."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="kinweave-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table and read it again: its lineage ends here, so a lost executor costs nothing that came before. (``checkpoint()`` would compute it twice.)"""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    at, schema = f"{root.rstrip('/')}/kinweave-run-{uuid.uuid4().hex}", df.schema
+    at, schema = f"{shared(spark)}/kinweave-run-{uuid.uuid4().hex}", df.schema
     df.write.parquet(at)
     if _runs:
         _runs[-1].append(at)
