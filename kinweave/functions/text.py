@@ -47,7 +47,7 @@ def block_keys(name: Column, email: Column, kind: Column) -> Column:
     other = F.when(F.size(tokens) == 1, F.concat(prefix, first)).otherwise(F.concat(prefix, F.substring(last, 1, 1), first))
     keys = F.array(
         F.concat(F.lit("e:"), email),
-        F.concat(F.lit("d:"), F.split(email, "@")[1]),
+        F.concat(F.lit("d:"), F.get(F.split(email, "@"), F.lit(1))),
         F.concat(prefix, F.substring(first, 1, 1), last),
         F.when(name.isNotNull(), other),
     )
@@ -68,7 +68,7 @@ def strip_html(html: Column) -> Column:
 
 def classify_address(email: Column, name: Column) -> Column:
     """'automated', 'role' (a hint that behaviour must confirm) or 'human'."""
-    domain = F.split(email, "@")[1]
+    domain = F.get(F.split(email, "@"), F.lit(1))
     robot = email.rlike(f"(?i){ROBOT}") | domain.rlike(f"(?i){MACHINE_DOMAIN}")
     return (
         F.when(robot, "automated").when(email.rlike(f"(?i){ROLE}"), "role").when(name.rlike(f"(?i){SERVICE_NAME}"), "automated").otherwise("human")

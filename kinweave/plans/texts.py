@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
+from kinweave.functions.registered import register
+from kinweave.functions.text import MACHINE_DOMAIN, ROBOT, ROLE
 
 from kinweave.functions import similarity as M
 from kinweave.operators import extract as X
@@ -387,3 +389,49 @@ def address_classify(spark, sf):
     r = table(spark, sf, "region").select("r_regionkey", each(LOCALS, "l")).select("*", each(HOSTS, "h")).select("*", each(NAMES, "name"))
     email = F.concat("l", F.lit("@"), "h")
     return r.select("r_regionkey", email.alias("email"), F.coalesce("name", F.lit("")).alias("name"), T.classify_address(email, F.col("name")).alias("class"))
+
+
+def _domain(email: str) -> str:
+    return f"CASE WHEN contains({email}, '@') THEN split_part({email}, '@', 2) END"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) AS email FROM documents),
+  b AS (SELECT doc_id, list_extract({LOCALS}, (doc_id % {len(LOCALS)} + 1)::int) || '+' || coalesce(lang, 'xx') || '@' || list_extract({HOSTS}, (doc_id % {len(HOSTS)} + 1)::int) AS email FROM documents),
+  a AS (SELECT doc_id, email FROM f UNION ALL SELECT doc_id, email FROM b), e AS (SELECT doc_id, email, {_domain('email')} AS h FROM a)
+  SELECT doc_id, email, split_part(split_part(lower(email), '@', 1), '+', 1) || '@' || lower(h) AS normed,
+  CASE WHEN regexp_matches(email, '(?i){ROBOT}') OR regexp_matches(h, '(?i){MACHINE_DOMAIN}') THEN 'automated'
+  WHEN regexp_matches(email, '(?i){ROLE}') THEN 'role' ELSE 'human' END AS class FROM e""")
+def sql_addresses(spark, sf):
+    """In SQL: every address that the documents have in their texts, and one for each document's mailbox, normalised and classified."""
+    register(spark)
+    box = lambda words: f"element_at(array({', '.join(map(repr, words))}), cast(doc_id % {len(words)} + 1 AS int))"
+    return spark.sql(
+        f"""SELECT doc_id, email, norm_email(email) AS normed, classify_address(email, NULL) AS class FROM (
+              SELECT doc_id, explode(regexp_extract_all(text, {{pattern}}, 1)) AS email FROM {{d}}
+              UNION ALL SELECT doc_id, {box(LOCALS)} || '+' || coalesce(lang, 'xx') || '@' || {box(HOSTS)} FROM {{d}})""",
+        d=table(spark, sf, "documents"), pattern=f"({T.EMAIL})",
+    )
+
+
+@query(r"""WITH p AS (SELECT p_partkey, lower(p_name) AS who, trim(regexp_replace(regexp_replace(lower(p_brand || ' Capital, Ltd.'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS org FROM part)
+  SELECT p_partkey, who AS person, regexp_replace(org, ' capital ltd$', '') AS org,
+  list_sort(list_distinct(['n:person:' || substr(who, 1, 1) || split_part(who, ' ', -1), 'n:person:' || CASE WHEN contains(who, ' ') THEN substr(split_part(who, ' ', -1), 1, 1) ELSE '' END || split_part(who, ' ', 1)])) AS keys FROM p""")
+def sql_identities(spark, sf):
+    """In SQL: the normalised names of parts as people, of brands as organisations, and the keys they meet others under."""
+    register(spark)
+    return spark.sql(
+        """SELECT p_partkey, person, norm_org(concat(p_brand, ' Capital, Ltd.')) AS org, array_sort(array_distinct(block_keys(person, NULL, 'person'))) AS keys
+           FROM (SELECT *, norm_person(p_name) AS person FROM {p})""", p=table(spark, sf, "part"),
+    )
+
+
+@query("""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS chunk, 0::bigint AS place FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, text, chunk + 1, place + 900 FROM w WHERE place + 1000 < length(text))
+  SELECT doc_id, chunk, place, sha256(substr(text, place + 1, 1000)) AS digest FROM w""")
+def sql_chunks(spark, sf):
+    """In SQL: whole texts in windows of 1,000 characters that share 100, line ends taken for spaces."""
+    register(spark)
+    return spark.sql(
+        """SELECT doc_id, chunk, at AS place, sha2(substring(d.text, at + 1, length(c.text)), 256) AS digest
+           FROM {d} AS d, LATERAL text_chunks(replace(d.text, '\n', ' '), length(d.text), 1000, 100) AS c""", d=table(spark, sf, "documents"),
+    )
