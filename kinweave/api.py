@@ -46,7 +46,9 @@ class Engine:
     # writing
 
     def load(self, path: str) -> DataFrame:
-        """Records of a file, read by its ending."""
+        """Records of a file, read by its ending; a line of JSON lines that isn't JSON is named, before anything is taken in."""
+        if path.lower().endswith(".jsonl") and (bad := files.bad_line(self.spark, path)):
+            raise ValueError(bad)
         for ending, read in READERS.items():
             if path.lower().endswith(ending):
                 return read(self.spark, path)
@@ -179,12 +181,17 @@ class Engine:
         """Add to a log of decisions and make everything anew with them, in one snapshot."""
         self.rebuild(now, actor, action, detail, **{name: self.table(name).unionByName(rows).transform(settle)})
 
-    def extract(self, generate: Callable[[str], list[dict]], now: str, model: str, version: str = "1", effort: str = "low", limit: int | None = None) -> None:
-        """Mine the bodies that wait; take what is grounded in as mentions and deals, and rebuild."""
+    def extract(self, generate: Callable[[str], list[dict]], now: str, model: str, version: str = "1", effort: str = "low", limit: int | None = None, stop: Callable[[], bool] | None = None) -> dict:
+        """Mine the bodies that wait; take what is grounded in as mentions and deals, and rebuild.
+
+        Returns how many were extracted, failed and left waiting, and the error that was met last if a run of failures
+        or ``stop`` ended it early.
+        """
         done = extract.sweep(self.table("extractions"), self.documents)
         digest = extract.extraction_hash(F.col("body_sha256"), version, model, effort, str(extract.LEAST_CONFIDENCE))
         tried = extract.pending(self.documents, done, digest, limit).transform(settle)
-        proposals = extract.propose(tried, generate).transform(settle)
+        proposals = extract.propose(tried, generate, stop=stop).transform(settle)
+        tried = extract.asked(tried, proposals)
         structured = self.mentions.where("origin = 'structured'")
         grounded = extract.ground(tried, extract.surest(proposals), structured).transform(settle)
         fresh = extract.record(done, tried, proposals, grounded, model).transform(settle)
@@ -198,6 +205,11 @@ class Engine:
         told = extract.replace(extract.sweep(self.table("deals"), self.documents), extract.deals(grounded), renewed)
         mentions = structured.unionByName(found.select(*structured.columns)).transform(settle)
         self.rebuild(now, "local", "extract", {"model": model}, mentions=mentions, deals=told.transform(settle), extractions=fresh)
+        kinds = proposals.where("kind in ('failed', 'unasked')").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("summary").alias("error"))
+        ends = {r.kind: r for r in kinds.collect()}
+        n = {k: ends[k].n if k in ends else 0 for k in ("failed", "unasked")}
+        told = ends["failed"].error if n["unasked"] and n["failed"] else None
+        return {"extracted": tried.count() - n["failed"], "failed": n["failed"], "waiting": n["unasked"], "stopped_after": told}
 
     # what people decide
 
@@ -323,6 +335,12 @@ class Engine:
             raise LookupError(f"no entity {focus}")
         return graph.graph_view(graph.drawn_links(self.edges, people, viewer, self.settings), people, limit, focus, radius)
 
+    def graph_totals(self, viewer: str | None = None, limit: int = 300, focus: str | None = None, radius: int = 2) -> DataFrame:
+        """What ``graph_view`` with the same arguments was cut from."""
+        people = self._seen(viewer).where("kind = 'person'")
+        links = graph.drawn_links(self.edges, people, viewer, self.settings)
+        return graph.view_totals(links, people, self.graph_view(viewer, limit, focus, radius)[0])
+
     def _robots(self) -> DataFrame:
         return self.table("senders").where("automated").select("entity_id")
 

@@ -182,6 +182,14 @@ def graph_view(links: DataFrame, people: DataFrame, limit: int = 300, focus=None
     return nodes, links
 
 
+def view_totals(links: DataFrame, people: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: how many people and links a viewer could see in all, and whether a picture (its ``nodes``) shows fewer people."""
+    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    each = count(people, "people").unionByName(count(links, "links")).unionByName(count(nodes, "shown"))
+    n = lambda what: F.max(F.when(F.col("what") == what, F.col("n")))
+    return each.agg(n("people").alias("total_nodes"), n("links").alias("total_links"), (n("shown") < n("people")).alias("truncated"))
+
+
 def redact(steps: DataFrame, names: DataFrame, visible: DataFrame) -> DataFrame:
     """Steps (place, entity, private, ...) with names; a private step's contact that the viewer can't see loses name and id."""
     known = names.select(F.col("entity_id").alias("entity"), "name")

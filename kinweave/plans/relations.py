@@ -184,9 +184,20 @@ DRAWN = f"""{PARTS}, {HIDDEN}, {VISIBLE}, links AS (SELECT a, b, strength FROM v
   nodes AS (SELECT p_partkey AS entity_id, p_name AS name, coalesce(total, 0) AS total, coalesce(degree, 0) AS degree FROM part LEFT JOIN score ON id = p_partkey WHERE p_partkey % 10 < 8)"""
 
 
-def _view(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _drawn(spark, sf) -> tuple[DataFrame, DataFrame]:
     people = table(spark, sf, "part").where("p_partkey % 10 < 8").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    return G.graph_view(G.drawn_links(_parts(spark, sf), people, "O"), people, 40)
+    return G.drawn_links(_parts(spark, sf), people, "O"), people
+
+
+def _view(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return G.graph_view(*_drawn(spark, sf), 40)
+
+
+@query(f"WITH {DRAWN} SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM links) AS total_links, (SELECT count(*) FROM nodes) > 40 AS truncated")
+def graph_view_totals(spark, sf):
+    """What the picture was cut from."""
+    links, people = _drawn(spark, sf)
+    return G.view_totals(links, people, G.graph_view(links, people, 40)[0])
 
 
 @query(f"WITH {DRAWN} SELECT entity_id, name, round(total, 6) AS total, degree FROM nodes ORDER BY nodes.total DESC, name, entity_id LIMIT 40")

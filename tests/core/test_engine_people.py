@@ -45,6 +45,8 @@ def test_private_marker_stays_private(engine):
         engine.entity_brief(hidden, "mallory")
     nodes, links = engine.graph_view("mallory")
     assert hidden not in {r.entity_id for r in nodes.collect()} and not any(hidden in (r.a, r.b) for r in links.collect())
+    totals = engine.graph_totals("mallory", limit=1).collect()[0]
+    assert (totals.total_nodes, totals.total_links, totals.truncated) == (nodes.count(), links.count(), nodes.count() > 1)
     way = engine.private_path(who(engine, "Ben Bow"), hidden, "mallory").collect()
     assert [(r["name"], r.private) for r in way] == [("Ben Bow", False), ("Cat Cole", False), ("(private contact)", True)] and way[-1].entity is None
     assert engine.private_path(who(engine, "Ben Bow"), hidden, "eve").count() == 0
@@ -105,7 +107,9 @@ def test_extraction(engine):
         return [{"kind": "person", "name": "Zed Quill", "confidence": 0.9}, {"kind": "deal", "name": "Bolt Labs", "confidence": 0.9, "status": "passed"}]
 
     engine.sync(engine.spark.createDataFrame([record(50, [ANN], "note", body="Zed Quill told Ann that Bolt Labs is raising a round now.")], RECORD), NOW)
-    engine.extract(generate, NOW, "model")
+    assert engine.extract(generate, NOW, "model", stop=lambda: True)["waiting"] > 0 and engine.table("extractions").count() == 0
+    ran = engine.extract(generate, NOW, "model")
+    assert ran["extracted"] > 0 and (ran["failed"], ran["waiting"], ran["stopped_after"]) == (0, 0, None)
     zed = who(engine, "Zed Quill")
     assert zed and engine.company_memory("Bolt Labs")["deals"].collect()[0].status == "passed"
     engine.extract(generate, NOW, "model")  # nothing waits any more

@@ -79,3 +79,14 @@ def test_streams(spark, tmp_path):
 
 def test_next_due():
     assert [next_due(100, 10, k) for k in (0, 1, 4, 9)] == [110, 120, 260, 260] and next_due(0, 50_000, 3) == 86_400 and next_due(0, 100_000, 2) == 100_000
+
+
+def test_loading_names_a_bad_line(spark, tmp_path):
+    from kinweave.api import Engine
+
+    engine = Engine(spark, str(tmp_path / "graph"))
+    (tmp_path / "b.jsonl").write_text('{"source": "local"}\n\n{oops\n')
+    with pytest.raises(ValueError, match=r"b\.jsonl:3: \{oops"):
+        engine.load(str(tmp_path / "b.jsonl"))
+    (tmp_path / "c.jsonl").write_text('{"source": "local", "external_id": "1"}\n')
+    assert engine.load(str(tmp_path / "c.jsonl")).count() == 1
