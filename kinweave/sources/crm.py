@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.functions import mailtext
 from kinweave.schemas import PEOPLE, RECORD
-from kinweave.sources.mail import addresses, mail_date, mapped
 
 _ID = "struct<record_id: string>"
 COMPANIES = f"id {_ID}, created_at string, values struct<name: array<struct<value: string, full_name: string>>, created_at: array<struct<value: string>>>"
@@ -151,20 +148,19 @@ def granola(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_gmail(text: str) -> dict | None:
-    """A record of one of MESSAGES as JSON, or None where no one is named; who is in From, To and Cc has that role."""
-    m = json.loads(text)
-    h = {x["name"].lower(): x.get("value") for x in m.get("payload", {}).get("headers", []) if x.get("name")}
-    people = [p for role in ("from", "to", "cc") for p in addresses(h.get(role), role)]
-    if not people:
-        return None
-    external = re.sub("[<>]", "", h.get("message-id") or m.get("id") or "") or None
-    return {"source": "gmail", "kind": "email", "external_id": external, "title": h.get("subject") or "(no subject)", "occurred_at": mail_date(h.get("date")), "people": people}
+def gmail(rows: DataFrame) -> DataFrame:
+    """RECORDs of MESSAGES with their headers, those aside that name no one; who is in From, To and Cc has that role."""
 
+    def field(name: str) -> Column:
+        found = F.filter("payload.headers", lambda h: F.lower(h["name"]) == name)
+        return F.try_element_at(F.transform(found, lambda h: h.value), F.lit(-1))
 
-def gmail(rows: DataFrame) -> DataFrame:
-    """RECORDs of MESSAGES with their headers."""
-    return mapped(rows.select(F.to_json(F.struct("id", "payload"))), parse_gmail)
+    people = F.concat(*[mailtext.address_list(field(role), role) for role in ("from", "to", "cc")])
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return _records(
+        rows.withColumn("people", people).where(F.size("people") > 0), source=F.lit("gmail"), kind=F.lit("email"), external_id=blank(F.regexp_replace(F.coalesce(blank(field("message-id")), F.col("id")), "[<>]", "")),
+        title=F.coalesce(blank(field("subject")), F.lit("(no subject)")), occurred_at=mailtext.mail_date(field("date")), people=F.col("people"),
+    )
 
 
 def calendar(rows: DataFrame) -> DataFrame:

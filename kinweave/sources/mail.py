@@ -1,126 +1,204 @@
-"""Mailboxes and calendars, cut into messages and events by Spark's text reader, so one large file is read in parallel."""
+"""Mailboxes, read by a data source that cuts files at postmarks without a shuffle, and calendars. What they hold is read by column expressions."""
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
-from datetime import timezone
-from email import message_from_string, policy
-from email.header import decode_header, make_header
-from email.utils import getaddresses, parsedate_to_datetime
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kinweave.functions.text import strip_html
+from kinweave.functions import mailtext as M
 from kinweave.schemas import RECORD
 
-#: Java's and Python's engines read it alike.
-POSTMARK = re.compile(r"^(From )?\S+ +(?:\w{3} )?\w{3} [ \d]\d [\d:]{5,8}(?: [+-]\d{4})? \d{4}", re.ASCII)
-MOST_BODY = 65_536
-
-
-def mapped(pieces: DataFrame, parse: Callable[[str], dict | None]) -> DataFrame:
-    schema = to_arrow_schema(RECORD)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for t in batch.column(0).to_pylist() if (r := parse(t or ""))]
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
-
-    return pieces.mapInArrow(run, RECORD)
-
-
-def addresses(header: str | None, role: str | None = None) -> list[dict]:
-    """The people of an address header; encoded words are decoded, groups are opened."""
-    found = getaddresses([str(make_header(decode_header(header or "")))])
-    return [{"name": n or None, "email": a or None, "org": None, "role": role} for n, a in found if n or a]
-
-
-def mail_date(text: str | None) -> str | None:
-    """A Date header as ISO time in UTC; None if it can't be read."""
-    try:
-        return parsedate_to_datetime(str(text)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    except (TypeError, ValueError):
-        return None
-
-
-def parse_message(text: str) -> dict | None:
-    """A record of one message, or None where no one is named. The first plain part is the body, else the HTML one."""
-    head, _, rest = text.partition("\n")
-    if not POSTMARK.match(head):
-        return None
-    m = message_from_string(rest.replace("\r\n", "\n"), policy=policy.default.clone(raise_on_defect=False))
-    people = []
-    for role in ("from", "to", "cc"):
-        values = [str(v) for v in m.get_all(role, [])]
-        people += [{"name": n or None, "email": a or None, "org": None, "role": role} for n, a in getaddresses(values) if n or a]
-    if not people:
-        return None
-    at = mail_date(m["date"])
-    part = m.get_body(("plain", "html"))
-    try:
-        body = part.get_content() if part else None
-    except (LookupError, KeyError):
-        body = None
-    kind = part.get_content_subtype() if part else ""
-    external = str(m["message-id"] or "").strip("<> ") or None
-    return {"source": "mbox", "kind": "email", "external_id": external, "title": str(m["subject"] or ""), "occurred_at": at, "people": people, "body": ("\x00" if kind == "html" else "") + body[:MOST_BODY] if body else None}
-
-
-def _whole(pieces: DataFrame) -> DataFrame:
-    """Pieces (path, start, id, value) put together again to one a postmark, each with those after it that have none.
-
-    They are numbered within the file range that was read; what comes before the first postmark of a range
-    belongs to the last one of the ranges before it.
-    """
-    file, mark = ["path", "start"], F.substring_index("value", "\n", 1).rlike(POSTMARK.pattern)
-    pieces = pieces.withColumn("group", F.sum(mark.cast("long")).over(W.partitionBy(*file).orderBy("id")))
-    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    last = F.when(F.col("n") > 0, F.struct(F.col("start").alias("start"), F.col("n").alias("group")))
-    ranges = pieces.groupBy(*file).agg(F.max("group").alias("n")).withColumn("last", F.last(last, ignorenulls=True).over(before))  # a row a range
-    rows = pieces.join(ranges.select(*file, "last"), file)
-    at = F.when(F.col("group") > 0, F.struct("start", "group")).otherwise(F.col("last"))
-    rows = rows.select("path", at.alias("at"), F.struct("start", "id", "value").alias("piece"))
-    return rows.groupBy("path", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p.value), "\nFrom ").alias("value"))
-
-
-def mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a mailbox. A body line that begins with "From " but is no postmark stays in its body."""
-    pieces = spark.read.option("lineSep", "\nFrom ").text(path)
-    pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
-    rows = mapped(_whole(pieces).select("value"), parse_message)
-    html = F.col("body").startswith("\x00")
-    return rows.withColumn("body", F.when(html, strip_html(F.substring("body", 2, MOST_BODY))).otherwise(F.col("body")))
-
-
-def parse_event(text: str) -> dict | None:
-    """A record of one calendar event; alarms inside it are left aside, local times are read as UTC."""
-    _, found, event = re.sub(r"\r?\n[ \t]", "", text).rpartition("BEGIN:VEVENT")
-    if not found:
-        return None
-    event = re.sub(r"(?s)BEGIN:VALARM.*?END:VALARM", "", event)
-    fields: dict[str, str] = {}
-    people = []
-    for line in event.splitlines():
-        m = re.match(r'([A-Za-z-]+)((?:;[^=]+=(?:"[^"]*"|[^:;]*))*):(.*)', line)
-        if not m:
-            continue
-        name, options, value = m[1].upper(), m[2], m[3].strip()
-        if name in ("ATTENDEE", "ORGANIZER"):
-            cn = re.search(r'CN=(?:"([^"]*)"|([^;:]*))', options)
-            mail = re.sub("(?i)^mailto:", "", value)
-            people.append({"name": (cn[1] or cn[2]) if cn else None, "email": mail if "@" in mail else None, "org": None, "role": "attendee"})
-        else:
-            fields.setdefault(name, value.replace("\\n", "\n").replace("\\,", ",").replace("\\;", ";"))
-    d = re.match(r"(\d{4})(\d\d)(\d\d)(?:T(\d\d)(\d\d)(\d\d))?", fields.get("DTSTART", ""))
-    at = f"{d[1]}-{d[2]}-{d[3]}T{d[4] or '00'}:{d[5] or '00'}:{d[6] or '00'}Z" if d else None
-    return {"source": "ics", "kind": "meeting", "external_id": fields.get("UID"), "title": fields.get("SUMMARY"), "occurred_at": at, "people": people, "body": fields.get("DESCRIPTION")}
+POSTMARK = re.compile(rb"From \S+ +(?:\w{3} )?\w{3} [ \d]\d [\d:]{5,8}(?: [+-]\d{4})? \d{4}")
+#: Characters of a body that are gathered before it is decoded, and that are kept of its text: what the format's readers agree on.
+MOST_RAW, MOST_BODY = 131_072, 65_536
+#: Bytes of a file that one task reads, and of messages that it hands on at a time.
+SPLIT, BATCH = 64 << 20, 4 << 20
+_LINE = 1 << 20
+
+
+def _files(path: str) -> Iterator[tuple[str, int]]:
+    """Files under a path and their sizes; names that begin with a dot or an underscore are left out."""
+    system, root = _system(path)
+    info = system.get_file_info(root)
+    if info.type == arrow_fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [info] if info.type == arrow_fs.FileType.File else system.get_file_info(arrow_fs.FileSelector(root, recursive=True))
+    for f in sorted(found, key=lambda f: f.path):
+        hidden = any(part[:1] in "._" for part in f.path[len(root) :].split("/") if part)
+        if f.type == arrow_fs.FileType.File and not hidden:
+            yield f.path, f.size
+
+
+def _system(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path as Arrow knows it: local folders that all executors see, hdfs, s3, gs, abfs."""
+    path = re.sub("^s3[an]://", "s3://", path)
+    if not re.match("[a-z0-9]+:/", path):
+        return arrow_fs.LocalFileSystem(), os.path.abspath(path)
+    return (arrow_fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if path.startswith("file:") else arrow_fs.FileSystem.from_uri(path)
+
+
+@dataclass
+class Range(InputPartition):
+    """The messages of a file whose postmarks begin in ``start <= byte < end``."""
+
+    path: str
+    start: int
+    end: int
+
+
+def messages(lines, start: int, end: int, most: int) -> Iterator[tuple[int, str, str]]:
+    """(place, head, body) of the messages that begin in a range of an open file. One message is held at a time, and of its body no more than ``most`` characters and a line."""
+    lines.seek(max(0, start - 1))
+    at = max(0, start - 1)
+    if start:
+        fresh = lines.read(1) == b"\n"  # does the range begin with a line?
+        at += 1
+    else:
+        fresh = True
+    place, head, body, in_head, size = None, [], [], False, 0
+
+    def text(parts: list[bytes]) -> str:
+        return b"".join(parts).decode("utf-8", "replace").replace("\r\n", "\n").removesuffix("\n")
+
+    while line := lines.readline(_LINE):
+        mark = fresh and line.startswith(b"From ") and POSTMARK.match(line)
+        if (mark or place is None) and at >= end:
+            break
+        if mark:
+            if place is not None:
+                yield place, text(head), text(body)
+            place, head, body, in_head, size = at, [], [], True, 0
+        elif place is None:
+            pass
+        elif in_head and fresh and line in (b"\n", b"\r\n"):
+            in_head = False
+        elif in_head:
+            head.append(line)
+        elif size < most:
+            body.append(line)
+            size += len(line.decode("utf-8", "ignore"))
+        at += len(line)
+        fresh = line.endswith(b"\n")
+    if place is not None:
+        yield place, text(head), text(body)
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.split, self.most = options["path"], int(options.get("split", SPLIT)), int(options.get("most", MOST_RAW))
+
+    def partitions(self) -> list[Range]:
+        """Ranges by size alone; nothing of the files is read here."""
+        found = [Range(f, at, min(at + self.split, size)) for f, size in _files(self.path) for at in range(0, size, self.split)]
+        return found or [Range("", 0, 0)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        if part.start >= part.end:
+            return
+        rows, size = [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string()))], ["path", "place", "head", "body"])
+        with _system(self.path)[0].open_input_file(part.path) as raw:
+            for place, head, body in messages(_Lines(raw), part.start, part.end, self.most):
+                rows.append((part.path, place, head, body))
+                size += len(head) + len(body)
+                if size >= BATCH:
+                    yield pack()
+                    rows, size = [], 0
+        if rows:
+            yield pack()
+
+
+class _Lines:
+    """Lines of an Arrow file, a block at a time."""
+
+    def __init__(self, raw, block: int = 1 << 20):
+        self.raw, self.block, self.held, self.at = raw, block, b"", 0
+
+    def seek(self, to: int) -> None:
+        self.raw.seek(to)
+        self.held, self.at = b"", 0
+
+    def read(self, n: int) -> bytes:
+        if len(self.held) - self.at < n:
+            self.held, self.at = self.held[self.at :] + self.raw.read(max(self.block, n)), 0
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+    def readline(self, most: int) -> bytes:
+        end = self.held.find(b"\n", self.at, self.at + most)
+        while end < 0 and len(self.held) - self.at < most and (more := self.raw.read(self.block)):
+            self.held, self.at = self.held[self.at :] + more, 0
+            end = self.held.find(b"\n", 0, most)
+        return self.read(min(most, (end + 1 if end >= 0 else len(self.held)) - self.at))
+
+
+class Mailbox(DataSource):
+    """``spark.read.format("kinweave_mbox").load(path)``: (path, place, head, body) of each message; options ``split`` (bytes a task) and ``most`` (characters of a body)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "kinweave_mbox"
+
+    def schema(self) -> str:
+        return "path string, place bigint, head string, body string"
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options)
+
+
+def people(head: Column) -> Column:
+    """Who is in From, To and Cc, with that role."""
+    return F.concat(*[M.address_list(M.header(head, role), role) for role in ("from", "to", "cc")])
+
+
+def mbox(spark: SparkSession, path: str, split: int = SPLIT, most_raw: int = MOST_RAW, most_body: int = MOST_BODY) -> DataFrame:
+    """Messages of a mailbox or a folder of them, those aside that name no one. A body line that begins with "From " but is no postmark stays in its body."""
+    spark.dataSource.register(Mailbox)
+    raw = spark.read.format("kinweave_mbox").option("split", split).option("most", most_raw).load(path)
+    field = lambda name: M.header(F.col("head"), name)
+    body = M.text_body(field("Content-Type"), field("Content-Transfer-Encoding"), F.col("body"))
+    return _records(
+        raw.withColumn("people", people(F.col("head"))).where(F.size("people") > 0), source=F.lit("mbox"), kind=F.lit("email"), external_id=F.regexp_replace(field("Message-ID"), "[<>]", ""),
+        title=M.decode_words(F.coalesce(field("Subject"), F.lit("(no subject)"))), occurred_at=M.mail_date(field("Date")), people=F.col("people"), body=F.left(body, F.lit(most_body)),
+    )
+
+
+def _records(rows: DataFrame, **columns: Column) -> DataFrame:
+    return rows.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields])
+
+
+_OPTIONS = r'(?:;[^:\n"]*+(?:"[^"\n]*+"[^:\n"]*+)*+)?'
 
 
 def ics(spark: SparkSession, path: str) -> DataFrame:
-    """Events of calendars."""
-    return mapped(spark.read.option("lineSep", "END:VEVENT").text(path), parse_event)
+    """Events of calendars; alarms inside them are left aside, local times are read as UTC. Large files are read in parts."""
+    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n[ \t]", "")
+    event = F.regexp_replace(F.substring_index(text, "BEGIN:VEVENT", -1), "(?s)BEGIN:VALARM.*?END:VALARM", "")
+    rows = spark.read.option("lineSep", "END:VEVENT").text(path).where(F.contains("value", F.lit("BEGIN:VEVENT"))).select(event.alias("event"))
+
+    def field(name: str) -> Column:
+        first = F.get(F.regexp_extract_all("event", F.lit(rf"(?mid)^{name}{_OPTIONS}:([^\n]*+)"), F.lit(1)), F.lit(0))
+        return F.regexp_replace(F.replace(F.trim(first), F.lit("\\n"), F.lit("\n")), r"\\([,;])", "$1")
+
+    def person(line: Column) -> Column:
+        value = F.regexp_replace(F.trim(F.regexp_extract(line, rf"(?id)^[a-z]+{_OPTIONS}:([^\n]*+)", 1)), "(?i)^mailto:", "")
+        options = F.regexp_extract(line, rf"(?id)^[a-z]+({_OPTIONS}):", 1)
+        name = F.coalesce(*[F.nullif(F.regexp_extract(options, rf"(?i);CN={v}", 1), F.lit("")) for v in ('"([^"]*+)"', '([^;:"]++)')])
+        return F.struct(name.alias("name"), F.when(F.contains(value, F.lit("@")), value).alias("email"), F.lit(None).cast("string").alias("org"), F.lit("attendee").alias("role"))
+
+    lines = F.regexp_extract_all("event", F.lit(rf"(?mid)^(?:ATTENDEE|ORGANIZER){_OPTIONS}:[^\n]*+"), F.lit(0))
+    start = F.col("start")
+    at = F.concat(F.regexp_replace(F.substring(start, 1, 8), r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"), F.lit("T"), F.when(start.rlike(r"^\d{8}T\d{6}"), F.regexp_replace(F.substring(start, 10, 6), "^(..)(..)(..)$", "$1:$2:$3")).otherwise("00:00:00"), F.lit("Z"))
+    return _records(
+        rows.withColumn("start", field("DTSTART")), source=F.lit("ics"), kind=F.lit("meeting"), external_id=field("UID"), title=field("SUMMARY"),
+        occurred_at=F.when(start.rlike(r"^\d{8}"), at), people=F.transform(lines, person), body=field("DESCRIPTION"),
+    )

@@ -1,6 +1,6 @@
 import json
 
-from kinweave.sources import crm, mail
+from kinweave.sources import crm
 
 
 def read(spark, tmp_path, name, rows, schema):
@@ -59,10 +59,3 @@ def test_mail_calendar_drive(spark, tmp_path):
     f = [{"id": "f", "name": "Deck", "modifiedTime": "2026-01-01T00:00:00Z", "owners": [{"displayName": "O"}], "lastModifyingUser": {"emailAddress": "l@x.example"}, "permissions": [{"emailAddress": "p@x.example"}, {"displayName": "any"}]}, {"id": "g"}]
     (r,) = crm.drive(read(spark, tmp_path, "f", f, crm.DRIVE)).collect()
     assert [(x[0], x[1], x[3]) for x in who(r)] == [("O", None, "author"), (None, "l@x.example", "author"), (None, "p@x.example", "mentioned")]
-
-
-def test_address_lists():
-    texts = ["a@x.example", "Team: a@x.example, B <b@x.example>;", "a@x.example (Ann)", '"Q \\"x\\"" <q@x.example>', "", None]
-    got = [mail.addresses(t, "to") for t in texts]
-    assert [[p["email"] for p in g] for g in got] == [["a@x.example"], ["a@x.example", "b@x.example"], ["a@x.example"], ["q@x.example"], [], []]
-    assert got[2][0]["name"] == "Ann" and got[3][0]["name"] == 'Q "x"'

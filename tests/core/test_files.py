@@ -44,15 +44,11 @@ def test_connections_with_quoted_fields(spark, tmp_path):
     assert (row.title, row.people[0].org, row.occurred_at, row.people[0].email) == ("Jo Roe, Jr", "X,\nLtd", "2021-03-12T00:00:00Z", "jo@x.example")
 
 
-def test_calendar_and_mail_bodies():
-    e = mail.parse_event("BEGIN:VEVENT\r\nUID:7\r\nSUMMARY:Long \r\n title\r\nDTSTART;VALUE=DATE:20260105\r\nORGANIZER;CN=Org:mailto:o@x.example\r\nDESCRIPTION:a\\, b\\; c\\nd\r\n")
-    assert (e["title"], e["occurred_at"], e["body"], [p["email"] for p in e["people"]]) == ("Long title", "2026-01-05T00:00:00Z", "a, b; c\nd", ["o@x.example"])
-    head = "x@y Mon Jan  5 10:00:00 2026\nFrom: a@x.example\n"
-    body = lambda t: mail.parse_message(head + t)["body"].strip()
-    assert body("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\nWm/Dqw==\n") == "Zoë"
-    assert body("Content-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable\n\nZo=EB is=\n here\n") == "Zoë is here"
-    both = 'Content-Type: multipart/alternative; boundary="b"\n\n--b\nContent-Type: text/html\n\n<p>no</p>\n--b\nContent-Type: text/plain\n\nyes\n--b--\n'
-    assert body(both) == "yes"
+def test_calendars(spark, tmp_path):
+    (tmp_path / "a.ics").write_bytes(b"BEGIN:VEVENT\r\nUID:7\r\nSUMMARY:Long \r\n title\r\nDTSTART;VALUE=DATE:20260105\r\nORGANIZER;CN=Org:mailto:o@x.example\r\nATTENDEE;ROLE=X;CN=\"Roe: Jo\":no address\r\nDESCRIPTION:a\\, b\\; c\\nd\r\nEND:VEVENT\r\n")
+    (e,) = mail.ics(spark, str(tmp_path / "a.ics")).collect()
+    assert (e.title, e.occurred_at, e.body, e.external_id) == ("Long title", "2026-01-05T00:00:00Z", "a, b; c\nd", "7")
+    assert [(p.name, p.email) for p in e.people] == [("Org", "o@x.example"), ("Roe: Jo", None)]
 
 
 def test_snapshots(spark, tmp_path):
