@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,23 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(at)
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder for files that are read again; it goes when the driver ends, if Spark still runs then."""
+
+    def clean() -> None:
+        if spark._jsc is not None and SparkSession.getActiveSession() is not None:
+            _delete(spark, at)
+
+    at = f"{shared(spark)}/kinweave-files-{uuid.uuid4().hex}"
+    atexit.register(clean)
+    return at
+
+
 @contextmanager
 def run(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that are settled within, at its end."""
@@ -41,5 +59,4 @@ def run(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for at in _runs.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, at)

@@ -33,20 +33,23 @@ def ingest_stream(records: DataFrame, store: Store, checkpoint: str) -> Streamin
     return records.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def contact_counts(contacts: DataFrame, late: str = "2 days") -> DataFrame:
+def contact_counts(contacts: DataFrame, late: str = "2 days", panes: bool = True) -> DataFrame:
     """Contacts of each pair in sliding windows of 90 days, a day apart, as (window, pair, contacts).
 
     Contacts are first counted by day. A batch then needs no copies: a day's count enters the windows that begin 89 days
     before it and leaves those that begin after it, so a running sum over these two steps gives every window. On a stream,
     which has no such sum, each day's count (not each contact) goes into its 90 windows, and what is later than the
-    watermark is left out.
+    watermark is left out. Two aggregations in a row can only be written in append mode, a window when it is over;
+    without ``panes`` each contact goes into its windows, in one aggregation that any mode can write.
     """
+    if contacts.isStreaming and not panes:
+        return contacts.withWatermark("at", late).groupBy(F.window("at", "90 days", "1 day").alias("window"), "pair").agg(F.count(F.lit(1)).alias("contacts"))
     if contacts.isStreaming:
-        panes = contacts.withWatermark("at", late).groupBy(F.window("at", "1 day").alias("day"), "pair").agg(F.count(F.lit(1)).alias("n"))
-        return panes.groupBy(F.window(F.window_time("day"), "90 days", "1 day").alias("window"), "pair").agg(F.sum("n").alias("contacts"))
-    panes = contacts.where("at is not null").groupBy("pair", F.window("at", "1 day").start.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    step = lambda days, n: F.struct((F.unix_micros("day") / 86_400_000_000 + days).cast("long").alias("start"), n.alias("n"))
-    steps = panes.select("pair", F.inline(F.array(step(-89, F.col("n")), step(1, -F.col("n"))))).groupBy("pair", "start").agg(F.sum("n").alias("n"))
+        days = contacts.withWatermark("at", late).groupBy(F.window("at", "1 day").alias("day"), "pair").agg(F.count(F.lit(1)).alias("n"))
+        return days.groupBy(F.window(F.window_time("day"), "90 days", "1 day").alias("window"), "pair").agg(F.sum("n").alias("contacts"))
+    days = contacts.where("at is not null").groupBy("pair", F.window("at", "1 day").start.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    step = lambda later, n: F.struct((F.unix_micros("day") / 86_400_000_000 + later).cast("long").alias("start"), n.alias("n"))
+    steps = days.select("pair", F.inline(F.array(step(-89, F.col("n")), step(1, -F.col("n"))))).groupBy("pair", "start").agg(F.sum("n").alias("n"))
     w = W.partitionBy("pair").orderBy("start")
     runs = steps.select("pair", "start", F.sum("n").over(w).alias("contacts"), F.lead("start").over(w).alias("end")).where("contacts > 0")
     each = runs.select("pair", "contacts", F.explode(F.sequence("start", F.col("end") - 1)).alias("d"))

@@ -66,13 +66,26 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"external_id": k, "pair": "p", "at": f"2026-01-01T0{h}:00:00Z"}) for k, h in (("a", 1), ("a", 2), ("b", 3))))
     stream = spark.readStream.schema("external_id string, pair string, at timestamp").json(str(tmp_path / "in"))
-    for name, df, mode in (("once", C.once(stream), "append"), ("bursts", C.bursts(stream), "complete"), ("windows", C.contact_counts(stream), "complete")):
+    for name, df, mode in (("once", C.once(stream), "append"), ("bursts", C.bursts(stream), "complete"), ("windows", C.contact_counts(stream, panes=False), "complete")):
         df.writeStream.format("memory").queryName(f"kw_{name}").outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
     assert {r.external_id for r in spark.table("kw_once").collect()} == {"a", "b"} and spark.table("kw_once").count() == 2
     assert [r.contacts for r in spark.table("kw_bursts").collect()] == [3]
     assert spark.table("kw_windows").agg(F.sum("contacts")).collect()[0][0] == 3 * 90
 
 
+def test_windows_of_days_that_are_over(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    times = [["2026-01-01T01:00:00Z", "2026-01-01T02:00:00Z", "2026-01-03T00:00:00Z"], ["2027-01-01T00:00:00Z"], ["2027-01-02T00:00:00Z"]]
+    for i, some in enumerate(times):
+        (tmp_path / f"in/{i}.json").write_text("\n".join(json.dumps({"pair": "p", "at": t}) for t in some))
+    schema = "pair string, at timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    C.contact_counts(stream).writeStream.format("memory").queryName("kw_days").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    whole = C.contact_counts(spark.read.schema(schema).json(str(tmp_path / "in/0.json")))
+    got, want = ({(r.window.start, r.pair, r.contacts) for r in df.collect()} for df in (spark.table("kw_days"), whole))
+    assert got == want and len(got) == 92
+
+
 def test_next_due():
     assert [next_due(100, 10, k) for k in (0, 1, 4, 9)] == [110, 120, 260, 260] and next_due(0, 50_000, 3) == 86_400 and next_due(0, 100_000, 2) == 100_000
 
