@@ -28,7 +28,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return _let(text, lambda t: F.when(t != "", t))
 
 
 def header(head: Column, name: str) -> Column:
@@ -63,6 +63,10 @@ def from_quoted(text: Column, utf8: Column) -> Column:
 
 def decode_words(text: Column) -> Column:
     """Encoded words decoded, with the space between two of them gone; text without any stays as it is."""
+    return _let(text, _words_decoded)
+
+
+def _words_decoded(text: Column) -> Column:
     bare = _WORD.replace("(", "(?:")
     joined = F.regexp_replace(text, rf"({bare})\s+(?={bare})", "$1")
 
@@ -80,23 +84,29 @@ def decode_words(text: Column) -> Column:
 def address_list(text: Column, role: str | None = None) -> Column:
     """People (name, email, org, role) of an address header; groups are opened, entries without an address left out, null gives none."""
 
-    def person(entry: Column) -> Column:
-        t = F.regexp_replace(F.regexp_replace(F.trim(entry), r'^[^:"<@(]++:\s*+', ""), r"\s*;\s*$", "")
-        angle = rf'(?s)^((?:{_QUOTED}|[^<"]++|")*+)<([^>]++)>'
-        label = F.trim(F.regexp_extract(t, angle, 1))
-        label = F.when(label.rlike('(?s)^".*"$'), F.regexp_replace(F.regexp_replace(label, '^"|"$', ""), r"\\(.)", "$1")).otherwise(label)
-        plain = F.regexp_replace(F.trim(F.regexp_replace(t, r"\([^)]*+\)", "")), '^"|"$', "")
-        inside = _filled(F.trim(F.regexp_extract(t, angle, 2)))
-        name = F.when(inside.isNotNull(), label).otherwise(F.trim(F.regexp_extract(t, r"\(([^)]*+)\)", 1)))
-        email = F.coalesce(inside, F.when(plain.rlike(r"^\S+@\S+$"), plain))
+    angle = rf'(?s)^((?:{_QUOTED}|[^<"]++|")*+)<([^>]++)>'
+
+    def cut(t: Column) -> Column:
+        return F.struct(t.alias("all"), F.trim(F.regexp_extract(t, angle, 1)).alias("label"), _filled(F.trim(F.regexp_extract(t, angle, 2))).alias("inside"))
+
+    def person(c: Column) -> Column:
+        label = F.when(c.label.rlike('(?s)^".*"$'), F.regexp_replace(F.regexp_replace(c.label, '^"|"$', ""), r"\\(.)", "$1")).otherwise(c.label)
+        plain = F.regexp_replace(F.trim(F.regexp_replace(c["all"], r"\([^)]*+\)", "")), '^"|"$', "")
+        name = F.when(c.inside.isNotNull(), label).otherwise(F.trim(F.regexp_extract(c["all"], r"\(([^)]*+)\)", 1)))
+        email = F.coalesce(c.inside, _let(plain, lambda e: F.when(e.rlike(r"^\S+@\S+$"), e)))
         return F.struct(_filled(decode_words(name)).alias("name"), email.alias("email"), F.lit(None).cast("string").alias("org"), F.lit(role).cast("string").alias("role"))
 
+    trimmed = lambda entry: F.regexp_replace(F.regexp_replace(F.trim(entry), r'^[^:"<@(]++:\s*+', ""), r"\s*;\s*$", "")
     entries = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf'(?s)(?:{_QUOTED}|[^,"]++|")++'), F.lit(0))
-    return F.filter(F.transform(entries, person), lambda p: p.email.isNotNull())
+    return F.filter(F.transform(F.transform(F.transform(entries, trimmed), cut), person), lambda p: p.email.isNotNull())
 
 
 def mail_date(text: Column) -> Column:
     """A Date header (or an ISO time with its zone) as ISO time in UTC; null if it can't be read. Without a zone it is UTC."""
+    return _let(text, _date_read)
+
+
+def _date_read(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, _DATE, i)
     number = lambda i: part(i).try_cast("int")
     year = F.when(number(3) >= 1000, number(3)).when((F.length(part(3)) == 2) & (number(3) < 50), number(3) + 2000).otherwise(number(3) + 1900)

@@ -19,8 +19,8 @@ from kinweave.schemas import RECORD
 POSTMARK = re.compile(rb"From \S+ +(?:\w{3} )?\w{3} [ \d]\d [\d:]{5,8}(?: [+-]\d{4})? \d{4}")
 #: Characters of a body that are gathered before it is decoded, and that are kept of its text: what the format's readers agree on.
 MOST_RAW, MOST_BODY = 131_072, 65_536
-#: Bytes of a file that one task reads, and of messages that it hands on at a time.
-SPLIT, BATCH = 64 << 20, 4 << 20
+#: Bytes of a file that one task reads at most, and where there are more tasks than that makes at least; and of messages that it hands on at a time.
+SPLIT, LEAST, BATCH = 64 << 20, 1 << 20, 4 << 20
 _LINE = 1 << 20
 
 
@@ -94,10 +94,13 @@ def messages(lines, start: int, end: int, most: int) -> Iterator[tuple[int, str,
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.split, self.most = options["path"], int(options.get("split", SPLIT)), int(options.get("most", MOST_RAW))
+        self.tasks = int(options.get("tasks", 1))
 
     def partitions(self) -> list[Range]:
         """Ranges by size alone; nothing of the files is read here."""
-        found = [Range(f, at, min(at + self.split, size)) for f, size in _files(self.path) for at in range(0, size, self.split)]
+        files = list(_files(self.path))
+        step = min(self.split, max(LEAST, sum(size for _, size in files) // self.tasks))
+        found = [Range(f, at, min(at + step, size)) for f, size in files for at in range(0, size, step)]
         return found or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -142,7 +145,7 @@ class _Lines:
 
 
 class Mailbox(DataSource):
-    """``spark.read.format("kinweave_mbox").load(path)``: (path, place, head, body) of each message; options ``split`` (bytes a task) and ``most`` (characters of a body)."""
+    """``spark.read.format("kinweave_mbox").load(path)``: (path, place, head, body) of each message; options ``split`` (bytes a task), ``tasks`` (to share small files among) and ``most`` (characters of a body)."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,25 +158,27 @@ class Mailbox(DataSource):
         return _Reader(self.options)
 
 
-def people(head: Column) -> Column:
-    """Who is in From, To and Cc, with that role."""
-    return F.concat(*[M.address_list(M.header(head, role), role) for role in ("from", "to", "cc")])
+#: Header fields that are read.
+FIELDS = ("From", "To", "Cc", "Subject", "Date", "Message-ID", "Content-Type", "Content-Transfer-Encoding")
 
 
 def mbox(spark: SparkSession, path: str, split: int = SPLIT, most_raw: int = MOST_RAW, most_body: int = MOST_BODY) -> DataFrame:
-    """Messages of a mailbox or a folder of them, those aside that name no one. A body line that begins with "From " but is no postmark stays in its body."""
+    """Messages of a mailbox or a folder of them, those aside that name no one; who is in From, To and Cc has that role. A body line that begins with "From " but is no postmark stays in its body."""
     spark.dataSource.register(Mailbox)
-    raw = spark.read.format("kinweave_mbox").option("split", split).option("most", most_raw).load(path)
-    field = lambda name: M.header(F.col("head"), name)
-    body = M.text_body(field("Content-Type"), field("Content-Transfer-Encoding"), F.col("body"))
-    return _records(
-        raw.withColumn("people", people(F.col("head"))).where(F.size("people") > 0), source=F.lit("mbox"), kind=F.lit("email"), external_id=F.regexp_replace(field("Message-ID"), "[<>]", ""),
-        title=M.decode_words(F.coalesce(field("Subject"), F.lit("(no subject)"))), occurred_at=M.mail_date(field("Date")), people=F.col("people"), body=F.left(body, F.lit(most_body)),
+    raw = spark.read.format("kinweave_mbox").option("split", split).option("tasks", spark.sparkContext.defaultParallelism).option("most", most_raw).load(path)
+    raw = raw.select("body", *[M.header(F.col("head"), n).alias(n) for n in FIELDS])
+    body = M.text_body(F.col("`Content-Type`"), F.col("`Content-Transfer-Encoding`"), F.col("body"))
+    record = dict(
+        source=F.lit("mbox"), kind=F.lit("email"), external_id=F.regexp_replace("`Message-ID`", "[<>]", ""), title=M.decode_words(F.coalesce("Subject", F.lit("(no subject)"))),
+        occurred_at=M.mail_date(F.col("Date")), people=F.concat(*[M.address_list(F.col(n), n.lower()) for n in FIELDS[:3]]), body=F.left(body, F.lit(most_body)),
     )
+    # a filter of its own would be pushed below and read the addresses a second time
+    named = F.filter(F.array(F.struct(*_columns(record))), lambda r: F.size(r.people) > 0)
+    return raw.select(F.inline(named))
 
 
-def _records(rows: DataFrame, **columns: Column) -> DataFrame:
-    return rows.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields])
+def _columns(record: dict[str, Column]) -> list[Column]:
+    return [record.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields]
 
 
 _OPTIONS = r'(?:;[^:\n"]*+(?:"[^"\n]*+"[^:\n"]*+)*+)?'
@@ -198,7 +203,8 @@ def ics(spark: SparkSession, path: str) -> DataFrame:
     lines = F.regexp_extract_all("event", F.lit(rf"(?mid)^(?:ATTENDEE|ORGANIZER){_OPTIONS}:[^\n]*+"), F.lit(0))
     start = F.col("start")
     at = F.concat(F.regexp_replace(F.substring(start, 1, 8), r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"), F.lit("T"), F.when(start.rlike(r"^\d{8}T\d{6}"), F.regexp_replace(F.substring(start, 10, 6), "^(..)(..)(..)$", "$1:$2:$3")).otherwise("00:00:00"), F.lit("Z"))
-    return _records(
-        rows.withColumn("start", field("DTSTART")), source=F.lit("ics"), kind=F.lit("meeting"), external_id=field("UID"), title=field("SUMMARY"),
+    record = dict(
+        source=F.lit("ics"), kind=F.lit("meeting"), external_id=field("UID"), title=field("SUMMARY"),
         occurred_at=F.when(start.rlike(r"^\d{8}"), at), people=F.transform(lines, person), body=field("DESCRIPTION"),
     )
+    return rows.withColumn("start", field("DTSTART")).select(*_columns(record))
