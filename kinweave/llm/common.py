@@ -82,18 +82,25 @@ def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, mos
     """About ``per_label`` rows of each label, chosen by a hash of the id, so always the same.
 
     Each label's rate is ``per_label`` over its number of rows (1 at most). With ``most``, labels
-    share that many rows: so many labels that it isn't enough get fewer each, but all some. The
-    rates are one row a label; they are broadcast while there are 100,000 labels at most.
+    share that many rows: so many labels that it isn't enough get fewer each. The row of each label
+    whose hash is least is taken at any rate, so every label has one. The rates are one row a label;
+    they are broadcast while there are 100,000 labels at most.
     """
-    counts = settle(rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__kw_of")).count(), "labels")
+    counts = settle(rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__kw_of")).agg(F.count(F.lit(1)).alias("count"), F.min(chance(id_col)).alias("__kw_least")), "labels")
     labels = counts.count()
     each = per_label if most is None else max(1, min(per_label, most // max(labels, 1)))
-    rates = counts.select("__kw_of", (F.lit(float(each)) / F.col("count")).alias("__kw_rate"))
+    rates = counts.select("__kw_of", "__kw_least", (F.lit(float(each)) / F.col("count")).alias("__kw_rate"))
     rates = F.broadcast(rates) if labels <= 100_000 else rates
-    return rows.join(rates, F.col(label) == F.col("__kw_of")).where(chance(id_col) < F.col("__kw_rate")).drop("__kw_of", "__kw_rate")
+    return rows.join(rates, F.col(label) == F.col("__kw_of")).where((chance(id_col) < F.col("__kw_rate")) | (chance(id_col) == F.col("__kw_least"))).drop("__kw_of", "__kw_least", "__kw_rate")
 
 
-def within(rows: DataFrame, id_col: str, size: Column, most: int) -> DataFrame:
-    """Rows whose sizes are about ``most`` in sum at most: all of them, or a part chosen by a hash of the id."""
+def within(rows: DataFrame, id_col: str, size: Column, most: int, label: str | None = None) -> DataFrame:
+    """Rows whose sizes are about ``most`` in sum at most: all of them, or a part chosen by a hash of the id; of each ``label`` the row with the least hash stays at any rate."""
     total = rows.agg(F.sum(size)).collect()[0][0] or 0
-    return rows if total <= most else rows.where(chance(id_col, 29) < most / total)
+    if total <= most:
+        return rows
+    part = chance(id_col, 29) < most / total
+    if label is None:
+        return rows.where(part)
+    least = rows.groupBy(F.col(label).alias("__kw_of")).agg(F.min(chance(id_col, 29)).alias("__kw_least"))
+    return rows.join(least, F.col(label).eqNullSafe(F.col("__kw_of"))).where(part | (chance(id_col, 29) == F.col("__kw_least"))).drop("__kw_of", "__kw_least")

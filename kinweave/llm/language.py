@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, held_out, settle, within
 from .textkit import LOWER, lists, sums_by, with_columns
 
-BUCKETS, WIDTH, MOST_ENTRIES = 1 << 15, 12, 8_000_000
+BUCKETS, WIDTH = 1 << 15, 12
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _ASCII_LETTER = _LETTER.copy()
@@ -125,8 +125,11 @@ def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: i
     return table, layer, bias
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most: int = 40_000) -> Languages:
-    """Fit on about ``per_label`` documents of each language, ``most`` of all (every language has some), and MOST_ENTRIES of their bags."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most: int = 40_000, most_entries: int = 8_000_000) -> Languages:
+    """Fit on about ``per_label`` documents of each language, ``most`` of all, and so many of them that their bags have about ``most_entries`` entries (8 bytes each) in sum.
+
+    Every language has a document at least, beyond these bounds too where there are more languages than they allow for.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     sample = settle(bounded_sample(rows.select(id_col, lang_col, text_col), lang_col, id_col, per_label, most), "lang")
 
@@ -138,7 +141,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return [lists(flat[0].astype(np.int32), sizes, pa.int32()), lists(flat[1].astype(np.int32), sizes, pa.int32())]
 
     made = settle(with_columns(sample, text_col, [id_col, lang_col], "b array<int>, n array<int>", body), "bags")
-    got = within(made, id_col, F.size("b"), MOST_ENTRIES).orderBy(id_col).toArrow()  # 8 bytes an entry
+    got = within(made, id_col, F.size("b"), most_entries, lang_col).orderBy(id_col).toArrow()  # 8 bytes an entry
     langs = got.column(lang_col).to_pylist()
     names = sorted(set(langs))
     if not names:
@@ -150,6 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     place = {name: i for i, name in enumerate(names)}
     y = np.array([place[x] for x in langs])
     test = np.arange(len(y)) % 5 == 4
+    test[np.unique(y, return_index=True)[1]] = False  # one of each language teaches
     train_rows = np.flatnonzero(~test)
     table, layer, bias = _descend([bags[i] for i in train_rows], y[train_rows], len(names))
     model = Languages(names, table @ layer, bias) if len(names) <= WIDTH else Languages(names, table, bias, layer)

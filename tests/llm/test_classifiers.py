@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from kinweave.llm import boosting
-from kinweave.llm.language import language_report
+from kinweave.llm.language import language_report, train
 from kinweave.llm.quality import keep_quality, quality_report
 from kinweave.llm.toxicity import toxicity_report
 
@@ -86,3 +86,49 @@ def test_language(spark, world):
     right = [r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in rows if r.held_out and r.doc_id < 600]
     assert sum(right) / len(right) > 0.95
     assert language_report(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(41):  # one of them has most rows, some have one
+        letters = [chr(97 + (k * 7 + j) % 26) + chr(97 + (k * 3 + j * 5) % 26) for j in range(6)]
+        for i in range(400 if k == 0 else 1 if k % 4 == 0 else 9):
+            docs.append((len(docs), " ".join("".join(rng.choices(letters, k=3)) for _ in range(30)), f"l{k:02d}"))
+    docs = [(i * 5 if zlib.crc32(str(i * 5).encode()) % 5 else i * 5 + 1, *d) for i, *d in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    learnable = sorted({lang for i, _, lang in docs if not held(i)})
+    assert len(learnable) > 35
+    for how in ({"most": 41}, {"per_label": 2, "most_entries": 50}, {"per_label": 1}):
+        model = train(frame, **how)
+        assert model.names == learnable
+
+
+def test_language_against_a_walk_by_hand(spark, world):
+    docs, _ = world
+    model = train(docs, per_label=200)
+
+    def by_hand(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        raw = [32] + [b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()] + [32]
+        rows = []
+        for k in (3, 4):
+            for i in range(len(raw) - k + 1):
+                w = raw[i : i + k]
+                if w[:2] != [32, 32] and w[-2:] != [32, 32]:
+                    code = k
+                    for b in w:
+                        code = (code << 8 | b) % 2**64
+                    rows.append(model.table[(code * 0x9E3779B97F4A7C15) % 2**64 >> 49])
+        x = (np.sum(rows, 0) / max(len(rows), 1) + model.bias) / model.heat
+        e = np.exp(x - x.max())
+        return model.names[int(e.argmax())], float(e.max() / e.sum())
+
+    some = docs.where("doc_id is not null and (doc_id % 9 = 0 or doc_id >= 900)")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    got = [r for r in language_report(docs, per_label=200).collect() if r.doc_id in texts]
+    assert len(got) >= len(texts)
+    for r in got:
+        name, score = by_hand(texts[r.doc_id])
+        assert r.lang_pred == name and abs(r.score - score) < 1e-6
