@@ -22,3 +22,13 @@ def test_aged_edges_equal_those_made_anew(spark):
     assert got.keys() == want.keys()
     for k in got.keys() - {("", "a", "d")}:
         assert got[k] == pytest.approx(want[k], rel=1e-12)
+
+
+def test_tasks_grow_with_the_mentions(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id", "'email' AS kind", "timestamp'2026-01-01 00:00:00' AS occurred_at", "'' AS owner")
+    mentions = spark.range(240).selectExpr("id % 60 AS document_id", "id % 7 AS entity_id", "'to' AS role")
+    read = lambda: sorted(map(str, E.rebuild_edges(docs, mentions, "2026-08-04 00:00:00").collect()))
+    before = read()
+    monkeypatch.setattr(E, "MENTIONS", 10, raising=False)
+    assert E.rebuild_edges(docs, mentions, "2026-08-04 00:00:00").rdd.getNumPartitions() >= 24
+    assert len(before) == 21 and [r.split("weight")[0] for r in read()] == [r.split("weight")[0] for r in before]
