@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import boosting
-from .common import bounded_sample, held_out
+from . import bitset, boosting
+from .common import bounded_sample, held_out, ident
 from .textkit import ALNUM, NONSPACE, Words, lists, sums_by, with_columns
 
 LIMIT = 0.3
@@ -80,11 +81,24 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
+def _known(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """(__kw_id, __kw_label) of all labels that may be learned from."""
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    return known.groupBy(F.col(id_col).alias("__kw_id")).agg(F.max(label).cast("int").alias("__kw_label")).where("__kw_label in (0, 1)")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """All labelled documents, held-out ones left out, with the label as ``__kw_label``. Texts that surely have no label aren't shuffled (see ``bitset``)."""
+    known, kinds = _known(labels, label, id_col), [df.schema[id_col].dataType for df in (docs, labels)]
+    if kinds[0] == kinds[1] or all(isinstance(k, T.IntegralType) for k in kinds):
+        key = lambda df, c: F.xxhash64(ident(df, c))
+        docs = bitset.split(docs, key(docs, id_col), known, key(known, "__kw_id"), labels.count())[1]
+    return docs.join(known, F.col(id_col) == F.col("__kw_id")).drop("__kw_id")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int, id_col: str = "doc_id") -> DataFrame:
     """Documents of a bounded sample of labels, held-out ones left out, with the label as ``__kw_label``."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("__kw_id")).agg(F.max(label).cast("int").alias("__kw_label"))
-    some = bounded_sample(known.where("__kw_label in (0, 1)"), "__kw_label", "__kw_id", per_label)
+    some = bounded_sample(_known(labels, label, id_col), "__kw_label", "__kw_id", per_label)
     return docs.join(F.broadcast(some), F.col(id_col) == F.col("__kw_id")).drop("__kw_id")  # about 2 * per_label rows
 
 

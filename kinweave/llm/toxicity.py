@@ -10,10 +10,12 @@ text, of its most toxic stretches of 5 and of 25 words, and of its 2nd and 4th m
 (an insult in a long text is lost in a mean). A logistic curve, fitted on the same left-out
 documents, turns them into a probability.
 
-The counts come from a bounded sample of labelled rows (about ``per_label`` of each label, and
-``most_bytes`` of their texts, 28 MB) and are made by Spark; all pairs of words of the sample come to the driver,
-some 5 million at most, and 16 bytes of each are sent to the tasks. None is too rare to count. Words are
-runs of letters and digits, lower-cased.
+All labelled rows that aren't held out are counted, by Spark: three quarters of them word by word and
+pair by pair, exactly; the others fit the curve, by Newton's steps whose sums Spark adds up. What comes
+to the driver and goes to the tasks is bounded by its form, not by leaving rows out: each word has one of
+``WORDS`` slots and each pair one of ``PAIRS``, by a hash (48 MB in all). Words or pairs of one slot share their
+counts; the mass that chance puts into a slot of pairs (their median) is taken off, and a pair counts at
+most as often as its two words. Words are runs of letters and digits, lower-cased.
 
 Defined cases: a null text is scored as an empty one, an empty one from the share of toxic
 labels and its length of 0; a label without a document and a null label teach nothing; of
@@ -31,12 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, within
-from .quality import training_rows
+from .common import held_out, settle, within
+from .quality import labelled_rows, training_rows
 from .textkit import ALNUM, Words, blocks, lists, mix, tidied, with_columns
 
 LIMIT = 0.5
-MOST_BYTES = 28 << 20
+WORDS = 1 << 20
+PAIRS = 1 << 21
+#: Places of a block that is sent as one row, and words or pairs that a task adds up at a time.
+BLOCK, AT_ONCE = 1 << 12, 1 << 20
+#: Where each table begins in the one row of places that Spark adds up. A word has (count of each class, words before it, 0), a head
+#: (counts, kinds of words after it, of each class; one more slot is a document's start), a pair its discounted counts.
+_HEADS, _PAIRS = WORDS, 2 * WORDS + BLOCK
 DISCOUNT = 0.75
 #: What each level adds to the weight of the order below: for words in sizes of the class, for
 #: pairs in occurrences. The best on the fitting documents is taken.
@@ -46,54 +54,55 @@ STRETCHES = (5, 25)
 INPUTS = 2 * (1 + len(STRETCHES) + 2) + 2
 
 
+def _codes(words: Words) -> np.ndarray:
+    """Of each word: the slot of the one before it (``WORDS`` at a document's start) and its own, as one number."""
+    w = (words.hashes % np.uint64(WORDS)).astype(np.int64)
+    h = np.concatenate([np.zeros(1, np.int64), w[:-1]])[: len(w)]
+    h[words.offsets[:-1][words.counts > 0]] = WORDS
+    return h * WORDS + w
+
+
+def _moved(w: np.ndarray) -> np.ndarray:
+    return (mix(w.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+
+
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(h * np.uint64(3) + w)
+    """A pair's slot; with the second word it tells the first (see ``_head``)."""
+    return (h + _moved(w)) % PAIRS
+
+
+def _head(pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (pair - _moved(w)) % PAIRS
 
 
 @dataclass
 class KneserNey:
-    """Both classes' counts; index 1 is toxic. Tables are sorted by hash for lookup, and end
-    with an entry for anything else. ``pull`` is what each level adds to the weight of the
-    order below (0 is plain Kneser-Ney)."""
+    """Both classes' counts by slot; index 1 is toxic. ``pull`` is what each level adds to the
+    weight of the order below (0 is plain Kneser-Ney)."""
 
-    words: np.ndarray
     word_n: np.ndarray  # of each class, less the discount
     shared: np.ndarray  # continuation probability
     size: np.ndarray  # tokens of each class
     back: np.ndarray  # discounted mass of each class's words
-    heads: np.ndarray
     head_n: np.ndarray
     head_back: np.ndarray
-    pairs: np.ndarray
-    pair_n: np.ndarray
+    pair_n: np.ndarray  # less the discount, and less what chance puts there
     pull: tuple[float, float]
     curve: np.ndarray
 
-    @staticmethod
-    def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Places in a sorted table; -1 (its last entry) where it has none."""
-        if not len(table):
-            return np.full(len(x), -1)
-        distinct, back = np.unique(x, return_inverse=True)  # in order, the table is read from front to back
-        at = np.minimum(np.searchsorted(table, distinct), len(table) - 1)
-        return np.where(table[at] == distinct, at, -1)[back]
-
     def differences(self, words: Words, pulls: list[tuple[float, float]]) -> list[np.ndarray]:
         """For each pull, of each word: log-probability as toxic less as ordinary."""
-        w = words.hashes
-        h = np.concatenate([np.zeros(1, np.uint64), w[:-1]])[: len(w)]
-        h[words.offsets[:-1][words.counts > 0]] = 0
-        word, head = self._find(self.words, w), self._find(self.heads, h)
-        pair = np.full(len(w), -1)
-        seen = np.flatnonzero(head >= 0)
-        pair[seen] = self._find(self.pairs, _pair(h[seen], w[seen]))
+        codes, back = np.unique(_codes(words), return_inverse=True)
+        h, w = codes // WORDS, codes % WORDS
+        shared, word_n, head_n, head_back = self.shared[w], self.word_n[:, w], self.head_n[:, h], self.head_back[:, h]
+        pair_n = np.minimum(self.pair_n[:, _pair(h, w)], np.minimum(word_n, np.maximum(head_n - DISCOUNT, 0)))
         found = []
         for one, two in pulls:
             logs = []
             for c in (1, 0):
-                low = (self.word_n[c] + (one * self.size[c] + self.back[c]) * self.shared) / ((one + 1) * self.size[c])
-                logs.append(np.log((self.pair_n[c][pair] + (two + self.head_back[c][head]) * low[word]) / (two + self.head_n[c][head])))
-            found.append(logs[0] - logs[1])
+                low = (word_n[c] + (one * self.size[c] + self.back[c]) * shared) / ((one + 1) * self.size[c])
+                logs.append(np.log((pair_n[c] + (two + head_back[c]) * low) / (two + head_n[c])))
+            found.append((logs[0] - logs[1])[back])
         return found
 
     def inputs(self, words: Words, pulls: list[tuple[float, float]]) -> np.ndarray:
@@ -131,62 +140,125 @@ def _curve(x: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton's steps for a weighted logistic curve with a little shrinkage."""
-    b = np.zeros(x.shape[1])
+def _added(rows: DataFrame, curves: np.ndarray, weights: tuple[float, float]) -> np.ndarray:
+    """For each pull: the logistic loss's gradient, its second derivatives and the loss itself, over all rows."""
+    k, m = curves.shape
+
+    def run(batches):
+        total = np.zeros((k, m + m * m + 1))
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            x = batch.column(1).flatten().to_numpy().astype(float).reshape(len(y), k, m)
+            weight = np.where(y == 1, weights[1], weights[0])
+            for i in range(k):
+                p = _curve(x[:, i], curves[i])
+                s = weight * p * (1 - p)
+                p = np.clip(p, 1e-9, 1 - 1e-9)
+                loss = -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum()
+                total[i] += np.concatenate([x[:, i].T @ (weight * (p - y)), ((x[:, i] * s[:, None]).T @ x[:, i]).ravel(), [loss]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["i", "v"])
+
+    got = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # some 2,000 numbers
+    total = np.zeros(k * (m + m * m + 1))
+    total[got.column("i").to_numpy()] = got.column("v").to_numpy()
+    return total.reshape(k, -1)
+
+
+def _logistic(rows: DataFrame, pulls: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(curves, losses) for each pull: Newton's steps for a weighted logistic curve with a little shrinkage, over rows of (__kw_label, x)."""
+    b = np.zeros((pulls, INPUTS))
     for _ in range(50):
-        p = _curve(x, b)
-        s = weight * p * (1 - p)
-        g = x.T @ (weight * (p - y)) + 0.1 * b
-        b = b - np.clip(np.linalg.solve((x * s[:, None]).T @ x + 0.1 * np.eye(len(b)), g), -5, 5)
-    return b
+        total = _added(rows, b, weights)
+        g = total[:, :INPUTS] + 0.1 * b
+        steps = [np.clip(np.linalg.solve(t[INPUTS:-1].reshape(INPUTS, INPUTS) + 0.1 * np.eye(INPUTS), g[i]), -5, 5) for i, t in enumerate(total)]
+        if np.abs(steps).max() < 1e-5:
+            break
+        b = b - np.array(steps)
+    return np.round(b, 6), total[:, -1]  # sums in another order differ by less
 
 
 def _grams(rows: DataFrame, text_col: str) -> DataFrame:
-    """(h, w, n0, n1): how often a word follows a word in each class; h is 0 at a document's start."""
+    """(pair, w, n0, n1): how often a word follows a word in each class, of all rows; dealt by the slots of pairs."""
+
+    def counted(codes):
+        unique, n = np.unique(np.concatenate(codes), return_counts=True)
+        cls, h, w = unique & 1, (unique >> 1) // WORDS, (unique >> 1) % WORDS
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (_pair(h, w), w, 2 * n + cls)], ["pair", "w", "n"])
 
     def run(batches):
+        codes, held = [], 0
         for batch in batches:
-            cls = batch.column(1).to_numpy(zero_copy_only=False)
+            cls = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, data, offsets in blocks(batch.column(0)):
                 words = Words(data, offsets, ALNUM)
-                h = np.concatenate([np.zeros(1, np.uint64), words.hashes[:-1]])[: len(words.hashes)]
-                h[words.offsets[:-1][words.counts > 0]] = 0
-                each = np.rec.fromarrays([cls[lo:hi][words.owner].astype(np.int32), h.view(np.int64), words.hashes.view(np.int64)], names="c,h,w")
-                unique, n = np.unique(each, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(unique[k])) for k in "chw"] + [pa.array(n.astype(np.int64))], ["cls", "h", "w", "n"])
-
-    made = rows.select(text_col, "__kw_label").mapInArrow(tidied(run), "cls int, h long, w long, n long")
-    return made.groupBy("h", "w").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("int").alias(f"n{c}") for c in (0, 1)])
-
+                codes.append(_codes(words) << 1 | cls[lo:hi][words.owner])
+                held += len(codes[-1])
+                if held >= AT_ONCE:
+                    yield counted(codes)
+                    codes, held = [], 0
+        if codes:
+            yield counted(codes)
+
+    made = rows.select(text_col, "__kw_label").mapInArrow(tidied(run), "pair int, w int, n int").repartition("pair")
+    return made.groupBy("pair", "w").agg(*[F.sum(F.when(F.col("n") % 2 == c, F.shiftright("n", 1)).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+
+
+def _places(grams: DataFrame) -> DataFrame:
+    """(block, numbers): the numbers of all places that have any, as float32, a block a row."""
+    names = ["block", "place", "a", "b", "c", "d"]
+
+    def summed(parts):
+        pair, w, n0, n1 = (np.concatenate(x) for x in zip(*parts))
+        n, none = np.stack([n0, n1]).astype(float), np.zeros(len(w))
+        for start, at, values in (
+            (0, w, (*n, none + 1, none)),
+            (_HEADS, _head(pair, w), (*n, *(n > 0).astype(float))),
+            (_PAIRS, pair, (*np.maximum(n - DISCOUNT, 0), none, none)),
+        ):
+            distinct, at = np.unique(at, return_inverse=True)
+            place = (start + distinct).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place // BLOCK), pa.array(place)] + [pa.array(np.bincount(at, v, len(distinct))) for v in values], names)
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = 6000, most_bytes: int = MOST_BYTES) -> KneserNey:
-    """Fit on about ``per_label`` documents of each label, and about ``most_bytes`` of their texts: all of them, or a part of the documents chosen by a hash of the id."""
-    rows = within(training_rows(docs, labels, label, per_label, id_col), id_col, F.octet_length(text_col), most_bytes)
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            parts.append([batch.column(i).to_numpy() for i in range(4)])
+            held += batch.num_rows
+            if held >= AT_ONCE:
+                yield from summed(parts)
+                parts, held = [], 0
+        if held:
+            yield from summed(parts)
+
+    def packed(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        numbers = np.zeros((4, BLOCK), np.float32)
+        numbers[:, table.column("place").to_numpy() % BLOCK] = np.stack([table.column(c).to_numpy() for c in "abcd"])
+        return pa.table({"block": pa.array([block], pa.int32()), "numbers": pa.array([numbers[: 4 if block * BLOCK < _PAIRS else 2].tobytes()], pa.binary())})
+
+    made = grams.mapInArrow(tidied(run), "block int, place int, a double, b double, c double, d double").repartition("block")
+    sums = made.groupBy("block", "place").agg(*[F.sum(c).alias(c) for c in "abcd"])  # of quarters, so exact
+    return sums.groupBy("block").applyInArrow(packed, "block int, numbers binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int | None = None, most_bytes: int | None = None) -> KneserNey:
+    """Fit on all labelled documents; if asked for, on about ``per_label`` of each label or about ``most_bytes`` of their texts, chosen by a hash of the id."""
+    rows = labelled_rows(docs, labels, label, id_col) if per_label is None else training_rows(docs, labels, label, per_label, id_col)
+    if most_bytes is not None:
+        rows = within(rows, id_col, F.octet_length(text_col), most_bytes)
     rest = F.pmod(F.xxhash64(id_col, F.lit(23)), F.lit(4)) == 0  # a quarter fits the curve
-    table = _grams(rows.where(~rest), text_col).toArrow()  # as many as so much text can have
-    h, w = (table.column(c).to_numpy().view(np.uint64) for c in "hw")
-    n = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")]).astype(np.float32)
-
-    def by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys, counts of each class, kinds of pairs of each class, kinds of pairs)."""
-        distinct, at = np.unique(keys, return_inverse=True)
-        sums = lambda x: np.bincount(at, x, len(distinct))
-        return distinct, np.stack([sums(n[c]) for c in (0, 1)]), np.stack([sums(n[c] > 0) for c in (0, 1)]), sums(np.ones(len(at)))
-
-    words, counts, _, follows = by(w)
+    word, head, pair_n = np.zeros((4, WORDS), np.float32), np.zeros((4, WORDS + BLOCK), np.float32), np.zeros((2, PAIRS), np.float32)
+    got = _places(_grams(rows.where(~rest), text_col)).toArrow()  # 48 MB at most
+    for block, numbers in zip(got.column("block").to_pylist(), got.column("numbers")):
+        start, table = next((s, t) for s, t in ((_PAIRS, pair_n), (_HEADS, head), (0, word)) if s <= block * BLOCK)
+        table[:, block * BLOCK - start :][:, :BLOCK] = np.frombuffer(numbers.as_buffer(), np.float32).reshape(-1, BLOCK)
+    del got
+    counts, follows, head_n, kinds = word[:2], word[2], head[:2, : WORDS + 1], head[2:, : WORDS + 1]
     # one more continuation for each word, and for a word never seen
-    shared = np.append(follows + 1.0, 2.0) / (len(w) + len(words) + 1.0)
-    none = np.zeros((2, 1))
-    word_n = np.hstack([np.maximum(counts - DISCOUNT, 0), none])
-    heads, head_n, kinds, _ = by(h)
-    head_n, head_back = np.hstack([head_n, none]), np.hstack([kinds * DISCOUNT, none])
-    key = _pair(h, w)
-    p_order = np.argsort(key)
-    pair_n = np.hstack([np.maximum(n[:, p_order] - np.float32(DISCOUNT), 0), none.astype(np.float32)])  # n - 0.75 is exact
-    size, back = counts.sum(axis=1), (counts > 0).sum(axis=1) * DISCOUNT
-    del table, n, h, w
-    model = KneserNey(words, word_n, shared, size, back, heads, head_n, head_back, key[p_order], pair_n, PULLS[0], np.zeros(INPUTS))
+    shared = np.where(follows > 0, follows + 1, 2).astype(np.float32) / np.float32(follows.sum(dtype=float) + (follows > 0).sum() + 1)
+    size, back = counts.sum(axis=1, dtype=float), (counts > 0).sum(axis=1) * DISCOUNT
+    by_chance = np.median(pair_n, axis=1, keepdims=True)
+    model = KneserNey(np.maximum(counts - np.float32(DISCOUNT), 0), shared, size, back, head_n.copy(), kinds * np.float32(DISCOUNT), np.maximum(pair_n - by_chance, 0), PULLS[0], np.zeros(INPUTS))
     shares = {r[0]: r[1] for r in labels.where(F.col(label).isNotNull() & ~held_out(id_col)).groupBy(label).count().limit(10).collect()}
     both = sum(shares.get(c, 0) for c in (0, 1))
     share = (shares.get(1, 0) + 1e-3) / (both + 2e-3)
@@ -197,20 +269,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     def body(data, offsets):
         words = Words(data, offsets, ALNUM)
-        x = sent.value.inputs(words, PULLS)
-        return [lists(x.transpose(1, 0, 2).ravel(), np.full(x.shape[1], x.shape[0] * x.shape[2]), pa.float64())]
-
-    fitting = with_columns(rows.where(rest), text_col, [id_col, "__kw_label"], "x array<double>", body).orderBy(id_col).toArrow()
-    y = fitting.column("__kw_label").to_numpy().astype(float)
-    if 0 < y.sum() < len(y):
-        x = fitting.column("x").combine_chunks().values.to_numpy().reshape(len(y), len(PULLS), INPUTS)
-        weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
-        curves = [_logistic(x[:, i], y, weight) for i in range(len(PULLS))]
-        costs = []
-        for i, c in enumerate(curves):
-            p = np.clip(_curve(x[:, i], c), 1e-9, 1 - 1e-9)
-            costs.append(-np.average(np.where(y == 1, np.log(p), np.log(1 - p)), weights=weight))
-        best = int(np.argmin(costs))
+        x = sent.value.inputs(words, PULLS).astype(np.float32)
+        return [lists(x.transpose(1, 0, 2).ravel(), np.full(x.shape[1], x.shape[0] * x.shape[2]), pa.float32())]
+
+    fitting = settle(with_columns(rows.where(rest), text_col, ["__kw_label"], "x array<float>", body), "fitting")
+    fit = {r[0]: r[1] for r in fitting.groupBy("__kw_label").count().collect()}  # two rows
+    n = fit.get(0, 0) + fit.get(1, 0)
+    if len(fit) == 2:
+        curves, losses = _logistic(fitting, len(PULLS), ((1 - share) / fit[0] * n, share / fit[1] * n))
+        best = int(np.argmin(np.round(losses / n, 9)))
         model.pull, model.curve = PULLS[best], curves[best]
     return model
 

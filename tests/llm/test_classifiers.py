@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from kinweave.llm import boosting
 from kinweave.llm.language import language_report, train
-from kinweave.llm.quality import keep_quality, quality_report
+from kinweave.llm.quality import keep_quality, labelled_rows, quality_report
 from kinweave.llm.toxicity import toxicity_report
+from kinweave.llm.toxicity import train as toxicity_train
 
 
 def held(i):
@@ -132,3 +133,20 @@ def test_language_against_a_walk_by_hand(spark, world):
     for r in got:
         name, score = by_hand(texts[r.doc_id])
         assert r.lang_pred == name and abs(r.score - score) < 1e-6
+
+
+def test_toxicity_counts_every_label(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "bravo", "echo"]) for _ in range(9)) + (" vile" if i % 2 else ""), i % 2) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = [r for r in rows if not held(r[0])]
+    quality_rows = labelled_rows(docs.drop("toxic"), docs.select("doc_id", "toxic"), "toxic").collect()
+    assert sorted((r.doc_id, r["__kw_label"]) for r in quality_rows) == [(r[0], r[2]) for r in learned]
+    model = toxicity_train(docs, docs.select("doc_id", "toxic"))
+    rest = {r[0] for r in docs.where("pmod(xxhash64(doc_id, 23), 4) = 0").select("doc_id").collect()}
+    counted = [r for r in learned if r[0] not in rest]
+    assert list(model.size) == [sum(len(r[1].split()) for r in counted if r[2] == c) for c in (0, 1)]
+    big = spark.range(40_000).selectExpr("id AS doc_id", "concat('alpha bravo ', if(id % 2 = 1, 'vile', 'echo')) AS text", "cast(id % 2 AS int) AS toxic")
+    model = toxicity_train(big.drop("toxic"), big.select("doc_id", "toxic"))
+    n = big.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0 AND pmod(xxhash64(doc_id, 23), 4) <> 0").count()
+    assert model.size.sum() == 3 * n
