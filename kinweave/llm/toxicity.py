@@ -26,11 +26,12 @@ columns are carried along.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, settle, within
@@ -40,8 +41,8 @@ from .textkit import ALNUM, Words, blocks, lists, mix, tidied, with_columns
 LIMIT = 0.5
 WORDS = 1 << 20
 PAIRS = 1 << 21
-#: Places of a block that is sent as one row, and words or pairs that a task adds up at a time.
-BLOCK, AT_ONCE = 1 << 12, 1 << 20
+#: Places of a block that is sent as one row, blocks that come to the driver at a time (8 MB), and words or pairs that a task adds up at a time.
+BLOCK, BLOCKS, AT_ONCE = 1 << 12, 128, 1 << 20
 #: Where each table begins in the one row of places that Spark adds up. A word has (count of each class, words before it, 0), a head
 #: (counts, kinds of words after it, of each class; one more slot is a document's start), a pair its discounted counts.
 _HEADS, _PAIRS = WORDS, 2 * WORDS + BLOCK
@@ -89,6 +90,7 @@ class KneserNey:
     pair_n: np.ndarray  # less the discount, and less what chance puts there
     pull: tuple[float, float]
     curve: np.ndarray
+    tables: tuple[SparkContext, Broadcast] | None = None
 
     def differences(self, words: Words, pulls: list[tuple[float, float]]) -> list[np.ndarray]:
         """For each pull, of each word: log-probability as toxic less as ordinary."""
@@ -130,6 +132,18 @@ class KneserNey:
             found.append(np.column_stack([*columns, *[c * long for c in columns], long, np.ones(docs)]))
         return np.array(found)
 
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """These tables at the executors. They are sent once: a model with another pull or curve uses the same (see ``with_curve``)."""
+        if self.tables is None or self.tables[0] is not spark.sparkContext:
+            self.tables = spark.sparkContext, spark.sparkContext.broadcast(self)
+        return self.tables[1]
+
+    def with_curve(self, pull: tuple[float, float], curve: np.ndarray) -> KneserNey:
+        return replace(self, pull=pull, curve=curve)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
+
     def score(self, words: Words) -> np.ndarray:
         if not self.size.min():
             return np.full(len(words.counts), 1 / (1 + np.exp(-self.curve[-1])))
@@ -248,11 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         rows = within(rows, id_col, F.octet_length(text_col), most_bytes)
     rest = F.pmod(F.xxhash64(id_col, F.lit(23)), F.lit(4)) == 0  # a quarter fits the curve
     word, head, pair_n = np.zeros((4, WORDS), np.float32), np.zeros((4, WORDS + BLOCK), np.float32), np.zeros((2, PAIRS), np.float32)
-    got = _places(_grams(rows.where(~rest), text_col)).toArrow()  # 48 MB at most
-    for block, numbers in zip(got.column("block").to_pylist(), got.column("numbers")):
-        start, table = next((s, t) for s, t in ((_PAIRS, pair_n), (_HEADS, head), (0, word)) if s <= block * BLOCK)
-        table[:, block * BLOCK - start :][:, :BLOCK] = np.frombuffer(numbers.as_buffer(), np.float32).reshape(-1, BLOCK)
-    del got
+    places = settle(_places(_grams(rows.where(~rest), text_col)), "places")  # 48 MB at most
+    for lo in range(0, (_PAIRS + PAIRS) // BLOCK, BLOCKS):
+        got = places.where(F.col("block").between(lo, lo + BLOCKS - 1)).toArrow()
+        for block, numbers in zip(got.column("block").to_pylist(), got.column("numbers")):
+            start, table = next((s, t) for s, t in ((_PAIRS, pair_n), (_HEADS, head), (0, word)) if s <= block * BLOCK)
+            table[:, block * BLOCK - start :][:, :BLOCK] = np.frombuffer(numbers.as_buffer(), np.float32).reshape(-1, BLOCK)
     counts, follows, head_n, kinds = word[:2], word[2], head[:2, : WORDS + 1], head[2:, : WORDS + 1]
     # one more continuation for each word, and for a word never seen
     shared = np.where(follows > 0, follows + 1, 2).astype(np.float32) / np.float32(follows.sum(dtype=float) + (follows > 0).sum() + 1)
@@ -265,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     model.curve[-1] = np.log(share / (1 - share))
     if not all(size):
         return model
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.sent(docs.sparkSession)
 
     def body(data, offsets):
         words = Words(data, offsets, ALNUM)
@@ -278,14 +293,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     if len(fit) == 2:
         curves, losses = _logistic(fitting, len(PULLS), ((1 - share) / fit[0] * n, share / fit[1] * n))
         best = int(np.argmin(np.round(losses / n, 9)))
-        model.pull, model.curve = PULLS[best], curves[best]
+        model = model.with_curve(PULLS[best], curves[best])
     return model
 
 
 def toxicity_scores(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns with __kw_score, the probability of being toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return with_columns(docs, text_col, keep, "__kw_score double", lambda data, offsets: [sent.value.score(Words(data, offsets, ALNUM))])
+    sent, pull, curve = model.sent(docs.sparkSession), model.pull, model.curve
+    return with_columns(docs, text_col, keep, "__kw_score double", lambda data, offsets: [sent.value.with_curve(pull, curve).score(Words(data, offsets, ALNUM))])
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

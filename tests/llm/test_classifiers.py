@@ -150,3 +150,16 @@ def test_toxicity_counts_every_label(spark):
     model = toxicity_train(big.drop("toxic"), big.select("doc_id", "toxic"))
     n = big.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0 AND pmod(xxhash64(doc_id, 23), 4) <> 0").count()
     assert model.size.sum() == 3 * n
+
+
+def test_toxicity_tables_are_sent_once_and_come_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(100)) + (" vile" if i % 2 else ""), i % 2) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    came, sent = [], []
+    to_arrow, broadcast = type(docs).toArrow, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: came.append(to_arrow(self)) or came[-1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(1) or broadcast(self, value))
+    scored = toxicity_report(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert scored.count() == 900 and len(sent) == 1
+    assert sum(x.nbytes for x in came) > 40e6 and max(x.nbytes for x in came) < 9e6
