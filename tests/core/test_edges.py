@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from kinweave.operators import edges as E
 from kinweave.settings import Settings
@@ -32,3 +34,22 @@ def test_tasks_grow_with_the_mentions(spark, monkeypatch):
     monkeypatch.setattr(E, "MENTIONS", 10, raising=False)
     assert E.rebuild_edges(docs, mentions, "2026-08-04 00:00:00").rdd.getNumPartitions() >= 24
     assert len(before) == 21 and [r.split("weight")[0] for r in read()] == [r.split("weight")[0] for r in before]
+
+
+def test_joins_by_document_grow_with_the_mentions(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id", "'email' AS kind", "timestamp'2026-01-01 00:00:00' AS occurred_at", "'' AS owner")
+    mentions = spark.range(240).selectExpr("id % 60 AS document_id", "(id * 7 + id div 60) % 16 AS entity_id", "'to' AS role")
+    monkeypatch.setattr(E, "MENTIONS", 10)
+    full = E.rebuild_edges(docs, mentions, NOW)
+    stale = E.rebuild_edges(docs.where("id < 40"), mentions, NOW).where("a = 3 or b = 3").unionByName(full.where("a <> 3 and b <> 3"))
+    key = lambda df: sorted((r.owner, r.a, r.b, r.n, round(r.weight, 9)) for r in df.collect())
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    small = spark.conf.get(at)
+    try:
+        spark.conf.set(at, "-1")  # as where neither side is small
+        new = E.rebuild_edges_for(stale, docs, mentions, spark.createDataFrame([(3,)], "entity_id long"), NOW)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        dealt = {int(n) for n in re.findall(r"hashpartitioning\((?:document_id|id)#\d+L?, (\d+)\)", plan)}
+        assert dealt == {24} and key(new) == key(full)
+    finally:
+        spark.conf.set(at, small)
