@@ -2,6 +2,7 @@ import re
 
 import pytest
 from kinweave.operators import edges as E
+from kinweave.operators import graph as G
 from kinweave.settings import Settings
 from pyspark.sql import functions as F
 
@@ -53,3 +54,19 @@ def test_joins_by_document_grow_with_the_mentions(spark, monkeypatch):
         assert dealt == {24} and key(new) == key(full)
     finally:
         spark.conf.set(at, small)
+
+
+def test_private_path_reads_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def weigh(w):
+        read.add(1)
+        return w
+
+    rows = [("", 1, 2, 9.0), ("", 2, 3, 9.0), ("", 3, 4, 9.0), ("eve", 2, 4, 1.0), ("", 1, 5, 9.0), ("bob", 2, 4, 1.0), ("me", 5, 6, 0.01), ("bob", 5, 6, 1.0)]
+    edges = spark.createDataFrame(rows, "owner string, a long, b long, w double").withColumn("weight", F.udf(weigh, "double")("w")).drop("w").withColumn("last_seen", F.lit(NOW).cast("timestamp"))
+    steps = [tuple(r) for r in G.private_path(edges, 1, 4, "me").collect()]
+    assert steps == [(0, 1, False, None), (1, 2, False, None), (2, 4, True, ["bob", "eve"])]
+    assert read.value == len(rows)
+    assert G.private_path(edges, 1, 3, "me").count() == G.private_path(edges, 1, 1, "me").count() == G.private_path(edges, 1, 9, "me").count() == 0  # visible as short, oneself, nobody
+    assert [tuple(r) for r in G.private_path(edges, 6, 1, "me", max_hops=2).collect()] == [(0, 6, False, None), (1, 5, True, ["bob"]), (2, 1, False, None)]
